@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticeflow.llm import pairs, terms, tokens, topn
+from latticeflow.llm import leaks, overlap, packing, pairs, residue, terms, tokens, topn
 from latticeflow.operators.packed import parse_packed
 from latticeflow.operators.records import first_delivery
 from latticeflow.session import cut, table
@@ -49,10 +49,59 @@ def p3_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.lifted_pairs(records, "words")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = overlap.overlap_pairs(table(spark, sf_dir, "morpheme"))
+    return df.select(F.least("id_e", "id_t").alias("id_a"), F.greatest("id_e", "id_t").alias("id_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping records per split and source."""
+    return overlap.overlap_report(table(spark, sf_dir, "morpheme"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.oversize(table(spark, sf_dir, "encoded"), table(spark, sf_dir, "caches"))
+
+
+def p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed row of every piece of every example."""
+    ex = cut(packing.examples(table(spark, sf_dir, "encoded"), table(spark, sf_dir, "caches")))
+    return packing.pack_rows(ex, "cache", "ex_id", "n", "max_length")
+
+
+def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block of every piece of every chunk."""
+    ex = packing.examples(table(spark, sf_dir, "encoded"), table(spark, sf_dir, "caches"))
+    return packing.pack_blocks(ex, "ex_id", "lengths", "max_block_length")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed rows of each cache, the fewest possible, and the share of space used."""
+    return packing.fill_report(p6_rows(spark, sf_dir), "cache")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each kind of residue."""
+    return residue.find_residue(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count("*").alias("documents"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents that stay once those with residue are excluded."""
+    return residue.without_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
@@ -60,10 +109,27 @@ QUERIES = {
     "p2_top": p2_top,
     "p3_found": p3_found,
     "p3_lift": p3_lift,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p6_found": p6_found,
+    "p6_rows": p6_rows,
+    "p6_blocks": p6_blocks,
+    "p6_fill": p6_fill,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_kinds": p9_kinds,
+    "p9_kept": p9_kept,
 }
 
 SQL = {
+    "p6_found": """
+        WITH first AS (SELECT DISTINCT ON (ex_id) * FROM encoded WHERE ex_id IS NOT NULL ORDER BY ex_id, cached_at),
+        ex AS (SELECT ex_id, input_ids, lengths, max_length, max_block_length, pad_id FROM first JOIN caches USING (cache)),
+        ids AS (SELECT ex_id, max_length, coalesce(list_max(list_filter(range(1, len(input_ids) + 1), lambda i: input_ids[i] IS NOT NULL AND input_ids[i] IS DISTINCT FROM pad_id)), 0) AS n FROM ex),
+        chunks AS (SELECT ex_id, max_block_length, unnest(lengths) AS n, generate_subscripts(lengths, 1) - 1 AS pos FROM ex)
+        SELECT ex_id, 'input_ids' AS field, 0::INTEGER AS pos FROM ids WHERE n > max_length
+        UNION ALL SELECT ex_id, 'lengths', pos::INTEGER FROM chunks WHERE n > max_block_length""",
     "p1_terms": r"""
         WITH first AS (SELECT sent_id, min(struct_pack(l := read_at IS NULL, at := read_at, t := text_str)) AS r FROM sentences WHERE sent_id IS NOT NULL GROUP BY sent_id),
         each AS (SELECT sent_id, unnest(regexp_extract_all(nfc_normalize(lower(nfc_normalize(r.t))), '[\p{L}\p{N}]+')) AS term FROM first)
@@ -81,8 +147,7 @@ SQL = {
         SELECT run_id, step, dev_accuracy, rank FROM ranked WHERE rank <= 3""",
     "p3_found": r"""
         WITH first AS (SELECT DISTINCT ON (index_id) index_id, words, counts FROM skipgram_index WHERE index_id IS NOT NULL ORDER BY index_id, built_at),
-        parsed AS (SELECT index_id, words, CASE WHEN words IS NULL AND json_valid(counts) THEN
-            from_json(counts, '{"1": "JSON"}') END AS j, CASE WHEN words IS NULL AND json_valid(counts) THEN counts::JSON END AS c FROM first),
+        parsed AS (SELECT index_id, words, CASE WHEN words IS NULL AND json_valid(counts) THEN counts::JSON END AS c FROM first),
         dist AS (SELECT index_id, c, unnest(json_keys(c)) AS d FROM parsed WHERE c IS NOT NULL),
         src AS (SELECT index_id, c->d AS m, unnest(json_keys(c->d)) AS s FROM dist),
         raw AS (
