@@ -28,7 +28,7 @@ def rank_all(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_r", rank).join(F.broadcast(before), "_part").withColumn(out, F.col("_r") + F.col("_before")).drop("_r", "_before", "_part")
+    return ranged.withColumn("_own", rank).join(F.broadcast(before), "_part").withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
 
 
 def last_weights(weights: DataFrame) -> DataFrame:
