@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.functions import semiring as S
 from latticeflow.functions.text import SPACE
+from latticeflow.session import spread
 
 #: Most rows of a vocabulary that is broadcast; larger ones are joined by a shuffle.
 SMALL_VOCABULARY = 1_000_000
@@ -51,7 +52,7 @@ def lattice_edges(words: DataFrame, vocab: DataFrame, max_unit: int = 4, max_len
     too long words have no lattice.
     """
     check(1, max_unit, max_length)
-    distinct = words.where((F.length(text) > 0) & (F.length(text) <= max_length)).select(F.col(text).alias("word")).distinct()
+    distinct = spread(words.where((F.length(text) > 0) & (F.length(text) <= max_length)).select(F.col(text).alias("word")), "word").distinct()
     units = candidate_units(distinct, "word", max_unit, ["word"])
     known = small(vocab.select("token", "logp"))
     if not fallback and unk is None:
@@ -70,7 +71,7 @@ def lattice_edges(words: DataFrame, vocab: DataFrame, max_unit: int = 4, max_len
 
 def lattices(edges: DataFrame, key: str = "word", length: str | None = None) -> DataFrame:
     """One row per lattice: (key, len, edges), the edges ordered by start, then end."""
-    packed = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "logp"))).alias("edges"))
+    packed = spread(edges, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "logp"))).alias("edges"))
     return packed.withColumn("len", F.length(key) if length is None else F.expr(length))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from latticeflow.functions import semiring as S
 from latticeflow.operators import lattice as L
 from latticeflow.operators import vocab as V
-from latticeflow.session import cut, table
+from latticeflow.session import cut, table, wide_scan
 
 #: Characters of a unit and of a word (longer words have no lattice), and uses that make a substring a unit.
 UNIT, LENGTH, COUNT = 4, 48, 5
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.word_counts(table(spark, sf_dir, "documents"))
+    return V.word_counts(wide_scan(table(spark, sf_dir, "documents")))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def lats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, token, logp): a vocabulary of each source, with log shares."""
-    w = V.word_counts(table(spark, sf_dir, "documents").where("source is not null"), keys=["source"])
+    w = V.word_counts(wide_scan(table(spark, sf_dir, "documents")).where("source is not null"), keys=["source"])
     counts = V.substrings(w, UNIT, ["source"]).where((F.length("token") == 1) | (F.col("n") >= COUNT))
     total = counts.groupBy("source").agg(F.sum("n").cast("double").alias("_t"))
     return counts.join(total, "source").select("source", "token", F.round(F.ln(F.col("n") / F.col("_t")), 6).alias("logp"))

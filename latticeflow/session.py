@@ -39,3 +39,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def width(spark: SparkSession) -> int:
+    """Tasks of a step that computes far more than it reads: those of a shuffle, and no fewer than there are cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitions by keys for costly work per row; a fixed number, since by their bytes AQE would join small partitions into one task.
+
+    A later aggregate or join on the same keys reuses the partitioning.
+    """
+    return df.repartition(width(df.sparkSession), *keys)
+
+
+def wide_scan(df: DataFrame) -> DataFrame:
+    """A scanned table, spread only if it has fewer partitions than there are cores; larger tables aren't moved."""
+    return df.repartition(n) if df.rdd.getNumPartitions() < (n := df.sparkSession.sparkContext.defaultParallelism) else df
