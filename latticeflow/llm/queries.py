@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from latticeflow.llm import leaks, overlap, packing, pairs, residue, terms, tokens, topn
 from latticeflow.operators.packed import parse_packed
 from latticeflow.operators.records import first_delivery
-from latticeflow.session import cut, table
+from latticeflow.session import cut, table, wide_scan
 
 
 def _p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,25 +81,25 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokens.encode_column(wide_scan(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.find_leaks(wide_scan(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return residue.find_residue(wide_scan(table(spark, sf_dir, "documents"))).select("doc_id").distinct()
 
 
 def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each kind of residue."""
-    return residue.find_residue(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count("*").alias("documents"))
+    return residue.find_residue(wide_scan(table(spark, sf_dir, "documents"))).groupBy("kind").agg(F.count("*").alias("documents"))
 
 
 def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of the documents that stay once those with residue are excluded."""
-    return residue.without_residue(table(spark, sf_dir, "documents")).select("doc_id")
+    return residue.without_residue(wide_scan(table(spark, sf_dir, "documents"))).select("doc_id")
 
 
 QUERIES = {
