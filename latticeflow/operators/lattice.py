@@ -52,7 +52,8 @@ def lattice_edges(words: DataFrame, vocab: DataFrame, max_unit: int = 4, max_len
     too long words have no lattice.
     """
     check(1, max_unit, max_length)
-    distinct = spread(words.where((F.length(text) > 0) & (F.length(text) <= max_length)).select(F.col(text).alias("word")), "word").distinct()
+    # distinct first: it combines a hot word's rows before the shuffle
+    distinct = spread(words.where((F.length(text) > 0) & (F.length(text) <= max_length)).select(F.col(text).alias("word")).distinct(), "word")
     units = candidate_units(distinct, "word", max_unit, ["word"])
     known = small(vocab.select("token", "logp"))
     if not fallback and unk is None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.functions import text as T
-from latticeflow.operators import dynamics, evaluate, lattice, morphology, runs, skipgram
+from latticeflow.operators import dynamics, encode, evaluate, lattice, morphology, runs, skipgram
 from latticeflow.plans import lattice_queries as LQ
 from latticeflow.sources import readers
 from latticeflow.session import cut, table
@@ -140,6 +140,29 @@ def label_shift(s: SparkSession, d: str) -> DataFrame:
     return x.select("sent_id", F.posexplode(F.arrays_zip("chunks", "labels")).alias("pos", "x")).select("sent_id", "pos", F.col("x.chunks").alias("token"), F.col("x.labels").alias("label"))
 
 
+def tokenize_lines(s: SparkSession, d: str) -> DataFrame:
+    """Sentences segmented by the documents' vocabulary: pieces and log weight of each."""
+    lines = _lines(s, d).where(F.size("chunks") > 0).select("sent_id", F.transform("chunks", lambda c: F.lower(c)).alias("chunks"))
+    units = cut(LQ.vocabulary(s, d))
+    words = lines.select(F.explode("chunks").alias("word"))
+    best = lattice.viterbi(lattice.lattices(lattice.lattice_edges(words, units, LQ.UNIT, LQ.LENGTH)))
+    out = encode.tokenize_lines(lines, best, "sent_id")
+    return out.select("sent_id", F.round("logw", 4).alias("logw"), F.concat_ws(" ", "tokens").alias("tokens"))
+
+
+def path_positions(s: SparkSession, d: str) -> DataFrame:
+    """Best paths as positions in characters."""
+    best = lattice.viterbi(LQ.lats(s, d))
+    ids = LQ.vocabulary(s, d).select("token", F.length("token").alias("token_id"))
+    out = encode.path_inputs(best, ids, ["word"], characters=True)
+    return out.select("word", F.concat_ws(",", F.transform("input_ids", lambda x: x.cast("string"))).alias("lengths"), F.concat_ws(",", F.transform("position_ids", lambda x: x.cast("string"))).alias("positions"))
+
+
+def causal_pairs(s: SparkSession, d: str) -> DataFrame:
+    """How many edges each word's edges may look back at, themselves included."""
+    return encode.causal_pairs(LQ.lattice_edges(s, d)).groupBy("word").agg(F.count("*").alias("pairs"))
+
+
 def derive_words(s: SparkSession, d: str) -> DataFrame:
     """Words of the documents derived with a few English affixes; stems are the words that occur 20 times or more, at most 20,000."""
     w = cut(LQ.words(s, d).where(F.col("word").rlike("^[a-z]+$")))
@@ -164,7 +187,7 @@ QUERIES = {
     for f in (
         pretokenize, mark_spaces, length_filter, special_prefix, gold_slots, length_quantiles, length_nearest_rank, block_pack, token_boundaries, span_sums, align_subwords,
         tok_eval_micro, tok_eval_category, unique_tokens, reference_per_char, dictionary_replace, signature_outcomes, skipgram_counts, skipgram_flat, skipgram_expand,
-        label_shift, derive_words, edit_fences, node_views,
+        label_shift, tokenize_lines, path_positions, causal_pairs, derive_words, edit_fences, node_views,
     )
 }
 
@@ -200,4 +223,11 @@ SQL = {
     "label_shift": f"WITH {_L} SELECT sent_id, (i - 1)::INTEGER AS pos, chunks[i] AS token, chunks[i + 1] AS label FROM ls, range(1, len(chunks) + 1) r(i)",
 }
 _OPT = "opt AS (SELECT DISTINCT word, seg FROM (SELECT word, {c4} AS seg FROM pred WHERE length(word) >= 4 UNION ALL SELECT word, {c3} FROM pred WHERE length(word) >= 4)), ou AS (SELECT word, seg, unnest(seg) AS token FROM opt), ok AS (SELECT word, seg FROM ou LEFT JOIN vocab USING (token) GROUP BY word, seg HAVING count(*) = count(vocab.logp) QUALIFY row_number() OVER (PARTITION BY word ORDER BY len(seg), seg) = 1)".format(c4=_CUT.format(n=4), c3=_CUT.format(n=3))
+_SENT = f"{_L}, lw AS (SELECT sent_id, generate_subscripts(chunks, 1) AS pos, lower(unnest(chunks)) AS w FROM ls)"
+SQL["tokenize_lines"] = (
+    f"WITH RECURSIVE {LQ._WORDS.replace('words AS', 'dwords AS')}, {LQ._SUBS.replace('FROM words', 'FROM dwords')}, {_SENT}, words AS (SELECT DISTINCT w AS word FROM lw), {LQ._EDGES}, {LQ._BEST.format(n=1)}"
+    " SELECT sent_id, round(sum(CASE WHEN len(paths) > 0 THEN -paths[1].cost ELSE 0 END), 4) AS logw, string_agg(CASE WHEN len(paths) > 0 THEN array_to_string(paths[1].path, ' ') ELSE w END, ' ' ORDER BY pos) AS tokens FROM lw LEFT JOIN fin ON fin.word = w GROUP BY sent_id"
+)
+SQL["path_positions"] = f"WITH RECURSIVE {_FIN}, x AS (SELECT word, list_transform(toks, lambda t: length(t)) AS ls FROM pred) SELECT word, array_to_string(ls, ',') AS lengths, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: coalesce(list_sum(ls[1:i - 1]), 0)::BIGINT), ',') AS positions FROM x"
+SQL["causal_pairs"] = f"WITH {LQ._BASE} SELECT word, count(*) AS pairs FROM edges a JOIN edges b USING (word) WHERE b.e <= a.s OR (a.s = b.s AND a.e = b.e) GROUP BY word"
 SQL["dictionary_replace"] = f"WITH RECURSIVE {_FIN}, {_OPT} SELECT word, array_to_string(coalesce(seg, toks), ' ') AS tokens, CASE WHEN seg IS NOT NULL THEN 'replaced' WHEN length(word) >= 4 THEN 'unknown' ELSE 'missing' END AS outcome FROM pred LEFT JOIN ok USING (word)"
