@@ -130,6 +130,14 @@ def reference_logprob(lats: DataFrame, references: DataFrame, key: str = "word",
     return both.select(key, (z(own) - z(F.col("edges"))).alias("ref_logp"))
 
 
+def gold_marginals(lats: DataFrame, references: DataFrame, key: str = "word", spans: str = "spans") -> DataFrame:
+    """(key, path_p, edge_p): share of the reference's whole path, and the summed marginals of its edges."""
+    m = infer(lats).select(key, "edges").join(references.select(key, spans), key)
+    on = F.filter("edges", lambda x: F.exists(F.col(spans), lambda r: (r["s"] == x["s"]) & (r["e"] == x["e"])))
+    edge = m.select(key, F.aggregate(on, F.lit(0.0), lambda a, x: a + x["p"]).alias("edge_p"))
+    return reference_logprob(lats, references, key, spans).select(key, F.exp("ref_logp").alias("path_p")).join(edge, key)
+
+
 def conditional_marginals(lats: DataFrame, key: str = "word") -> DataFrame:
     """(key, node, side, s, e, token, log_p): P(edge | the path visits node); side is `before` or `after` the node.
 

@@ -85,3 +85,13 @@ def sweep(spark, **axes: Sequence) -> DataFrame:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows in an order that the seed and the key settle, whatever the partitions."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in the given order."""
+    return df.orderBy(*order).limit(n)

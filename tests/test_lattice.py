@@ -84,6 +84,8 @@ def test_attention_causal_reference_and_normalised(spark, lats):
     refs = spark.createDataFrame([("hate", [(0, 3), (3, 4)]), ("hat", [(0, 2), (2, 3)])], "word string, spans array<struct<s:int,e:int>>")
     got = {r.word: r.ref_logp for r in L.reference_logprob(lats, refs).collect()}
     assert got["hate"] == pytest.approx(math.log(3 / 15)) and got["hat"] == float("-inf")
+    gold = {r.word: r for r in L.gold_marginals(lats, refs).collect()}
+    assert gold["hate"].path_p == pytest.approx(0.2) and gold["hate"].edge_p == pytest.approx(0.6) and gold["hat"].path_p == 0
     out = L.forward_normalised(lats).groupBy("word", "s").agg(F.sum(F.exp("log_p")).alias("p")).collect()
     assert all(r.p == pytest.approx(1) for r in out)
 

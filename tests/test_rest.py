@@ -54,6 +54,9 @@ def test_runs(spark):
     assert q[0.5] == 5 and q[1.0] == 10
     n = {r.q: r.x for r in runs.nearest_rank(spark.range(1, 11).withColumnRenamed("id", "n"), "n", [0.05, 0.9, 1.0]).collect()}
     assert n == {0.05: 1, 0.9: 9, 1.0: 10}
+    ids = [r.id for r in runs.shuffled(spark.range(50), "id", 1).collect()]
+    assert ids != sorted(ids) and ids == [r.id for r in runs.shuffled(spark.range(50).repartition(3), "id", 1).collect()]
+    assert [r.id for r in runs.first_rows(spark.range(9), ["id"], 2).collect()] == [0, 1]
     assert runs.sweep(spark, a=[1, 2], b=["x"]).count() == 2
     c = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0], [1.0])], "a array<double>, b array<double>").select(runs.cosine(F.col("a"), F.col("b")).alias("c")).collect()
     assert c[0].c == pytest.approx(1) and c[1].c is None
