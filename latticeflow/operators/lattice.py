@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.functions import semiring as S
+from latticeflow.functions import text as T
 from latticeflow.functions.text import SPACE
 from latticeflow.session import spread
 
@@ -70,6 +71,27 @@ def lattice_edges(words: DataFrame, vocab: DataFrame, max_unit: int = 4, max_len
     return found.select("word", "s", "e", token.alias("token"), logp.alias("logp")).where("logp is not null")
 
 
+def sentence_edges(lines: DataFrame, vocab: DataFrame, key: str, chunks: str = "chunks", max_unit: int = 4, max_length: int = 48, max_blocks: int = 8, unk: float | None = None, specials: Sequence[str] = T.SPECIALS) -> DataFrame:
+    """(key, block, s, e, token, logp): the chunks of each line packed into blocks, their edges placed in the block.
+
+    An edge never leaves its chunk; a special chunk is one edge of length 1 (with weight 1 if the vocabulary lacks it). A chunk over
+    `max_length`, or a line of more than `max_blocks` blocks, is an error at run time. Null and empty lists have no edges. Chunks are
+    segmented once each, however often they occur.
+    """
+    check(max_blocks, max_unit, max_length, split=True)
+    wrong = (F.size(chunks) > 0) & (F.exists(chunks, lambda c: T.chunk_length(c, specials) > max_length) | (F.size("_blocks") > max_blocks))
+    fits = F.when(wrong, F.raise_error(F.lit("a line doesn't fit its blocks")).cast("boolean")).otherwise(True)
+    packed = lines.select(key, chunks, T.pack_blocks(F.col(chunks), max_length, specials).alias("_blocks")).where(fits)
+    block = packed.select(key, F.posexplode("_blocks").alias("block", "_b"))
+    placed = block.select(key, "block", F.explode(T.with_boundaries(F.col("_b"), specials)).alias("x")).select(key, "block", F.col("x.unit").alias("word"), (F.col("x.rb") - T.chunk_length(F.col("x.unit"), specials)).alias("_at"))
+    ordinary = placed.where(~F.col("word").isin(*specials))
+    found = lattice_edges(ordinary.select("word"), vocab, max_unit, max_length, unk=unk)
+    inner = ordinary.join(found, "word").select(key, "block", (F.col("_at") + F.col("s")).alias("s"), (F.col("_at") + F.col("e")).alias("e"), "token", "logp")
+    known = F.broadcast(vocab.where(F.col("token").isin(*specials)).select(F.col("token").alias("word"), "logp"))  # the special tokens only
+    special = placed.where(F.col("word").isin(*specials)).join(known, "word", "left")
+    return inner.unionByName(special.select(key, "block", F.col("_at").alias("s"), (F.col("_at") + 1).alias("e"), F.col("word").alias("token"), F.coalesce("logp", F.lit(0.0)).alias("logp")))
+
+
 def lattices(edges: DataFrame, key: str = "word", length: str | None = None) -> DataFrame:
     """One row per lattice: (key, len, edges), the edges ordered by start, then end."""
     packed = spread(edges, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "logp"))).alias("edges"))

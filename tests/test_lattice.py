@@ -167,3 +167,23 @@ def test_stream(spark, vocab, tmp_path):
     assert got[1][0].path == ["hate"] and got[2] is None and got[3] is None
     e = spark.sql("select timestamp'2024-01-01 00:01:00' ts, 1.0D value, 7L user_id")
     assert log_windows(e).first().n == 1
+
+
+def test_encoding_fixture(spark):
+    names = ["[UNK]", "▁", "▁h", "▁hat", "▁hate", "▁a", "▁ate", "▁at", "t", "a", "e", "h", "at", "ate", "hat"]
+    v = spark.createDataFrame([(t, float(i)) for i, t in enumerate(names)], "token string, logp double")
+    e = L.lattice_edges(spark.createDataFrame([("▁hate",), ("▁ate",), ("▁hote",)], "word string"), v, max_unit=3, max_length=5, unk=0.0).collect()
+    got = {w: {(r.s, r.e): int(r.logp) for r in e if r.word == w} for w in ("▁hate", "▁ate", "▁hote")}
+    assert got["▁hate"] == {(0, 1): 1, (1, 2): 11, (2, 3): 9, (3, 4): 8, (4, 5): 10, (0, 2): 2, (2, 4): 12, (1, 4): 14, (2, 5): 13}
+    assert got["▁ate"] == {(0, 1): 1, (1, 2): 9, (2, 3): 8, (3, 4): 10, (0, 2): 5, (1, 3): 12, (0, 3): 7, (1, 4): 13}
+    assert got["▁hote"] == {(0, 1): 1, (1, 2): 11, (2, 3): 0, (3, 4): 8, (4, 5): 10, (0, 2): 2}
+
+
+def test_blocks_of_sentences(spark):
+    v = spark.createDataFrame([(t, -1.0) for t in ("_", "I", "_I", "a", "m", "_a", "am", "_am", "I_", "I_a")], "token string, logp double")
+    lines = spark.createDataFrame([(1, ["[SP1]", "_I", "_am"]), (2, None), (3, [])], "id int, chunks array<string>")
+    e = {(r.block, r.s, r.e): r.token for r in L.sentence_edges(lines, v, "id", max_unit=3, max_length=6, max_blocks=2).collect()}
+    assert e[0, 0, 1] == "[SP1]" and e[0, 1, 3] == "_I" and e[0, 3, 6] == "_am"
+    assert not [k for k in e if k[1] < 3 < k[2]]
+    with pytest.raises(Exception, match="fit"):
+        L.sentence_edges(lines, v, "id", max_unit=3, max_length=3, max_blocks=1).collect()
