@@ -147,14 +147,14 @@ def tokenize_lines(s: SparkSession, d: str) -> DataFrame:
     words = lines.select(F.explode("chunks").alias("word"))
     best = lattice.viterbi(lattice.lattices(lattice.lattice_edges(words, units, LQ.UNIT, LQ.LENGTH)))
     out = encode.tokenize_lines(lines, best, "sent_id")
-    return out.select("sent_id", F.round("logw", 4).alias("logw"), F.concat_ws(" ", "tokens").alias("tokens"))
+    return out.select("sent_id", F.round("logw", 6).alias("logw"), F.concat_ws(" ", "tokens").alias("tokens"))
 
 
 def sentence_lattices(s: SparkSession, d: str) -> DataFrame:
     """Edges of each sentence's packed blocks: their number and summed weight."""
     lines = _lines(s, d).select("sent_id", F.filter(F.transform("chunks", lambda c: F.lower(c)), lambda c: F.length(c) <= LQ.LENGTH).alias("chunks"))
     e = lattice.sentence_edges(lines, cut(LQ.vocabulary(s, d)), "sent_id", max_unit=LQ.UNIT, max_length=LQ.LENGTH, max_blocks=10_000)
-    return e.groupBy("sent_id").agg(F.count("*").alias("edges"), F.round(F.sum("logp"), 3).alias("logp"))
+    return e.groupBy("sent_id").agg(F.count("*").alias("edges"), F.round(F.sum("logp"), 6).alias("logp"))
 
 
 def path_positions(s: SparkSession, d: str) -> DataFrame:
@@ -233,11 +233,11 @@ _OPT = "opt AS (SELECT DISTINCT word, seg FROM (SELECT word, {c4} AS seg FROM pr
 _SENT = f"{_L}, lw AS (SELECT sent_id, generate_subscripts(chunks, 1) AS pos, lower(unnest(chunks)) AS w FROM ls)"
 SQL["tokenize_lines"] = (
     f"WITH RECURSIVE {LQ._WORDS.replace('words AS', 'dwords AS')}, {LQ._SUBS.replace('FROM words', 'FROM dwords')}, {_SENT}, words AS (SELECT DISTINCT w AS word FROM lw), {LQ._EDGES}, {LQ._BEST.format(n=1)}"
-    " SELECT sent_id, round(sum(CASE WHEN len(paths) > 0 THEN -paths[1].cost ELSE 0 END), 4) AS logw, string_agg(CASE WHEN len(paths) > 0 THEN array_to_string(paths[1].path, ' ') ELSE w END, ' ' ORDER BY pos) AS tokens FROM lw LEFT JOIN fin ON fin.word = w GROUP BY sent_id"
+    " SELECT sent_id, round(sum(CASE WHEN len(paths) > 0 THEN -paths[1].cost ELSE 0 END), 6) AS logw, string_agg(CASE WHEN len(paths) > 0 THEN array_to_string(paths[1].path, ' ') ELSE w END, ' ' ORDER BY pos) AS tokens FROM lw LEFT JOIN fin ON fin.word = w GROUP BY sent_id"
 )
 SQL["sentence_lattices"] = (
     f"WITH {LQ._WORDS.replace('words AS', 'dwords AS')}, {LQ._SUBS.replace('FROM words', 'FROM dwords')}, {_SENT}, words AS (SELECT DISTINCT w AS word FROM lw), {LQ._EDGES}"
-    " SELECT sent_id, count(*) AS edges, round(sum(logp), 3) AS logp FROM lw JOIN edges ON edges.word = w GROUP BY sent_id"
+    " SELECT sent_id, count(*) AS edges, round(sum(logp), 6) AS logp FROM lw JOIN edges ON edges.word = w GROUP BY sent_id"
 )
 SQL["path_positions"] = f"WITH RECURSIVE {_FIN}, x AS (SELECT word, list_transform(toks, lambda t: length(t)) AS ls FROM pred) SELECT word, array_to_string(ls, ',') AS lengths, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: coalesce(list_sum(ls[1:i - 1]), 0)::BIGINT), ',') AS positions FROM x"
 SQL["causal_pairs"] = f"WITH {LQ._BASE} SELECT word, count(*) AS pairs FROM edges a JOIN edges b USING (word) WHERE b.e <= a.s OR (a.s = b.s AND a.e = b.e) GROUP BY word"
