@@ -3,7 +3,7 @@
 A passage of `PASSAGE` words or more of which at most one in `PER_EDIT` is altered keeps a number of the item's
 character q-grams, all near one diagonal (the q-gram lemma). The items' q-grams are looked up in every document; per
 document, item and diagonal band (bands overlap by half) the shared q-grams are counted. A region that meets the item's
-bound is aligned word by word, and the alignment is searched for a passage within the edit budget.
+bound is searched word by word for a window of the item within the edit budget.
 The items go to the tasks in blocks of a fixed size; documents are never shuffled.
 """
 
@@ -21,6 +21,8 @@ from latticeflow.llm.plaintext import reader_words
 
 #: Words of a passage, and words to one edit.
 PASSAGE, PER_EDIT = 25, 10
+#: Words of the longest passage to look for: from one more on, two unaltered words in its middle part it into two, one of which is within the budget.
+LONGEST = next(n for n in range(2 * PASSAGE, 9 * PASSAGE) if n + 1 - 2 * (PASSAGE - 1) - (n + 1) // PER_EDIT >= 2)
 #: Characters of a q-gram: the first size that gives an item a bound of `LEAST_HITS` is used for it.
 GRAMS, LEAST_HITS = (16, 8, 4), 4
 #: Width of a diagonal band in characters; words around a region; characters of items in one broadcast block.
@@ -91,37 +93,36 @@ class ItemIndex:
 
 
 def aligned_passage(item: tuple[str, ...], doc: list[str]) -> bool:
-    """Whether the best local alignment of the two word lists holds a passage within the budget."""
+    """Whether the document's words hold a passage of the item within the budget.
+
+    The least number of edits of every window of item words against any part of the document. The first and the last word of a
+    passage are unaltered, since a copy that ends before an altered word is only a shorter copy.
+    """
     at: dict[str, int] = {}
-    a = np.array([at.setdefault(w, len(at)) for w in item])
-    b = np.array([at.setdefault(w, len(at)) for w in doc])
+    a = np.array([at.setdefault(w, len(at)) for w in item], np.int64)
+    b = np.array([at.setdefault(w, len(at)) for w in doc], np.int64)
     n, m = len(a), len(b)
-    if n < PASSAGE or m < PASSAGE * (PER_EDIT - 1) // PER_EDIT:
+    if n < PASSAGE or m < PASSAGE - PASSAGE // PER_EDIT:
         return False
-    h = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = np.maximum(h[i - 1] - 1, 0)
-        row[1:] = np.maximum(row[1:], h[i - 1, :-1] + np.where(b == a[i - 1], 1, -1))
-        h[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = divmod(int(h.argmax()), m + 1)
-    steps = []  # (words of the item, edits), from the end
-    while i > 0 and j > 0 and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
-            steps.append((1, int(a[i - 1] != b[j - 1])))
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - 1:
-            steps.append((1, 1))
-            i -= 1
-        else:
-            steps.append((0, 1))
-            j -= 1
-    if not steps:
+    # cheap part first: words that some stretch of the document shares with the item at all
+    shared = np.concatenate([[0], np.cumsum(np.isin(b, a))])
+    wide = LONGEST + LONGEST // PER_EDIT
+    if (shared[wide:] - shared[:-wide] if m > wide else shared[-1:]).max() < PASSAGE - PASSAGE // PER_EDIT:
         return False
-    words = np.concatenate([[0], np.cumsum([s[0] for s in steps])])
-    edits = np.concatenate([[0], np.cumsum([s[1] for s in steps])])
-    length = words[None, :] - words[:, None]
-    return bool(((length >= PASSAGE) & (PER_EDIT * (edits[None, :] - edits[:, None]) <= length)).any())
+    never = np.int32(n + m)
+    cost = np.full((n - PASSAGE + 1, m + 1), never)
+    cost[:, 1:][b[None, :] == a[: len(cost), None]] = 0
+    ramp = np.arange(m + 1, dtype=np.int32)
+    cost = np.minimum.accumulate(cost - ramp, axis=1) + ramp
+    for k in range(2, min(n, LONGEST) + 1):
+        cost = cost[: n - k + 1]  # windows that the item still has words for
+        same = b[None, :] == a[k - 1 : k - 1 + len(cost), None]
+        if k >= PASSAGE and PER_EDIT * int(np.where(same, cost[:, :-1], never).min()) <= k:
+            return True
+        row = cost + 1
+        row[:, 1:] = np.minimum(row[:, 1:], cost[:, :-1] + ~same)
+        cost = np.minimum.accumulate(row - ramp, axis=1) + ramp
+    return False
 
 
 def leaked(index: ItemIndex, docs: list[list[str]]) -> list[tuple[int, int]]:

@@ -278,6 +278,19 @@ def test_q_gram_filter_against_alignment_of_all():
     assert found == {(d, k) for d, words in enumerate(docs) for k, item in enumerate(index.words) if leaks.aligned_passage(item, words)}
 
 
+def test_leak_edited_near_an_end():
+    rng = random.Random(9)
+    item, filler = _item(rng, 60), _item(rng, 40)
+    for length, at in [(25, 1), (25, 23), (26, 1), (26, 24), (30, 28), (59, 1)]:
+        copied = item[:length] if length > 48 else item[11 : 11 + length]
+        copied[at] = "anders"
+        doc = filler[:20] + copied + filler[20:]
+        assert leaks.aligned_passage(tuple(item), doc), (length, at)
+        assert leaks.leaked(leaks.ItemIndex([(1, " ".join(item))]), [doc]) == [(0, 0)]
+    assert not leaks.aligned_passage(tuple(item), filler[:20] + item[11:35] + filler[20:])
+    assert not leaks.aligned_passage(tuple(item), filler[:20] + [w if i % 7 else "weg" for i, w in enumerate(item)] + filler[20:])
+
+
 # residue
 
 
