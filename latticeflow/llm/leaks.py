@@ -1,9 +1,8 @@
-"""Passages of held-out items in a corpus: q-gram counting in diagonal bands, then banded alignment.
+"""Passages of held-out items in a corpus: shared runs of words, then alignment around them.
 
-A passage of `PASSAGE` words or more of which at most one in `PER_EDIT` is altered keeps a number of the item's
-character q-grams, all near one diagonal (the q-gram lemma). The items' q-grams are looked up in every document; per
-document, item and diagonal band (bands overlap by half) the shared q-grams are counted. A region that meets the item's
-bound is searched word by word for a window of the item within the edit budget.
+A passage of `PASSAGE` words or more of which at most one in `PER_EDIT` is altered holds at least `RUN` consecutive words of the
+item unaltered, however long the words around them are. The items' runs are looked up in every document; around each shared run the
+document is searched word by word for a window of the item within the edit budget.
 The items go to the tasks in blocks of a fixed size; documents are never shuffled.
 """
 
@@ -23,15 +22,14 @@ from latticeflow.llm.plaintext import reader_words
 PASSAGE, PER_EDIT = 25, 10
 #: Words of the longest passage to look for: from one more on, two unaltered words in its middle part it into two, one of which is within the budget.
 LONGEST = next(n for n in range(2 * PASSAGE, 9 * PASSAGE) if n + 1 - 2 * (PASSAGE - 1) - (n + 1) // PER_EDIT >= 2)
-#: Characters of a q-gram: the first size that gives an item a bound of `LEAST_HITS` is used for it.
-GRAMS, LEAST_HITS = (16, 8, 4), 4
-#: Width of a diagonal band in characters; words around a region; characters of items in one broadcast block.
-BAND, MARGIN, BLOCK = 96, 30, 8_000_000
+#: Words that every passage has unaltered in a row; characters of items in one broadcast block.
+RUN = min(-(-(n - n // PER_EDIT) // (n // PER_EDIT + 1)) for n in range(PASSAGE, LONGEST + 1))
+BLOCK = 8_000_000
 _MASK = (1 << 22) - 1
 
 
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of every q-gram of an array of bytes."""
+    """A 64-bit hash of every q-gram of an array of numbers."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -44,21 +42,8 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def bound(lengths: np.ndarray, q: int) -> int:
-    """The fewest q-grams that a passage of an item with these word lengths keeps if its budget of edits is spent."""
-    least = None
-    for m in (PASSAGE, 3 * PER_EDIT, 4 * PER_EDIT, 5 * PER_EDIT):
-        if m > len(lengths):
-            break
-        views = np.lib.stride_tricks.sliding_window_view(lengths, m)
-        worst = np.sort(views, axis=1)[:, -(m // PER_EDIT) :].sum(axis=1) + (m // PER_EDIT) * (q - 1)
-        kept = int((views.sum(axis=1) - q + 1 - worst).min())
-        least = kept if least is None else min(least, kept)
-    return 0 if least is None else least
-
-
 class ItemIndex:
-    """The q-grams of a block of items (distinct texts, each with its ids)."""
+    """The runs of words of a block of items (distinct texts, each with its ids)."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         texts: dict[tuple[str, ...], list[int]] = {}
@@ -68,28 +53,28 @@ class ItemIndex:
                 texts.setdefault(words, []).append(i)
         self.words = list(texts)
         self.ids = list(texts.values())
-        self.size, self.need = [], []
+        #: Numbers of the items' words, from 1; the items' numbers in a row, a 0 before and after each.
+        self.known: dict[str, int] = {}
+        flat = [0]
         for words in self.words:
-            lengths = np.array([len(w.encode()) for w in words])
-            q = next((q for q in GRAMS if bound(lengths, q) >= LEAST_HITS), GRAMS[-1])
-            self.size.append(q)
-            self.need.append(max(1, bound(lengths, q)))
-        self.need = np.array(self.need, np.int64)
-        self.tables = {}
-        for q in sorted(set(self.size)):
-            hs, own, pos = [], [], []
-            for k, words in enumerate(self.words):
-                if self.size[k] == q:
-                    h = grams(np.frombuffer("".join(words).encode(), np.uint8), q)
-                    hs.append(h)
-                    own.append(np.full(len(h), k))
-                    pos.append(np.arange(len(h)))
-            h, own, pos = np.concatenate(hs), np.concatenate(own), np.concatenate(pos)
-            order = np.argsort(h, kind="stable")
-            keys, first = np.unique(h[order], return_index=True)
-            bits = np.zeros(_MASK + 1, bool)
-            bits[(keys & np.uint64(_MASK)).astype(np.int64)] = True
-            self.tables[q] = (keys, np.append(first, len(h)), own[order].astype(np.int64), pos[order].astype(np.int64), bits)
+            flat += [*(self.known.setdefault(w, len(self.known) + 1) for w in words), 0]
+        self.flat = np.array(flat, np.int64)
+        self.starts = np.cumsum([1, *(len(w) + 1 for w in self.words)])
+        h, at = whole_runs(self.flat)
+        order = np.argsort(h, kind="stable")
+        self.keys, first = np.unique(h[order], return_index=True)
+        self.first, self.at = np.append(first, len(h)), at[order]
+        self.bits = np.zeros(_MASK + 1, bool)
+        self.bits[(self.keys & np.uint64(_MASK)).astype(np.int64)] = True
+
+
+def whole_runs(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every run of `RUN` numbers without a 0."""
+    if len(flat) < RUN:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    zeros = np.concatenate([[0], np.cumsum(flat == 0)])
+    at = np.flatnonzero(zeros[RUN:] == zeros[:-RUN])
+    return grams(flat, RUN)[at], at
 
 
 def aligned_passage(item: tuple[str, ...], doc: list[str]) -> bool:
@@ -125,62 +110,64 @@ def aligned_passage(item: tuple[str, ...], doc: list[str]) -> bool:
     return False
 
 
+def reaches(a: list[str], b: list[str]) -> list[int]:
+    """The most words of `a` that 0, 1, ... edits align from the start of `a` and `b` on, by furthest points on diagonals."""
+    at, out = {0: 0}, []
+    for e in range(LONGEST // PER_EDIT + 1):
+        for k, x in at.items():
+            while x < len(a) and x + k < len(b) and a[x] == b[x + k]:
+                x += 1
+            at[k] = x
+        out.append(max(at.values()))
+        grown: dict[int, int] = {}
+        for k, x in at.items():
+            for k2, x2 in ((k, x + 1), (k - 1, x + 1), (k + 1, x)):  # altered, dropped, added
+                if x2 <= len(a) and 0 <= x2 + k2 <= len(b) and x2 > grown.get(k2, -1):
+                    grown[k2] = x2
+        at = {k: max(x, grown.get(k, 0)) for k, x in at.items()} | {k: x for k, x in grown.items() if k not in at}
+    return out
+
+
 def leaked(index: ItemIndex, docs: list[list[str]]) -> list[tuple[int, int]]:
     """(document's place, item's place) for every item that a document leaks."""
-    codes, owner, word = [], [], []
-    for d, words in enumerate(docs):
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        codes.append(np.frombuffer(b"".join(raw), np.uint8))
-        owner.append(len(codes[-1]))
-        word.append(np.repeat(np.arange(len(raw)), sizes))
-    starts = np.concatenate([[0], np.cumsum(owner)]).astype(np.int64)
-    whole = np.concatenate(codes) if codes else np.zeros(0, np.uint8)
-    place = np.concatenate(word) if word else np.zeros(0, np.int64)
+    flat = [0]
+    for words in docs:
+        flat += [*(index.known.get(w, 0) for w in words), 0]
+    whole = np.array(flat, np.int64)
+    starts = np.cumsum([1, *(len(w) + 1 for w in docs)])
     found: set[tuple[int, int]] = set()
-    for q, (keys, first, own, pos, bits) in index.tables.items():
-        h = grams(whole, q)
-        j = np.flatnonzero(bits[(h & np.uint64(_MASK)).astype(np.int64)])
-        k = np.searchsorted(keys, h[j])
-        ok = k < len(keys)
-        j, k = j[ok], k[ok]
-        ok = keys[k] == h[j]
-        j, k = j[ok], k[ok]
-        d = np.searchsorted(starts, j, side="right") - 1
-        inside = j + q <= starts[d + 1]
-        j, k, d = j[inside], k[inside], d[inside]
-        # cheap part first: all hits of a document with an item, whatever the diagonal
-        many = first[k + 1] - first[k]
-        rep = np.repeat(np.arange(len(j)), many)
-        entry = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + first[k][rep]
-        item, jj, dd = own[entry], (j - starts[d])[rep], d[rep]
-        pair = dd * len(index.words) + item
-        order = np.argsort(pair, kind="stable")
-        pair, item, jj, dd, ii = pair[order], item[order], jj[order], dd[order], pos[entry][order]
-        cuts = np.flatnonzero(np.diff(pair)) + 1
-        begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(pair)]])
-        if not len(pair):
+    h, j = whole_runs(whole)
+    hit = index.bits[(h & np.uint64(_MASK)).astype(np.int64)]
+    h, j = h[hit], j[hit]
+    k = np.searchsorted(index.keys, h)
+    hit = k < len(index.keys)
+    h, j, k = h[hit], j[hit], k[hit]
+    hit = index.keys[k] == h
+    j, k = j[hit], k[hit]
+    many = index.first[k + 1] - index.first[k]
+    j = np.repeat(j, many)
+    i = index.at[np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.first[k], many)]
+    # each shared run once, by its first word
+    new = (whole[j - 1] != index.flat[i - 1]) | (whole[j - 1] == 0)
+    i, j = i[new], j[new]
+    items, owners = np.searchsorted(index.starts, i, side="right") - 1, np.searchsorted(starts, j, side="right") - 1
+    around = LONGEST + LONGEST // PER_EDIT
+    for it, d, x, y in zip(items.tolist(), owners.tolist(), (i - index.starts[items]).tolist(), (j - starts[owners]).tolist()):
+        if (d, it) in found:
+            continue
+        item, doc, n = index.words[it], docs[d], 0
+        while x + n < len(item) and y + n < len(doc) and item[x + n] == doc[y + n]:
+            n += 1
+        if n < RUN:
+            continue
+        before, after = item[max(0, x - LONGEST) : x], item[x + n : x + n + LONGEST]
+        doc_before, doc_after = doc[max(0, y - around) : y], doc[y + n : y + n + around]
+        # cheap part first: how far the budget reaches from the run to either side, whatever the ends are
+        left, right = reaches(before[::-1], doc_before[::-1]), reaches(after, doc_after)
+        if all(n + left[p] + right[q] < max(PASSAGE, PER_EDIT * (p + q)) for p in range(len(left)) for q in range(len(right) - p)):
             continue
-        for x, y in zip(begin, end):
-            it, need = int(item[x]), int(index.need[item[x]])
-            if y - x < need:
-                continue
-            js = jj[x:y]
-            diag = js - ii[x:y]
-            low = (diag - diag.min()) // (BAND // 2)
-            counts = np.bincount(low, minlength=2)
-            bands = counts[:-1] + counts[1:] if len(counts) > 1 else counts
-            at = int(starts[dd[x]])
-            for band in np.flatnonzero(bands >= need):
-                if (int(dd[x]), it) in found:
-                    break
-                if 0 < band < len(bands) - 1 and bands[band] < max(bands[band - 1], bands[band + 1]) and counts[band] == 0:
-                    continue  # the neighbour covers the same hits
-                mine = js[(low == band) | (low == band + 1)]
-                lo = max(0, int(place[at + mine.min()]) - MARGIN)
-                hi = int(place[at + min(int(mine.max()) + q - 1, starts[dd[x] + 1] - at - 1)]) + MARGIN + 1
-                if aligned_passage(index.words[it], docs[int(dd[x])][lo:hi]):
-                    found.add((int(dd[x]), it))
+        if aligned_passage(before + item[x : x + n] + after, doc_before + doc[y : y + n] + doc_after):
+            found.add((d, it))
     return sorted(found)
 
 

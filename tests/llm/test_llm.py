@@ -291,6 +291,24 @@ def test_leak_edited_near_an_end():
     assert not leaks.aligned_passage(tuple(item), filler[:20] + [w if i % 7 else "weg" for i, w in enumerate(item)] + filler[20:])
 
 
+def test_leak_with_long_words_added():
+    rng = random.Random(10)
+    item = [w[:6].ljust(6, "x") for w in _item(rng, 60)]
+    index = leaks.ItemIndex([(1, " ".join(item))])
+    assert leaks.RUN == 7
+    for at in (7, 15, 23):
+        copied = item[5:35]
+        copied.insert(at, "y" * 100)
+        assert leaks.leaked(index, [_item(rng, 10), _item(rng, 40) + copied + _item(rng, 40), []]) == [(1, 0)]
+    for _ in range(300):  # any edits, against the alignment of the whole texts
+        copied = item[(x := rng.randrange(30)) : x + rng.randrange(23, 58)]
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(copied))
+            copied[at : at + rng.randrange(2)] = ["z" * rng.choice((3, 300))] * rng.randrange(2)
+        doc = _item(rng, 5) + copied + _item(rng, 5)
+        assert bool(leaks.leaked(index, [doc])) == leaks.aligned_passage(tuple(item), doc)
+
+
 # residue
 
 
