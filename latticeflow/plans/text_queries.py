@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.functions import text as T
-from latticeflow.operators import dynamics, encode, evaluate, lattice, morphology, runs, skipgram
+from latticeflow.operators import dynamics, encode, evaluate, lattice, morphology, packed, runs, skipgram
+from latticeflow.operators.records import first_delivery
 from latticeflow.plans import lattice_queries as LQ
 from latticeflow.sources import readers
 from latticeflow.session import cut, table
 
 #: Characters of a block of packed chunks.
 BLOCK = 64
+#: Marks of empty slots.
+NO_UNIT = ("[SP1]", "[SP2]", "[SP3]")
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
@@ -178,11 +181,22 @@ def derive_words(s: SparkSession, d: str) -> DataFrame:
     return w.select("word", morphology.derive_column(F.col("word"), der).alias("pieces")).where(F.array_join("pieces", "") == F.col("word"))
 
 
+def word_slots(m: DataFrame) -> DataFrame:
+    """(id, pos, word, units): the words of each record's text with their filled slots, three to a word; marks of punctuation have none.
+
+    The units are null in a record that hasn't three slots to a word.
+    """
+    parsed = packed.parse_packed(m.select("id", "text", F.col("segmentation").alias("slots")), ["slots"])
+    words = F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]") & ~w.isin(*NO_UNIT))
+    each = parsed.select("id", "slots", (F.size("slots") == 3 * F.size(words)).alias("fits"), F.posexplode(words).alias("pos", "word"))
+    own = F.filter(F.slice("slots", F.col("pos") * 3 + 1, F.lit(3)), lambda u: ~u.isin(*NO_UNIT))
+    return each.select("id", "pos", F.lower("word").alias("word"), F.when(F.col("fits"), F.transform(own, lambda u: F.lower(u))).alias("units"))
+
+
 def edit_fences(s: SparkSession, d: str) -> DataFrame:
-    """Cuts of each morpheme text's words that align with its units."""
-    m = readers.gold_slots(table(s, d, "morpheme").where("text is not null and segmentation is not null").select("id", F.lower("text").alias("text"), "segmentation").dropDuplicates(["id"]))
-    one = m.where((F.size("units") > 0) & ~F.contains("text", F.lit(" ")) & (F.size("units") <= 3))
-    return one.select("id", morphology.fence_column(F.col("text"), F.col("units")).alias("fences"))
+    """Cuts of every word of each morpheme record that align with the word's units; null where the record has no units for the word."""
+    m = first_delivery(table(s, d, "morpheme"), "id", "added_at", ["text", "segmentation"]).where("text is not null and segmentation is not null")
+    return word_slots(m).select("id", "pos", "word", morphology.fence_column(F.col("word"), F.col("units")).alias("fences"))
 
 
 def node_views(s: SparkSession, d: str) -> DataFrame:

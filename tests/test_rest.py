@@ -90,6 +90,18 @@ def test_morphology(spark):
     assert {r.word: r.pieces for r in morphology.linked(df).collect()}["abcd"] == ["a", "b", "c", "d"]
 
 
+def test_fences_of_every_word(spark, tmp_path):
+    rows = [
+        (1, "Biologists ran .", "[SP1]-bio-logists-[SP1]-ran-[SP3]", "2022-01-02"), (1, "other", "[SP1]-oth-er", "2022-01-03"), (2, "undo", "[SP1]-un-do", "2022-01-01"),
+        (3, "ABC De", '["a", "b", "c", "[SP1]", "de", "[SP3]"]', "2022-01-01"), (4, "two words", "[SP1]-two-[SP3]", "2022-01-01"), (5, None, "a-b-c", "2022-01-01"),
+    ]
+    spark.createDataFrame(rows, "id long, text string, segmentation string, added_at string").write.parquet(f"{tmp_path}/morpheme.parquet")
+    got = sorted((r.id, r.pos, r.word, r.fences) for r in queries()["edit_fences"](spark, str(tmp_path)).collect())
+    assert got == [
+        (1, 0, "biologists", [[3, 10]]), (1, 1, "ran", [[3]]), (2, 0, "undo", [[2, 4]]), (3, 0, "abc", [[1, 2, 3]]), (3, 1, "de", [[2]]), (4, 0, "two", None), (4, 1, "words", None)
+    ]
+
+
 def test_first_delivery(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "z", None), (2, None, None), (None, "q", 1)], "k long, v string, at long")
     assert {r.k: r.v for r in first_delivery(df, "k", "at", ["v"]).collect()} == {1: "a", 2: None}
