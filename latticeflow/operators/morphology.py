@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOWELS = frozenset("aeiou")
@@ -54,6 +54,32 @@ class Derivator:
                 return (name, *found[0]), found[1], found[2]
         return None
 
+    def readings(self, word: str) -> list[tuple[tuple[str, ...], str, tuple[str, ...]]]:
+        """(prefixes, stem, suffixes) of the word for every stem that the search would try, in its order; the first known stem is the search's result."""
+        out, tried, seen = [], set(), set()
+
+        def walk(form: str, stripped: bool, pre: tuple[str, ...], suf: tuple[str, ...]) -> None:
+            if (form, stripped) in seen:  # found before, with the same stems
+                return
+            seen.add((form, stripped))
+            spellings = self.repairs(form) if stripped else [form]
+            for stem in spellings:
+                if stem not in tried:
+                    tried.add(stem)
+                    out.append((pre, stem, suf))
+            for spelt in spellings:
+                for n in range(len(spelt) - 1, 0, -1):
+                    if spelt[-n:] in self.suffixes:
+                        walk(spelt[:-n], True, pre, (spelt[-n:], *suf))
+            for n in range(len(form) - 1, 0, -1):
+                prefix = form[:n]
+                name = "in" if prefix in ("im", "il", "ir") and prefix not in self.prefixes else prefix
+                if name in self.prefixes:
+                    walk(form[n:], stripped, (*pre, name), suf)
+
+        walk(word.lower(), False, (), ())
+        return out
+
     def derive(self, word: str | None, mode: str = "morphemes"):
         """roots: the stem; bundles: [prefixes joined, stem, suffixes joined]; morphemes: all of them in order.
 
@@ -87,6 +113,28 @@ def derive_column(word: Column, derivator: Derivator, mode: str = "morphemes") -
     return run(word)
 
 
+def derive_by_join(words: DataFrame, stems: DataFrame, prefixes: Iterable[str], suffixes: Iterable[str], word: str = "word") -> DataFrame:
+    """(word, pieces): the morphemes of each distinct word, as `derive` finds them, the stems (one column) being a table of any size.
+
+    Every stem that a word may have is joined with the known ones; the first in the order of the search counts. A word without a
+    known stem is its own root.
+    """
+    lists = (list(prefixes), list(suffixes))
+
+    @F.pandas_udf("array<struct<stem string, pieces array<string>>>")
+    def readings(batch: pd.Series) -> pd.Series:
+        d = Derivator(*lists, ())
+        return pd.Series([[{"stem": stem, "pieces": [*pre, stem, *suf]} for pre, stem, suf in d.readings(w)] for w in batch])
+
+    distinct = words.where(F.col(word).isNotNull()).select(word).distinct()
+    known = stems.select(F.lower(F.trim(F.col(stems.columns[0]))).alias("_stem")).where("_stem <> ''").distinct()
+    each = distinct.select(word, F.posexplode(readings(F.col(word))).alias("_rank", "_x")).select(word, "_rank", F.col("_x.stem").alias("_stem"), F.col("_x.pieces").alias("_pieces"))
+    found = each.join(known.withColumn("_known", F.lit(True)), "_stem", "left")
+    # the unsplit word is the first reading of all, so that every word has a row
+    best = F.coalesce(F.min(F.when(F.col("_known"), F.struct("_rank", "_pieces")))["_pieces"], F.array(F.lower(word)))
+    return found.groupBy(word).agg(best.alias("pieces"))
+
+
 def fences(surface: str, pieces: list[str]) -> list[list[int]]:
     """All ways to cut the surface so that the pieces' letters align with it at the least edit cost; each is a list of end offsets.
 

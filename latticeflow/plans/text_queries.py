@@ -174,11 +174,10 @@ def causal_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def derive_words(s: SparkSession, d: str) -> DataFrame:
-    """Words of the documents derived with a few English affixes; stems are the words that occur 20 times or more, at most 20,000."""
+    """Words of the documents, each with its pieces by a few English affixes; stems are the words of three letters or more that occur 20 times or more."""
     w = cut(LQ.words(s, d).where(F.col("word").rlike("^[a-z]+$")))
-    stems = [r.word for r in w.where((F.col("n") >= 20) & (F.length("word") >= 3)).orderBy(F.desc("n"), "word").limit(20_000).collect()]
-    der = morphology.Derivator(["un", "re", "in", "non", "sub", "over"], ["s", "ed", "ing", "er", "ly", "ness", "able", "ation", "ies"], stems)
-    return w.select("word", morphology.derive_column(F.col("word"), der).alias("pieces")).where(F.array_join("pieces", "") == F.col("word"))
+    stems = w.where((F.col("n") >= 20) & (F.length("word") >= 3)).select("word")
+    return morphology.derive_by_join(w, stems, ["un", "re", "in", "non", "sub", "over"], ["s", "ed", "ing", "er", "ly", "ness", "able", "ation", "ies"])
 
 
 def word_slots(m: DataFrame) -> DataFrame:

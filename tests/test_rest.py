@@ -90,6 +90,18 @@ def test_morphology(spark):
     assert {r.word: r.pieces for r in morphology.linked(df).collect()}["abcd"] == ["a", "b", "c", "d"]
 
 
+def test_derived_words_keep_repaired_stems(spark, tmp_path):
+    affixes = ["un", "re", "in", "non", "sub", "over"], ["s", "ed", "ing", "er", "ly", "ness", "able", "ation", "ies"]
+    stems = ["make", "happy", "stop", "possible", "read"]
+    others = ["making", "happier", "stopped", "impossible", "unreadable", "readings", "xyz", "unhappily", "rereading", "sssss"]
+    text = " ".join(stems * 20 + others)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: list(r.pieces) for r in queries()["derive_words"](spark, str(tmp_path)).collect()}
+    one = morphology.Derivator(*affixes, stems)
+    assert got == {w: one.derive(w) for w in stems + others}
+    assert got["making"] == ["make", "ing"] and got["stopped"] == ["stop", "ed"] and got["happier"] == ["happy", "er"] and got["impossible"] == ["in", "possible"] and got["xyz"] == ["xyz"]
+
+
 def test_fences_of_every_word(spark, tmp_path):
     rows = [
         (1, "Biologists ran .", "[SP1]-bio-logists-[SP1]-ran-[SP3]", "2022-01-02"), (1, "other", "[SP1]-oth-er", "2022-01-03"), (2, "undo", "[SP1]-un-do", "2022-01-01"),
