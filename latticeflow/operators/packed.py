@@ -32,6 +32,8 @@ _QUOTED = regex.compile(
     r"\"(?P<q>[^\"]*)\"|“(?P<q>[^”]*)”|(?<![\p{L}\p{N}\p{M}:'’])'(?P<q>[^'](?:[^']|'(?=[\p{L}\p{N}\p{M}]))*)'(?![\p{L}\p{N}\p{M}'’])|" + _BARE
 )
 _PLAIN = regex.compile(_BARE)
+_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]")
+_MARKS = QUOTES + "”"
 _BLANK = regex.compile(r"\s+")
 
 
@@ -56,10 +58,27 @@ def scan(text: str, quoting: bool) -> tuple[list[str], int, str, int]:
     return values, quoted, seps, odd
 
 
+def well_quoted(text: str) -> bool:
+    """Whether the field has quoted values, each between separators, and no quote mark besides."""
+    at, quoted = 0, False
+    for m in _QUOTED.finditer(text):
+        if any(c in _MARKS for c in text[at : m.start()]):
+            return False
+        at = m.end()
+        if m["v"] is None:
+            quoted = True
+            if _WORD.match(text[m.start() - 1 : m.start()]) or _WORD.match(text[at : at + 1]):
+                return False
+    return quoted and not any(c in _MARKS for c in text[at:])
+
+
 def candidates(text: str) -> list[tuple[str, list[str], float]]:
-    """Each fitting dialect: its name, its values, and the bits of everything but the values."""
+    """Each fitting dialect: its name, its values, and the bits of everything but the values.
+
+    What stands in quotes is one value whatever it contains, so a well quoted field has no plain reading.
+    """
     found = []
-    for quoting in (False, True) if any(q in text for q in QUOTES) else (False,):
+    for quoting in ((True,) if well_quoted(text) else (False, True)) if any(q in text for q in QUOTES) else (False,):
         values, quoted, seps, odd = scan(text, quoting)
         if quoting and not quoted:
             continue

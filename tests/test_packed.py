@@ -4,7 +4,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticeflow.operators.packed import best_parse, code_book, parse_packed, scan, unpack
+from latticeflow.operators.packed import best_parse, code_book, parse_packed, scan, unpack, well_quoted
 
 SCHEMA = "id long, label string, features string, segmentation string, added_at timestamp, field string, pos int"
 T = [datetime(2022, 1, d) for d in range(1, 9)]
@@ -76,6 +76,14 @@ def test_unpack_table(spark):
     assert got == [(1, "features", 0, "p1"), (1, "features", 1, "r2"), (1, "label", 0, "a:1"), (1, "label", 1, "b:2"), (2, "label", 0, "first"), (2, "label", 1, "x")]
 
 
+def test_quoted_value_is_one_value_whatever_the_book():
+    cheap = {v: 1.0 for v in ("seventeen", "eighteen", "a", "b")}
+    assert best_parse('"seventeen-eighteen"', cheap) == ("quoted single", ["seventeen-eighteen"])
+    assert best_parse("a-“seventeen-eighteen”-b", cheap) == ("quoted -", ["a", "seventeen-eighteen", "b"])
+    assert best_parse('["a", "b-a"]', cheap)[1] == ["a", "b-a"]
+    assert not well_quoted('5"-a-6"') and not well_quoted('"a"-b"') and not well_quoted("it's-a")
+
+
 def test_empty_table_and_book(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert code_book(df, ["label"]) == {}
