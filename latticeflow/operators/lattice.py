@@ -16,9 +16,9 @@ from latticeflow.session import spread
 SMALL_VOCABULARY = 1_000_000
 
 
-def check(max_blocks: int, max_unit: int, max_length: int, split: bool = False, references: bool = False) -> None:
+def check(max_blocks: int, max_unit: int, max_length: int | None, split: bool = False, references: bool = False) -> None:
     """Arguments that make no sense are refused before anything runs."""
-    if min(max_blocks, max_unit, max_length) < 1:
+    if min(max_blocks, max_unit, 1 if max_length is None else max_length) < 1:
         raise ValueError("blocks, unit length and block length must be positive")
     if max_blocks > 1 and not split:
         raise ValueError("more than one block needs splitting on spaces")
@@ -45,8 +45,8 @@ def candidate_units(words: DataFrame, text: str, max_unit: int, keys: Sequence[s
     return words.where(F.length(text) > 0).select(*keys, F.explode(spots).alias("_u")).select(*keys, "_u.*")
 
 
-def lattice_edges(words: DataFrame, vocab: DataFrame, max_unit: int = 4, max_length: int = 48, text: str = "word", unk: float | None = None, fallback: bool = False) -> DataFrame:
-    """(word, s, e, token, logp): the edges of each distinct word that has at most `max_length` characters.
+def lattice_edges(words: DataFrame, vocab: DataFrame, max_unit: int = 4, max_length: int | None = 48, text: str = "word", unk: float | None = None, fallback: bool = False) -> DataFrame:
+    """(word, s, e, token, logp): the edges of each distinct word that has at most `max_length` characters (None: of every word).
 
     With `fallback` a unit that isn't in the vocabulary is tried with the space mark; with `unk` a single character that is neither
     becomes [UNK] with that weight. Words are distinct, so each lattice is made once, however often the word occurs. Null, empty and
@@ -54,7 +54,7 @@ def lattice_edges(words: DataFrame, vocab: DataFrame, max_unit: int = 4, max_len
     """
     check(1, max_unit, max_length)
     # distinct first: it combines a hot word's rows before the shuffle
-    distinct = spread(words.where((F.length(text) > 0) & (F.length(text) <= max_length)).select(F.col(text).alias("word")).distinct(), "word")
+    distinct = spread(words.where((F.length(text) > 0) & (F.lit(True) if max_length is None else F.length(text) <= max_length)).select(F.col(text).alias("word")).distinct(), "word")
     units = candidate_units(distinct, "word", max_unit, ["word"])
     known = small(vocab.select("token", "logp"))
     if not fallback and unk is None:

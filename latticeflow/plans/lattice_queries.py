@@ -22,9 +22,9 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.build_vocabulary(words(spark, sf_dir), UNIT, COUNT)
 
 
-def lats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lats(spark: SparkSession, sf_dir: str, length: int | None = LENGTH) -> DataFrame:
     w = cut(words(spark, sf_dir))
-    return L.lattices(L.lattice_edges(w, cut(V.build_vocabulary(w, UNIT, COUNT)), UNIT, LENGTH))
+    return L.lattices(L.lattice_edges(w, cut(V.build_vocabulary(w, UNIT, COUNT)), UNIT, length))
 
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,8 @@ def edit_fences(s: SparkSession, d: str) -> DataFrame:
 
 
 def node_views(s: SparkSession, d: str) -> DataFrame:
-    return dynamics.node_view(lattice.edge_marginals(LQ.lats(s, d)), "word")
+    """Words of any length: no SQL bounds them here."""
+    return dynamics.node_view(lattice.edge_marginals(LQ.lats(s, d, None)), "word")
 
 
 QUERIES = {

@@ -90,6 +90,13 @@ def test_morphology(spark):
     assert {r.word: r.pieces for r in morphology.linked(df).collect()}["abcd"] == ["a", "b", "c", "d"]
 
 
+def test_node_views_of_long_words(spark, tmp_path):
+    long = "ab" * 40
+    spark.createDataFrame([(1, f"ab abab {long}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word for r in queries()["node_views"](spark, str(tmp_path)).select("word").distinct().collect()}
+    assert got == {"ab", "abab", long}
+
+
 def test_derived_words_keep_repaired_stems(spark, tmp_path):
     affixes = ["un", "re", "in", "non", "sub", "over"], ["s", "ed", "ing", "er", "ly", "ness", "able", "ation", "ies"]
     stems = ["make", "happy", "stop", "possible", "read"]
