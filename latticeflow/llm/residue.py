@@ -83,6 +83,12 @@ FILLERS = regex.compile(
 )
 #: Words of mock Latin.
 LATIN = frozenset("lorem ipsum dolor sit amet sedulo caelis orate varum quantis nesco plenis bremo pasci tibur ultra vindo morum aptis ferrum consectetur adipiscing elit".split())
+LATIN |= frozenset(
+    "eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure"
+    " reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
+)
+#: Short words of the same passage, which stand in other languages too: they count beside three of the others.
+LATIN_SHORT = frozenset("sed do ut et ad ex ea in id est non eu qui".split())
 
 #: What varies between messages of one template, with what stands for it.
 _MASKS = [
@@ -158,7 +164,7 @@ def classify(template: str) -> str | None:
     if NOTICES.fullmatch(bare):
         return "notice"
     words = regex.findall(r"\p{L}+", bare)
-    if FILLERS.fullmatch(bare) or (len(words) >= 3 and sum(w in LATIN for w in words) >= 0.7 * len(words)):
+    if FILLERS.fullmatch(bare) or ((n := sum(w in LATIN for w in words)) >= 3 and n + sum(w in LATIN_SHORT for w in words) >= 0.7 * len(words)):
         return "filler"
     return None
 

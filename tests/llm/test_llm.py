@@ -339,6 +339,12 @@ def test_no_residue(text):
     assert not residue.has_slot(page) and not any(residue.classify(m) for m in residue.messages(page))
 
 
+def test_filler_of_the_whole_passage():
+    for text in ("Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Ut enim ad minim veniam, quis nostrud exercitation ullamco.", "Excepteur sint occaecat cupidatat non proident."):
+        assert "filler" in {residue.classify(m) for m in residue.messages(residue.shown(text))}
+    assert residue.classify("in id est et non sed") is None and residue.classify("quis custodiet ipsos custodes") is None
+
+
 def test_residue_table(spark):
     rows = [(1, "Hello {{ name }}"), (2, None), (3, ""), (4, " \n"), (5, "fine"), (6, "Page not found"), (6, "Page not found"), (7, "word " * 200_000 + "\nPage not found"), (None, "Page not found")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, kind string")
