@@ -1,7 +1,8 @@
 """Dynamic programs over lattices, as expressions on an array of edges (s, e, token, logp) per row.
 
-All are folds over the nodes 0..length with the edges grouped by their end (or start), so a lattice of n edges takes
-O(n) steps, within one row and without a shuffle. Impossible is -Infinity; an unreachable node never gives NaN.
+All are folds over the nodes 0..length, within one row and without a shuffle. The edges are sorted once by their end (or start) and
+each node takes its slice of them, so a fold evaluates its expression once per edge. Impossible is -Infinity; an unreachable
+node never gives NaN.
 """
 
 from __future__ import annotations
@@ -26,19 +27,28 @@ def lse(values: Column) -> Column:
     return let(values, total)
 
 
-def logaddexp(a: Column, b: Column) -> Column:
-    m = F.greatest(a, b)
-    return F.when(m == NEG_INF, F.lit(NEG_INF)).otherwise(m + F.log1p(F.exp(-F.abs(a - b))))
+def _slices(edges: Column, field: str, nodes: Column) -> Column:
+    """[edges whose `field` is node j] for the nodes j; `edges` are sorted by that field. Places are found by native scans."""
+
+    def slice_at(named: Column, keys: Column, back: Column, j: Column) -> Column:
+        first, last = F.array_position(keys, j).cast("int"), F.size(keys) + 1 - F.array_position(back, j).cast("int")
+        return F.when(first > 0, F.slice(named, first, last - first + 1)).otherwise(F.slice(named, 1, 0))
+
+    def sliced(named: Column) -> Column:
+        return let(F.transform(named, lambda x: x[field]), lambda keys: let(F.reverse(keys), lambda back: F.transform(nodes, lambda j: slice_at(named, keys, back, j))))
+
+    return let(edges, sliced)
 
 
 def by_end(edges: Column, length: Column) -> Column:
     """[edges that end at node j] for j = 1..length."""
-    return F.transform(F.sequence(F.lit(1), length), lambda j: F.filter(edges, lambda x: x["e"] == j))
+    ordered = F.array_sort(F.transform(edges, lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["token"].alias("token"), x["logp"].alias("logp"))))
+    return _slices(ordered, "e", F.sequence(F.lit(1), length))
 
 
 def by_start_reversed(edges: Column, length: Column) -> Column:
-    """[edges that start at node j] for j = length-1..0."""
-    return F.transform(F.sequence(length - 1, F.lit(0), F.lit(-1)), lambda j: F.filter(edges, lambda x: x["s"] == j))
+    """[edges that start at node j] for j = length-1..0; `edges` are sorted by start, as in every lattice."""
+    return _slices(edges, "s", F.sequence(length - 1, F.lit(0), F.lit(-1)))
 
 
 def forward(ends: Column) -> Column:

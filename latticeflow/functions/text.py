@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,9 +112,26 @@ def remove_specials(tokens: Column, specials: Sequence[str] = SPECIALS) -> Colum
     return F.filter(tokens, lambda t: ~t.isin(*specials))
 
 
+def cut_long(chunks: Column, most: int) -> Column:
+    """Chunks of which those over `most` characters are cut into pieces of `most` and a rest; nothing is left out but empty chunks."""
+
+    def pieces(c: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / most).cast("int")), lambda i: F.substr(c, i * most + 1, F.lit(most)))
+        return F.when(F.length(c) <= most, F.array(c)).otherwise(parts)
+
+    return F.flatten(F.transform(F.filter(chunks, lambda c: c != ""), pieces))
+
+
 def two_digits(x: Column) -> Column:
-    """Two significant digits."""
-    return F.format_string("%.2g", x)
+    """Two significant digits as Python's format(x, ".2") writes them: 0.5, 1.2e+01, 1e-05; null stays null.
+
+    The JVM's formats round and pad otherwise, so this is an Arrow batch function.
+    """
+
+    def write(v: pd.Series) -> pd.Series:
+        return pd.Series([format(float(y), ".2") for y in v], dtype=object)
+
+    return F.when(x.isNotNull(), F.pandas_udf(write, "string")(x.cast("double")))
 
 
 def product(x: Column) -> Column:

@@ -69,17 +69,19 @@ def repack(tokens: Column, chunks: Column, max_length: int) -> Column:
     return F.transform(ends, lambda e, i: F.transform(F.filter(placed, lambda t: (t["rb"] <= e) & (t["rb"] > F.when(i > 0, F.get(ends, i - 1)).otherwise(0))), lambda t: t["unit"]))
 
 
-def tokenize_lines(lines: DataFrame, best: DataFrame, key: str, chunks: str = "chunks") -> DataFrame:
-    """(key, logw, tokens): each line's words replaced by their best paths, with the summed log weight.
+def tokenize_lines(lines: DataFrame, best: DataFrame, key: str, chunks: str = "chunks", bos: str = "[BOS]", eos: str = "[EOS]") -> DataFrame:
+    """(key, logp, tokens): each line's words replaced by their best paths, between the marks of begin and end.
 
-    Words are segmented once each; words without a path stay as they are and add nothing. Lines without words have no row.
+    `logp` is the log probability of these paths: the sum of their weights less log Z of each word's lattice; `best` is
+    (word, tokens, logw, logz) of distinct words. Words without a path stay as they are and add nothing. Lines without words have no row.
     """
-    each = lines.select(key, F.posexplode(chunks).alias("pos", "word")).join(best.select("word", F.col("tokens").alias("_t"), F.col("logw").alias("_w")), "word", "left")
+    known = best.select("word", F.col("tokens").alias("_t"), (F.col("logw") - F.col("logz")).alias("_w"))
+    each = lines.select(key, F.posexplode(chunks).alias("pos", "word")).join(known, "word", "left")
     rows = each.groupBy(key).agg(
-        F.sum(F.coalesce("_w", F.lit(0.0))).alias("logw"),
+        F.sum(F.coalesce("_w", F.lit(0.0))).alias("logp"),
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_t", F.array("word")).alias("t")))).alias("_x"),
     )
-    return rows.select(key, "logw", F.flatten(F.transform("_x", lambda x: x["t"])).alias("tokens"))
+    return rows.select(key, "logp", F.concat(F.array(F.lit(bos)), F.flatten(F.transform("_x", lambda x: x["t"])), F.array(F.lit(eos))).alias("tokens"))
 
 
 def gold_ids(pieces: DataFrame, vocab: DataFrame, key: str, units: str = "pieces", unk: str = "[UNK]") -> DataFrame:

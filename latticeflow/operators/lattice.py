@@ -144,6 +144,26 @@ def viterbi(lats: DataFrame, key: str = "word") -> DataFrame:
     return nbest(lats, 1, key).drop("rank", "weight")
 
 
+def segmented(lats: DataFrame, key: str = "word") -> DataFrame:
+    """(key, tokens, logw, logz): the best path with its log weight, and the log weight of all paths."""
+    ends = S.by_end(F.col("edges"), F.col("len"))
+    x = T.let(ends, lambda named: F.struct(F.get(S.nbest(named, 1), F.lit(0)).alias("best"), S.log_z(S.forward(named)).alias("logz")))
+    each = lats.select(key, x.alias("x")).where("x.best is not null")
+    return each.select(key, F.col("x.best.path").alias("tokens"), (-F.col("x.best.cost")).alias("logw"), "x.logz")
+
+
+def nbest_of_blocks(lats: DataFrame, n: int, key: str, block: str = "block") -> DataFrame:
+    """(key, rank, tokens, logw, weight): the n best paths of each text of several blocks, merged from the n best of every block.
+
+    A text with a block that has no path has none. Each block's paths are found in its own row; the merge sees n paths a block.
+    """
+    best = lats.select(key, block, S.nbest(S.by_end(F.col("edges"), F.col("len")), n).alias("best"))
+    packed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(block, "best"))).alias("b"))
+    merged = packed.select(key, S.merge_nbest(F.transform("b", lambda x: x["best"]), n).alias("best")).withColumn("w", S.softmax_weights(F.col("best")))
+    each = merged.select(key, F.posexplode(F.arrays_zip("best", "w")).alias("rank", "x"))
+    return each.select(key, (F.col("rank") + 1).alias("rank"), F.col("x.best.path").alias("tokens"), (-F.col("x.best.cost")).alias("logw"), F.col("x.w").alias("weight"))
+
+
 def reference_logprob(lats: DataFrame, references: DataFrame, key: str = "word", spans: str = "spans") -> DataFrame:
     """(key, ref_logp): log share of the paths that use the reference's spans [(s, e)] only; -Infinity if there is none."""
     both = lats.join(references.select(key, spans), key)
@@ -160,19 +180,36 @@ def gold_marginals(lats: DataFrame, references: DataFrame, key: str = "word", sp
     return reference_logprob(lats, references, key, spans).select(key, F.exp("ref_logp").alias("path_p")).join(edge, key)
 
 
+def _named(lats: DataFrame, rows, length: str = "len") -> Column:
+    """rows(edges, alpha, beta, pairs, length): an array built from a lattice's sums, each computed once per lattice."""
+    n = F.col(length)
+
+    def with_ends(es: Column, ends: Column) -> Column:
+        beta = S.backward(S.by_start_reversed(es, n), n)
+        return T.let(S.forward(ends), lambda al: T.let(beta, lambda be: T.let(S.all_pairs(ends, n), lambda pr: rows(es, al, be, pr, n))))
+
+    return T.let(F.col("edges"), lambda es: T.let(S.by_end(es, n), lambda ends: with_ends(es, ends)))
+
+
 def conditional_marginals(lats: DataFrame, key: str = "word") -> DataFrame:
     """(key, node, side, s, e, token, log_p): P(edge | the path visits node); side is `before` or `after` the node.
 
-    Impossible combinations have no row.
+    Impossible combinations have no row. All is computed within a lattice's own row; only the finished rows leave it.
     """
-    x = infer(lats).withColumn("pairs", S.all_pairs(F.col("ends"), F.col("len")))
-    each = x.select(key, "alpha", "beta", "pairs", "len", F.explode("edges").alias("x")).select(key, "alpha", "beta", "pairs", "x.*", F.explode(F.sequence(F.lit(0), F.col("len"))).alias("node"))
-    z = lambda i, j: F.get(F.get("pairs", i), j)
-    before = F.get("alpha", F.col("s")) + F.col("logp") + z(F.col("e"), F.col("node")) - F.get("alpha", F.col("node"))
-    after = z(F.col("node"), F.col("s")) + F.col("logp") + F.get("beta", F.col("e")) - F.get("beta", F.col("node"))
-    side = F.when(F.col("e") <= F.col("node"), "before").when(F.col("s") >= F.col("node"), "after")
-    out = each.select(key, "node", side.alias("side"), "s", "e", "token", F.when(F.col("e") <= F.col("node"), before).otherwise(after).alias("log_p"))
-    return out.where(F.col("side").isNotNull() & (F.col("log_p") > S.NEG_INF) & ~F.isnan("log_p"))
+
+    def rows(es: Column, al: Column, be: Column, pr: Column, n: Column) -> Column:
+        def row(x: Column, node: Column) -> Column:
+            before = F.get(al, x["s"]) + x["logp"] + F.get(F.get(pr, x["e"]), node) - F.get(al, node)
+            after = F.get(F.get(pr, node), x["s"]) + x["logp"] + F.get(be, x["e"]) - F.get(be, node)
+            return F.struct(node.alias("node"), F.when(x["e"] <= node, "before").otherwise("after").alias("side"), x["s"].alias("s"), x["e"].alias("e"), x["token"].alias("token"), F.when(x["e"] <= node, before).otherwise(after).alias("log_p"))
+
+        def at(node: Column) -> Column:
+            apart = F.filter(es, lambda x: (x["e"] <= node) | (x["s"] >= node))
+            return F.filter(F.transform(apart, lambda x: row(x, node)), lambda r: (r["log_p"] > S.NEG_INF) & ~F.isnan(r["log_p"]))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), n), at))
+
+    return lats.select(key, F.explode(_named(lats, rows)).alias("x")).select(key, "x.*")
 
 
 def nonoverlapping(edges: DataFrame, key: str = "word") -> DataFrame:
@@ -189,31 +226,51 @@ def attention_bias(lats: DataFrame, key: str = "word", block: str | None = None,
     source are left out.
     """
     group = [key] if block is None else [key, block]
-    x = infer(lats).withColumn("pairs", S.all_pairs(F.col("ends"), F.col("len")))
-    z = lambda i, j: F.get(F.get("pairs", i), j)
-    each = x.select(*group, "alpha", "beta", "pairs", "edges", F.explode("edges").alias("a")).select(*group, "alpha", "beta", "pairs", "a", F.explode("edges").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    before = F.get("alpha", b["s"]) + b["logp"] + z(b["e"], a["s"]) - F.get("alpha", a["s"])
-    after = z(a["e"], b["s"]) + b["logp"] + F.get("beta", b["e"]) - F.get("beta", a["e"])
-    same = (a["s"] == b["s"]) & (a["e"] == b["e"])
-    value = F.when(same, F.lit(0.0)).when(b["e"] <= a["s"], before)
-    if not causal:
-        value = value.when(b["s"] >= a["e"], after)
     edge = lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))
-    own = each.select(*group, edge(a).alias("src"), edge(b).alias("tgt"), value.alias("log_p"))
-    if block is not None:
-        m = x.select(key, F.col(block).alias("_b2"), F.explode("edges").alias("b"))
-        other = x.select(key, block, F.explode("edges").alias("a")).join(m, key).where(F.col("_b2") < F.col(block) if causal else F.col("_b2") != F.col(block))
-        own = own.select(*group, F.col(block).alias("tgt_block"), "src", "tgt", "log_p").unionByName(other.select(*group, F.col("_b2").alias("tgt_block"), edge(F.col("a")).alias("src"), edge(F.col("b")).alias("tgt"), F.ln(F.col("b.p")).alias("log_p")))
-    return own.where(F.col("log_p").isNotNull() & (F.col("log_p") > S.NEG_INF) & ~F.isnan("log_p"))
-
-
-def mixture_marginals(edges: DataFrame, key: str = "word", part: str = "k") -> DataFrame:
-    """(key, s, e, token, p): marginals averaged over the parts of a uniform mixture; a part without the edge adds 0."""
-    lats = edges.groupBy(key, part).agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "logp"))).alias("edges")).withColumn("len", F.length(key))
-    each = infer(lats).where(F.col("logz") > S.NEG_INF).select(key, part, F.explode("edges").alias("x")).select(key, part, "x.*")
-    parts = each.groupBy(key).agg(F.count_distinct(part).alias("_k"))
-    return each.groupBy(key, "s", "e", "token").agg(F.sum("p").alias("_p")).join(parts, key).select(key, "s", "e", "token", (F.col("_p") / F.col("_k")).alias("p"))
+
+    def rows(es: Column, al: Column, be: Column, pr: Column, n: Column) -> Column:
+        def row(a: Column, b: Column) -> Column:
+            before = F.get(al, b["s"]) + b["logp"] + F.get(F.get(pr, b["e"]), a["s"]) - F.get(al, a["s"])
+            value = F.when((a["s"] == b["s"]) & (a["e"] == b["e"]), F.lit(0.0)).when(b["e"] <= a["s"], before)
+            if not causal:
+                value = value.when(b["s"] >= a["e"], F.get(F.get(pr, a["e"]), b["s"]) + b["logp"] + F.get(be, b["e"]) - F.get(be, a["e"]))
+            return F.struct(edge(a).alias("src"), edge(b).alias("tgt"), value.alias("log_p"))
+
+        return F.flatten(F.transform(es, lambda a: F.filter(F.transform(es, lambda b: row(a, b)), lambda r: r["log_p"].isNotNull() & (r["log_p"] > S.NEG_INF) & ~F.isnan(r["log_p"]))))
+
+    own = lats.select(*group, F.explode(_named(lats, rows)).alias("x")).select(*group, "x.*")
+    if block is None:
+        return own
+    m = marginal_edges(lats, group).select(*group, F.explode("edges").alias("b"))
+    targets = m.where("b.p > 0").select(key, F.col(block).alias("tgt_block"), edge(F.col("b")).alias("tgt"), F.ln(F.col("b.p")).alias("log_p"))
+    apart = F.col("tgt_block") < F.col(block) if causal else F.col("tgt_block") != F.col(block)
+    other = m.select(*group, edge(F.col("b")).alias("src")).join(targets, key).where(apart)
+    cols = [*group, "tgt_block", "src", "tgt", "log_p"]
+    return own.withColumn("tgt_block", F.col(block)).select(*cols).unionByName(other.select(*cols))
+
+
+def marginal_edges(lats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The lattices' edges with marginals, and their keys."""
+    return infer(lats).select(*keys, "edges")
+
+
+def mixture(edges: DataFrame, parts: int, key: str = "word", part: str = "k") -> DataFrame:
+    """(key, s, e, token, p, log_c): a uniform mixture of `parts` lattices of each text.
+
+    `p` is the edge's marginal averaged over the parts (a part without the edge, or without any path, adds 0), `log_c` the log share of the
+    edge among the mixture's paths that visit its start. The mass of a node is that of the edges that leave it.
+    """
+    lats = spread(edges, key).groupBy(key, part).agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "logp"))).alias("edges")).withColumn("len", F.length(key))
+    each = infer(lats).where(F.col("logz") > S.NEG_INF).select(key, F.explode("edges").alias("x")).select(key, "x.*")
+    mean = each.groupBy(key, "s", "e", "token").agg((F.sum("p") / parts).alias("p"))
+    nodes = mean.groupBy(key, "s").agg(F.sum("p").alias("_node"))
+    out = mean.join(nodes, [key, "s"])
+    return out.select(key, "s", "e", "token", "p", F.when(F.col("p") > 0, F.ln(F.col("p") / F.col("_node"))).alias("log_c"))
+
+
+def mixture_entropy(mixed: DataFrame, key: str = "word") -> DataFrame:
+    """(key, entropy): the entropy of the mixture's walk from node to node, in nats."""
+    return mixed.where("p > 0").groupBy(key).agg(F.abs(F.sum(F.col("p") * F.col("log_c"))).alias("entropy"))
 
 
 def forward_normalised(lats: DataFrame, key: str = "word") -> DataFrame:

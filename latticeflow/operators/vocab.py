@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeflow.functions.text import cut_long
+
 
 def dense_ids(tokens: DataFrame, token: str = "token", line: str = "line_no") -> DataFrame:
     """(token_id, token): ids from 0 by first occurrence; repeated tokens keep their first line. Null tokens are dropped.
@@ -36,9 +38,13 @@ def last_weights(weights: DataFrame) -> DataFrame:
     return weights.groupBy("token").agg(F.max_by("w", "line_no").alias("w"))
 
 
-def word_counts(docs: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, word, n): words of lower-cased texts, split at spaces; empty words are dropped, null texts have none."""
-    words = docs.select(*keys, F.explode(F.split(F.lower(text), " ", -1)).alias("word")).where("word <> ''")
+def word_counts(docs: DataFrame, text: str = "text", keys: Sequence[str] = (), block: int | None = None) -> DataFrame:
+    """(keys, word, n): words of lower-cased texts, split at spaces; empty words are dropped, null texts have none.
+
+    With `block`, a word of more characters is cut into blocks of that many, all of which count.
+    """
+    chunks = F.split(F.lower(text), " ", -1)
+    words = docs.select(*keys, F.explode(chunks if block is None else cut_long(chunks, block)).alias("word")).where("word <> ''")
     return words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 

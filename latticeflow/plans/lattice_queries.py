@@ -10,26 +10,32 @@ from latticeflow.operators import lattice as L
 from latticeflow.operators import vocab as V
 from latticeflow.session import cut, table, wide_scan
 
-#: Characters of a unit and of a word (longer words have no lattice), and uses that make a substring a unit.
+#: Characters of a unit and of a block (longer words are cut into blocks, all of which are kept), and uses that make a substring a unit.
 UNIT, LENGTH, COUNT = 4, 48, 5
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.word_counts(wide_scan(table(spark, sf_dir, "documents")))
+    return V.word_counts(wide_scan(table(spark, sf_dir, "documents")), block=LENGTH)
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.build_vocabulary(words(spark, sf_dir), UNIT, COUNT)
 
 
-def lats(spark: SparkSession, sf_dir: str, length: int | None = LENGTH) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, vocabulary, lattices): the documents are read and split once."""
     w = cut(words(spark, sf_dir))
-    return L.lattices(L.lattice_edges(w, cut(V.build_vocabulary(w, UNIT, COUNT)), UNIT, length))
+    v = cut(V.build_vocabulary(w, UNIT, COUNT))
+    return w, v, L.lattices(L.lattice_edges(w, v, UNIT, LENGTH))
+
+
+def lats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir)[2]
 
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, token, logp): a vocabulary of each source, with log shares."""
-    w = V.word_counts(wide_scan(table(spark, sf_dir, "documents")).where("source is not null"), keys=["source"])
+    w = V.word_counts(wide_scan(table(spark, sf_dir, "documents")).where("source is not null"), keys=["source"], block=LENGTH)
     counts = V.substrings(w, UNIT, ["source"]).where((F.length("token") == 1) | (F.col("n") >= COUNT))
     total = counts.groupBy("source").agg(F.sum("n").cast("double").alias("_t"))
     return counts.join(total, "source").select("source", "token", F.round(F.ln(F.col("n") / F.col("_t")), 6).alias("logp"))
@@ -72,7 +78,7 @@ def vocab_distance(s: SparkSession, d: str) -> DataFrame:
 def vocab_ids(s: SparkSession, d: str) -> DataFrame:
     """Dense ids of words by the document and place where they first occur."""
     each = table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), " ", -1)).alias("pos", "token")).where("token <> ''")
-    return V.dense_ids(each.withColumn("line_no", F.col("doc_id") * 1_000_000 + F.col("pos")))
+    return V.dense_ids(each.withColumn("line_no", F.col("doc_id").cast("decimal(28,0)") * F.lit(10**10) + F.col("pos")))
 
 
 def vocab_subsample(s: SparkSession, d: str) -> DataFrame:
@@ -113,20 +119,24 @@ def lattice_entropy(s: SparkSession, d: str) -> DataFrame:
 
 def corpus_entropy(s: SparkSession, d: str) -> DataFrame:
     """Entropy per character over all words."""
-    e = L.entropies(lats(s, d)).join(words(s, d), "word")
+    w, _, x = base(s, d)
+    e = L.entropies(x).join(w, "word")
     return e.agg(F.round(F.sum(F.col("entropy") * F.col("n")) / F.sum(F.length("word") * F.col("n")), 6).alias("entropy_per_char"))
 
 
 def expected_counts(s: SparkSession, d: str) -> DataFrame:
-    return L.expected_counts(lats(s, d), words(s, d)).select("token", F.round(F.col("expected"), 4).alias("expected"))
+    w, _, x = base(s, d)
+    return L.expected_counts(x, w).select("token", F.round(F.col("expected"), 4).alias("expected"))
 
 
 def em_step(s: SparkSession, d: str) -> DataFrame:
-    return L.em_step(lats(s, d), words(s, d)).select("token", F.round(F.col("logp"), 5).alias("logp"))
+    w, _, x = base(s, d)
+    return L.em_step(x, w).select("token", F.round(F.col("logp"), 5).alias("logp"))
 
 
 def type_entropy(s: SparkSession, d: str) -> DataFrame:
-    return V.type_entropy(L.expected_counts(lats(s, d), words(s, d))).select(F.round(F.col("type_entropy"), 5).alias("type_entropy"))
+    w, _, x = base(s, d)
+    return V.type_entropy(L.expected_counts(x, w)).select(F.round(F.col("type_entropy"), 5).alias("type_entropy"))
 
 
 def viterbi_1best(s: SparkSession, d: str) -> DataFrame:
@@ -137,14 +147,21 @@ def nbest_3(s: SparkSession, d: str) -> DataFrame:
     return L.nbest(lats(s, d), 3).select("word", "rank", F.concat_ws(" ", "tokens").alias("tokens"), r6("logw"), r6("weight"))
 
 
-def rule_gold(s: SparkSession, d: str) -> DataFrame:
+def rule_gold(words: DataFrame) -> DataFrame:
     """(word, spans): a reference by rule, words cut every three characters."""
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / 3)), lambda i: F.struct((i * 3).cast("int").alias("s"), F.least((i + 1) * 3, F.length("word")).cast("int").alias("e")))
-    return words(s, d).where(F.length("word") <= LENGTH).select("word", cuts.alias("spans"))
+    return words.select("word", cuts.alias("spans"))
 
 
 def reference_logprob(s: SparkSession, d: str) -> DataFrame:
-    return L.reference_logprob(lats(s, d), rule_gold(s, d)).where(F.col("ref_logp") > S.NEG_INF).select("word", r6("ref_logp"))
+    w, _, x = base(s, d)
+    return L.reference_logprob(x, rule_gold(w)).where(F.col("ref_logp") > S.NEG_INF).select("word", r6("ref_logp"))
+
+
+def gold_marginals(s: SparkSession, d: str) -> DataFrame:
+    """The share of the rule's whole path, and the summed marginals of its edges."""
+    w, _, x = base(s, d)
+    return L.gold_marginals(x, rule_gold(w)).select("word", r6("path_p"), r6("edge_p"))
 
 
 def conditional_marginals(s: SparkSession, d: str) -> DataFrame:
@@ -168,12 +185,24 @@ def nonoverlap_pairs(s: SparkSession, d: str) -> DataFrame:
     return L.nonoverlapping(e).groupBy("word").agg(F.count("*").alias("pairs"))
 
 
-def mixture_marginals(s: SparkSession, d: str) -> DataFrame:
-    """Marginals of the words under the vocabularies of two sources."""
-    w = words(s, d).where(F.length("word") <= LENGTH)
-    v = cut(by_source(s, d))
+def _mixture(s: SparkSession, d: str) -> DataFrame:
+    """The words under the vocabularies of two sources."""
+    w, v = cut(words(s, d)), cut(by_source(s, d))
     parts = [L.lattice_edges(w, v.where(F.col("source") == src), UNIT, LENGTH).withColumn("k", F.lit(src)) for src in ("wiki", "paper")]
-    return L.mixture_marginals(parts[0].unionByName(parts[1])).select("word", "s", "e", r6("p"))
+    return L.mixture(parts[0].unionByName(parts[1]), 2)
+
+
+def mixture_marginals(s: SparkSession, d: str) -> DataFrame:
+    return _mixture(s, d).select("word", "s", "e", r6("p"), F.round(F.exp("log_c"), 6).alias("c"))
+
+
+def mixture_entropy(s: SparkSession, d: str) -> DataFrame:
+    return L.mixture_entropy(_mixture(s, d)).select("word", r6("entropy"))
+
+
+def cooled_logz(s: SparkSession, d: str) -> DataFrame:
+    """log Z at an inverse temperature of one half."""
+    return L.logz(L.with_temperature(lats(s, d), 0.5)).select("word", r6("logz"))
 
 
 def forward_normalised(s: SparkSession, d: str) -> DataFrame:
@@ -185,11 +214,12 @@ QUERIES = {
     for f in (
         vocab_substrings, vocab_characters, vocab_normalised, vocab_l1, vocab_movers, vocab_distance, vocab_ids, vocab_subsample, lattice_edges, lattice_edges_unk,
         edge_order, lattice_logz, path_count, edge_marginals, lattice_entropy, corpus_entropy, expected_counts, em_step, type_entropy, viterbi_1best, nbest_3,
-        reference_logprob, conditional_marginals, attention_bias, nonoverlap_pairs, mixture_marginals, forward_normalised,
+        reference_logprob, gold_marginals, conditional_marginals, attention_bias, nonoverlap_pairs, mixture_marginals, mixture_entropy, forward_normalised, cooled_logz,
     )
 }
 
-_WORDS = "words AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word)"
+_BLOCKS = "unnest(list_transform(range(0, (length(w) + 47) // 48), lambda i: substr(w, (i * 48 + 1)::BIGINT, 48)))"
+_WORDS = f"words AS (SELECT word, count(*) AS n FROM (SELECT {_BLOCKS} AS word FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents)) WHERE word <> '' GROUP BY word)"
 _SUBS = (
     "subs AS (SELECT substr(word, s::BIGINT, l::BIGINT) AS token, sum(n)::BIGINT AS n FROM words, range(1, length(word) + 1) a(s), range(1, 5) b(l) WHERE s + l - 1 <= length(word) GROUP BY 1),"
     " kept AS (SELECT * FROM subs WHERE length(token) = 1 OR n >= 5),"
@@ -197,11 +227,11 @@ _SUBS = (
 )
 _EDGES = (
     "edges AS (SELECT word, (s - 1)::INTEGER AS s, (s + l - 1)::INTEGER AS e, v.token, v.logp FROM words, range(1, length(word) + 1) a(s), range(1, 5) b(l), vocab v"
-    " WHERE length(word) <= 48 AND s + l - 1 <= length(word) AND v.token = substr(word, s::BIGINT, l::BIGINT))"
+    " WHERE s + l - 1 <= length(word) AND v.token = substr(word, s::BIGINT, l::BIGINT))"
 )
 _BASE = f"{_WORDS}, {_SUBS}, {_EDGES}"
 _SOURCE = (
-    "sw AS (SELECT source, word, count(*) AS n FROM (SELECT source, unnest(string_split(lower(text), ' ')) AS word FROM documents WHERE source IS NOT NULL) WHERE word <> '' GROUP BY 1, 2),"
+    f"sw AS (SELECT source, word, count(*) AS n FROM (SELECT source, {_BLOCKS} AS word FROM (SELECT source, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE source IS NOT NULL)) WHERE word <> '' GROUP BY 1, 2),"
     " ssub AS (SELECT source, substr(word, s::BIGINT, l::BIGINT) AS token, sum(n)::BIGINT AS n FROM sw, range(1, length(word) + 1) a(s), range(1, 5) b(l) WHERE s + l - 1 <= length(word) GROUP BY 1, 2),"
     " skept AS (SELECT * FROM ssub WHERE length(token) = 1 OR n >= 5), stot AS (SELECT source, sum(n)::DOUBLE AS t FROM skept GROUP BY 1),"
     " sv AS (SELECT source, token, round(ln(n / t), 6) AS logp FROM skept JOIN stot USING (source))"
@@ -245,6 +275,15 @@ _PAIRS = (
     " pr AS MATERIALIZED (SELECT word, i, unnest(v) AS lz, generate_subscripts(v, 1) - 1 AS j FROM pr_d WHERE j = length(word))"
 )
 
+_MIX = (
+    f"{_R}{_WORDS}, {_SOURCE}, edges AS (SELECT word, source AS k, (s - 1)::INTEGER AS s, (s + l - 1)::INTEGER AS e, v.logp FROM words, range(1, length(word) + 1) a(s), range(1, 5) b(l), sv v"
+    " WHERE s + l - 1 <= length(word) AND v.token = substr(word, s::BIGINT, l::BIGINT) AND source IN ('wiki', 'paper')),"
+    f" {_dp('al', 'edges', 'word, k', 'length(word)')}, {_dp('be', 'edges', 'word, k', 'length(word)', forward=False)},"
+    " z AS (SELECT word, k, al.v AS a, be.v AS b, al.v[length(word) + 1] AS logz FROM al JOIN be USING (word, k) WHERE al.v[length(word) + 1] > '-inf'::DOUBLE AND NOT isnan(al.v[length(word) + 1])),"
+    " one AS (SELECT word, s, e, sum(coalesce(CASE WHEN a[s + 1] = '-inf' OR b[length(word) - e + 1] = '-inf' THEN 0 ELSE exp(a[s + 1] + logp + b[length(word) - e + 1] - logz) END, 0)) / 2 AS p FROM edges JOIN z USING (word, k) GROUP BY word, s, e),"
+    " mixed AS (SELECT *, sum(p) OVER (PARTITION BY word, s) AS node FROM one)"
+)
+
 SQL = {
     "vocab_substrings": f"WITH {_WORDS}, {_SUBS} SELECT token, n, logp FROM vocab",
     "vocab_characters": f"WITH {_WORDS} SELECT substr(word, s::BIGINT, 1) AS token, sum(n)::BIGINT AS n FROM words, range(1, length(word) + 1) a(s) GROUP BY 1",
@@ -252,9 +291,9 @@ SQL = {
     "vocab_l1": f"WITH {_WORDS}, {_SUBS} SELECT round(avg(exp(logp)), 9) AS l1 FROM vocab WHERE token NOT IN ('e', 't')",
     "vocab_movers": f"WITH {_SOURCE} SELECT token, round(abs(exp(a.logp) - exp(b.logp)), 9) AS moved FROM sv a JOIN sv b USING (token) WHERE a.source = 'wiki' AND b.source = 'paper' AND token <> 'e' ORDER BY moved DESC, token LIMIT 100",
     "vocab_distance": f"WITH {_SOURCE} SELECT round(sum(abs(exp(a.logp) - exp(b.logp))), 6) AS distance, count(*) AS shared FROM sv a JOIN sv b USING (token) WHERE a.source = 'wiki' AND b.source = 'paper'",
-    "vocab_ids": "WITH x AS (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents), y AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos FROM x), f AS (SELECT token, min(doc_id * 1000000 + pos) AS first FROM y WHERE token <> '' GROUP BY token) SELECT (row_number() OVER (ORDER BY first, token) - 1)::BIGINT AS token_id, token FROM f",
+    "vocab_ids": "WITH x AS (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents), y AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS pos FROM x), f AS (SELECT token, min(doc_id::HUGEINT * 10000000000 + pos) AS first FROM y WHERE token <> '' GROUP BY token) SELECT (row_number() OVER (ORDER BY first, token) - 1)::BIGINT AS token_id, token FROM f",
     "lattice_edges": f"WITH {_BASE} SELECT word, s, e, token, logp FROM edges",
-    "lattice_edges_unk": f"WITH {_WORDS}, {_SOURCE}, u AS (SELECT word, (s - 1)::INTEGER AS s, (s + l - 1)::INTEGER AS e, substr(word, s::BIGINT, l::BIGINT) AS token FROM words, range(1, length(word) + 1) a(s), range(1, 5) b(l) WHERE length(word) <= 48 AND s + l - 1 <= length(word)) SELECT word, s, e, CASE WHEN v.token IS NULL THEN '[UNK]' ELSE u.token END AS token, coalesce(v.logp, -20.0) AS logp FROM u LEFT JOIN (SELECT * FROM sv WHERE source = 'microblog') v ON v.token = u.token WHERE v.token IS NOT NULL OR e - s = 1",
+    "lattice_edges_unk": f"WITH {_WORDS}, {_SOURCE}, u AS (SELECT word, (s - 1)::INTEGER AS s, (s + l - 1)::INTEGER AS e, substr(word, s::BIGINT, l::BIGINT) AS token FROM words, range(1, length(word) + 1) a(s), range(1, 5) b(l) WHERE s + l - 1 <= length(word)) SELECT word, s, e, CASE WHEN v.token IS NULL THEN '[UNK]' ELSE u.token END AS token, coalesce(v.logp, -20.0) AS logp FROM u LEFT JOIN (SELECT * FROM sv WHERE source = 'microblog') v ON v.token = u.token WHERE v.token IS NOT NULL OR e - s = 1",
     "edge_order": f"WITH {_BASE} SELECT word, (row_number() OVER (PARTITION BY word ORDER BY s, e) - 1)::INTEGER AS idx, s, e FROM edges",
     "lattice_logz": f"{_R}{_BASE}, {_dp('al', 'edges', 'word', 'length(word)')} SELECT word, round(v[length(word) + 1], 6) AS logz FROM al",
     "path_count": f"{_R}{_BASE}, one AS (SELECT word, s, e, 0.0::DOUBLE AS logp FROM edges), {_dp('ct', 'one', 'word', 'length(word)')} SELECT word, round(v[length(word) + 1], 6) AS log_paths FROM ct",
@@ -270,6 +309,9 @@ SQL = {
     "conditional_marginals": f"{_R}{_BASE}, {_AB}, {_PAIRS}, z AS (SELECT word, al.v AS a, be.v AS b FROM al JOIN be USING (word)), c AS (SELECT word, node::INTEGER AS node, x.e <= node AS bef, CASE WHEN x.e <= node THEN z.a[x.s + 1] + x.logp + pr.lz - z.a[node + 1] ELSE pr.lz + x.logp + z.b[length(word) - x.e + 1] - z.b[length(word) - node + 1] END AS lp FROM edges x JOIN z USING (word), range(0, length(word) + 1) r(node) JOIN pr ON pr.word = x.word AND pr.i = CASE WHEN x.e <= node THEN x.e ELSE node END AND pr.j = CASE WHEN x.e <= node THEN node ELSE x.s END WHERE x.e <= node OR x.s >= node) SELECT word, node, count(*) AS edges, round(sum(CASE WHEN bef THEN exp(lp) ELSE 0 END), 5) AS before, round(sum(CASE WHEN bef THEN 0 ELSE exp(lp) END), 5) AS after FROM c WHERE lp > '-inf'::DOUBLE GROUP BY word, node",
     "attention_bias": f"{_R}{_BASE}, {_AB}, {_PAIRS}, z AS (SELECT word, al.v AS a, be.v AS b FROM al JOIN be USING (word)), t AS (SELECT x.word, x.s, x.e, y.s = x.s AND y.e = x.e AS same, CASE WHEN y.e <= x.s THEN z.a[y.s + 1] + y.logp + pr.lz - z.a[x.s + 1] ELSE pr.lz + y.logp + z.b[length(x.word) - y.e + 1] - z.b[length(x.word) - x.e + 1] END AS lp FROM edges x JOIN edges y ON x.word = y.word JOIN z ON z.word = x.word LEFT JOIN pr ON pr.word = x.word AND pr.i = CASE WHEN y.e <= x.s THEN y.e ELSE x.e END AND pr.j = CASE WHEN y.e <= x.s THEN x.s ELSE y.s END WHERE y.e <= x.s OR y.s >= x.e OR (y.s = x.s AND y.e = x.e)) SELECT word, s, e, count(*) AS targets, round(sum(CASE WHEN same THEN 1 ELSE exp(lp) END), 5) AS mass FROM t WHERE same OR lp > '-inf'::DOUBLE GROUP BY word, s, e",
     "nonoverlap_pairs": f"WITH {_BASE} SELECT word, count(*) AS pairs FROM edges a JOIN edges b USING (word) WHERE a.s >= b.e OR b.s >= a.e GROUP BY word",
-    "mixture_marginals": f"{_R}{_WORDS}, {_SOURCE}, edges AS (SELECT word, source AS k, (s - 1)::INTEGER AS s, (s + l - 1)::INTEGER AS e, v.logp FROM words, range(1, length(word) + 1) a(s), range(1, 5) b(l), sv v WHERE length(word) <= 48 AND s + l - 1 <= length(word) AND v.token = substr(word, s::BIGINT, l::BIGINT) AND source IN ('wiki', 'paper')), {_dp('al', 'edges', 'word, k', 'length(word)')}, {_dp('be', 'edges', 'word, k', 'length(word)', forward=False)}, z AS (SELECT word, k, al.v AS a, be.v AS b, al.v[length(word) + 1] AS logz, count(*) OVER (PARTITION BY word) AS ks FROM al JOIN be USING (word, k) WHERE al.v[length(word) + 1] > '-inf'::DOUBLE AND NOT isnan(al.v[length(word) + 1])) SELECT word, s, e, round(sum(coalesce(CASE WHEN a[s + 1] = '-inf' OR b[length(word) - e + 1] = '-inf' THEN 0 ELSE exp(a[s + 1] + logp + b[length(word) - e + 1] - logz) END, 0)) / any_value(ks), 6) AS p FROM edges JOIN z USING (word, k) GROUP BY word, s, e",
+    "mixture_marginals": f"{_MIX} SELECT word, s, e, round(p, 6) AS p, round(CASE WHEN p > 0 THEN p / node END, 6) AS c FROM mixed",
+    "mixture_entropy": f"{_MIX} SELECT word, abs(round(sum(p * ln(p / node)), 6)) AS entropy FROM mixed WHERE p > 0 GROUP BY word",
+    "cooled_logz": f"{_R}{_BASE}, half AS (SELECT word, s, e, logp / 2 AS logp FROM edges), {_dp('al', 'half', 'word', 'length(word)')} SELECT word, round(v[length(word) + 1], 6) AS logz FROM al",
+    "gold_marginals": f"{_R}{_MARG}, own AS (SELECT word, sum(logp) AS w, sum(p) AS edge_p, count(*) AS k, any_value(logz) AS logz FROM m WHERE s % 3 = 0 AND e = least(s + 3, length(word)) GROUP BY word) SELECT word, round(CASE WHEN k = ceil(length(word) / 3) THEN exp(w - own.logz) ELSE 0 END, 6) AS path_p, round(coalesce(edge_p, 0), 6) AS edge_p FROM z LEFT JOIN own USING (word)",
     "forward_normalised": f"{_R}{_BASE}, {_dp('be', 'edges', 'word', 'length(word)', forward=False)} SELECT word, s, e, round(logp + be.v[length(word) - e + 1] - be.v[length(word) - s + 1], 6) AS log_p FROM edges JOIN be USING (word)",
 }

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeflow.functions import text as T
-from latticeflow.operators import dynamics, encode, evaluate, lattice, morphology, packed, runs, skipgram
+from latticeflow.operators import dynamics, encode, evaluate, lattice, morphology, packed, runs, skipgram, vocab
 from latticeflow.operators.records import first_delivery
 from latticeflow.plans import lattice_queries as LQ
 from latticeflow.sources import readers
-from latticeflow.session import cut, table
+from latticeflow.session import cut, table, wide_scan
 
 #: Characters of a block of packed chunks.
 BLOCK = 64
@@ -19,27 +19,36 @@ NO_UNIT = ("[SP1]", "[SP2]", "[SP3]")
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
-    """(sent_id, text_str, chunks) of distinct sentences with a text."""
-    x = table(s, d, "sentences").where("text_str is not null").select("sent_id", "text_str").distinct()
+    """(sent_id, text_str, chunks) of the sentences with a text, each in its first delivery."""
+    x = first_delivery(table(s, d, "sentences"), "sent_id", "read_at", ["text_str"]).where("text_str is not null")
     return x.withColumn("chunks", F.filter(F.split("text_str", " ", -1), lambda c: c != ""))
 
 
+def _words_of_lines(s: SparkSession, d: str) -> DataFrame:
+    """(sent_id, chunks): lower-cased words of the sentences, long ones cut into blocks."""
+    return cut(_lines(s, d).select("sent_id", T.cut_long(F.transform("chunks", lambda c: F.lower(c)), LQ.LENGTH).alias("chunks")).where(F.size("chunks") > 0))
+
+
 def pretokenize(s: SparkSession, d: str) -> DataFrame:
-    x = _lines(s, d).select("sent_id", F.posexplode(F.split("text_str", " ", -1)).alias("pos", "chunk"))
-    return x.select("sent_id", "pos", "chunk")
+    return _lines(s, d).select("sent_id", F.posexplode(T.pretokens(F.col("text_str"))).alias("pos", "token"))
+
+
+def space_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks between spaces with the space mark, empty ones kept."""
+    return _lines(s, d).select("sent_id", F.posexplode(T.space_chunks(F.col("text_str"))).alias("pos", "chunk"))
 
 
 def mark_spaces(s: SparkSession, d: str) -> DataFrame:
-    return _lines(s, d).select("sent_id", F.translate("text_str", " ", T.SPACE).alias("marked"))
+    return _lines(s, d).select("sent_id", T.mark_spaces(F.col("text_str")).alias("marked"))
 
 
 def length_filter(s: SparkSession, d: str) -> DataFrame:
-    return _lines(s, d).where(F.length("text_str") <= 46).select("sent_id", F.concat(F.lit("[CLS]" + T.SPACE), "text_str").alias("text"))
+    return readers.short_texts(_lines(s, d).select("sent_id", F.col("text_str").alias("text")))
 
 
 def special_prefix(s: SparkSession, d: str) -> DataFrame:
-    m = table(s, d, "morpheme").select("id", "text", "features").distinct()
-    return m.select("id", F.concat_ws(" ", F.lit("[SP1]"), F.lit("[SP2]"), F.lit("[SP3]"), "text").alias("text"), F.size(F.split("features", "-", -1)).alias("n_features"))
+    m = readers.morpheme_examples(table(s, d, "morpheme").select("id", "label", "text", "features", "segmentation").distinct())
+    return m.select("id", "text", F.size("features").alias("n_features")).distinct()
 
 
 def gold_slots(s: SparkSession, d: str) -> DataFrame:
@@ -84,7 +93,7 @@ def align_subwords(s: SparkSession, d: str) -> DataFrame:
 
 def _evaluated(s: SparkSession, d: str) -> DataFrame:
     """Best paths (weight 1) against the rule that cuts every three characters."""
-    best = lattice.viterbi(LQ.lats(s, d)).select("word", F.array("tokens").alias("tokenizations"), F.array(F.lit(1.0)).alias("weights"))
+    best = cut(lattice.viterbi(LQ.lats(s, d)).select("word", F.array("tokens").alias("tokenizations"), F.array(F.lit(1.0)).alias("weights")))
     gold = best.select("word", F.array(_cuts("word", 3)).alias("tokenizations"), F.array(F.lit(1.0)).alias("weights"))
     return evaluate.paired(gold, best, "word")
 
@@ -106,7 +115,8 @@ def unique_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def reference_per_char(s: SparkSession, d: str) -> DataFrame:
-    r = lattice.reference_logprob(LQ.lats(s, d), LQ.rule_gold(s, d))
+    w, _, x = LQ.base(s, d)
+    r = lattice.reference_logprob(x, LQ.rule_gold(w))
     return evaluate.reference_per_char(r).select(F.round("logp_per_char", 6).alias("logp_per_char"))
 
 
@@ -144,19 +154,18 @@ def label_shift(s: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_lines(s: SparkSession, d: str) -> DataFrame:
-    """Sentences segmented by the documents' vocabulary: pieces and log weight of each."""
-    lines = _lines(s, d).where(F.size("chunks") > 0).select("sent_id", F.transform("chunks", lambda c: F.lower(c)).alias("chunks"))
+    """Sentences segmented by the documents' vocabulary: pieces and log probability of each."""
+    lines = _words_of_lines(s, d)
     units = cut(LQ.vocabulary(s, d))
     words = lines.select(F.explode("chunks").alias("word"))
-    best = lattice.viterbi(lattice.lattices(lattice.lattice_edges(words, units, LQ.UNIT, LQ.LENGTH)))
+    best = lattice.segmented(lattice.lattices(lattice.lattice_edges(words, units, LQ.UNIT, LQ.LENGTH)))
     out = encode.tokenize_lines(lines, best, "sent_id")
-    return out.select("sent_id", F.round("logw", 6).alias("logw"), F.concat_ws(" ", "tokens").alias("tokens"))
+    return out.select("sent_id", F.round("logp", 6).alias("logp"), F.concat_ws(" ", "tokens").alias("tokens"))
 
 
 def sentence_lattices(s: SparkSession, d: str) -> DataFrame:
     """Edges of each sentence's packed blocks: their number and summed weight."""
-    lines = _lines(s, d).select("sent_id", F.filter(F.transform("chunks", lambda c: F.lower(c)), lambda c: F.length(c) <= LQ.LENGTH).alias("chunks"))
-    e = lattice.sentence_edges(lines, cut(LQ.vocabulary(s, d)), "sent_id", max_unit=LQ.UNIT, max_length=LQ.LENGTH, max_blocks=10_000)
+    e = lattice.sentence_edges(_words_of_lines(s, d), cut(LQ.vocabulary(s, d)), "sent_id", max_unit=LQ.UNIT, max_length=LQ.LENGTH, max_blocks=10_000)
     return e.groupBy("sent_id").agg(F.count("*").alias("edges"), F.round(F.sum("logp"), 6).alias("logp"))
 
 
@@ -175,7 +184,7 @@ def causal_pairs(s: SparkSession, d: str) -> DataFrame:
 
 def derive_words(s: SparkSession, d: str) -> DataFrame:
     """Words of the documents, each with its pieces by a few English affixes; stems are the words of three letters or more that occur 20 times or more."""
-    w = cut(LQ.words(s, d).where(F.col("word").rlike("^[a-z]+$")))
+    w = cut(vocab.word_counts(wide_scan(table(s, d, "documents"))))
     stems = w.where((F.col("n") >= 20) & (F.length("word") >= 3)).select("word")
     return morphology.derive_by_join(w, stems, ["un", "re", "in", "non", "sub", "over"], ["s", "ed", "ing", "er", "ly", "ness", "able", "ation", "ies"])
 
@@ -199,20 +208,28 @@ def edit_fences(s: SparkSession, d: str) -> DataFrame:
 
 
 def node_views(s: SparkSession, d: str) -> DataFrame:
-    """Words of any length: no SQL bounds them here."""
-    return dynamics.node_view(lattice.edge_marginals(LQ.lats(s, d, None)), "word")
+    """Each word's lattice as JSON. Words of any length: they aren't cut into blocks here."""
+    w = cut(vocab.word_counts(wide_scan(table(s, d, "documents"))))
+    edges = lattice.lattice_edges(w, cut(vocab.build_vocabulary(w, LQ.UNIT, LQ.COUNT)), LQ.UNIT, None)
+    return dynamics.node_view(lattice.edge_marginals(lattice.lattices(edges)), "word")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        pretokenize, mark_spaces, length_filter, special_prefix, gold_slots, length_quantiles, length_nearest_rank, block_pack, token_boundaries, span_sums, align_subwords,
+        pretokenize, space_chunks, mark_spaces, length_filter, special_prefix, gold_slots, length_quantiles, length_nearest_rank, block_pack, token_boundaries, span_sums, align_subwords,
         tok_eval_micro, tok_eval_category, unique_tokens, reference_per_char, dictionary_replace, signature_outcomes, skipgram_counts, skipgram_flat, skipgram_expand,
         label_shift, tokenize_lines, sentence_lattices, path_positions, causal_pairs, derive_words, edit_fences, node_views,
     )
 }
 
-_L = "ls AS (SELECT DISTINCT sent_id, text_str, list_filter(string_split(text_str, ' '), lambda c: c <> '') AS chunks FROM sentences WHERE text_str IS NOT NULL)"
+_L = (
+    "fs AS (SELECT sent_id, min(struct_pack(l := read_at IS NULL, at := read_at, t := text_str)) AS r FROM sentences WHERE sent_id IS NOT NULL GROUP BY sent_id),"
+    " ls AS (SELECT sent_id, r.t AS text_str, list_filter(string_split(r.t, ' '), lambda c: c <> '') AS chunks FROM fs WHERE r.t IS NOT NULL)"
+)
+_TRIM = r"regexp_replace(text_str, '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g')"
+_WORDCHARS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+_SPECIAL = "{c} IN ('[SP1]', '[SP2]', '[SP3]', '[CLS]', '[SEP]', '[BOS]', '[EOS]', '[PAD]', '[UNK]', '[MASK]')"
 _TL = "ts AS (SELECT sent_id, text_str, unnest(chunks) AS unit, generate_subscripts(chunks, 1) - 1 AS pos FROM ls), tb AS (SELECT sent_id, unit, pos, sum(length(unit)) OVER (PARTITION BY sent_id, text_str ORDER BY pos) AS rb FROM ts)"
 _CUT = "list_transform(range(0, (length(word) - 1) // {n} + 1), lambda i: substr(word, (i * {n} + 1)::BIGINT, {n}))"
 _FIN = f"{LQ._BASE}, {LQ._BEST.format(n=1)}, pred AS (SELECT word, paths[1].path AS toks FROM fin)"
@@ -222,8 +239,9 @@ _EV = (
 )
 
 SQL = {
-    "pretokenize": f"WITH {_L} SELECT sent_id, unnest(string_split(text_str, ' ')) AS chunk, (generate_subscripts(string_split(text_str, ' '), 1) - 1)::INTEGER AS pos FROM ls",
-    "mark_spaces": f"WITH {_L} SELECT sent_id, replace(text_str, ' ', '▁') AS marked FROM ls",
+    "pretokenize": f"WITH {_L}, p AS (SELECT sent_id, regexp_extract_all(text_str, '[{_WORDCHARS}]+|[^{_WORDCHARS}\\s\\x0b\\x{{85}}\\p{{Z}}]+') AS t FROM ls) SELECT sent_id, unnest(t) AS token, (generate_subscripts(t, 1) - 1)::INTEGER AS pos FROM p",
+    "space_chunks": f"WITH {_L}, c AS (SELECT sent_id, string_split({_TRIM}, ' ') AS c FROM ls), u AS (SELECT sent_id, c[1] AS head, unnest(c) AS chunk, (generate_subscripts(c, 1) - 1)::INTEGER AS pos FROM c) SELECT sent_id, pos, CASE WHEN {_SPECIAL.format(c='chunk')} OR {_SPECIAL.format(c='head')} THEN chunk ELSE '▁' || chunk END AS chunk FROM u",
+    "mark_spaces": f"WITH {_L} SELECT sent_id, replace({_TRIM}, ' ', '▁') AS marked FROM ls",
     "length_filter": f"WITH {_L} SELECT sent_id, '[CLS]▁' || text_str AS text FROM ls WHERE length(text_str) <= 46",
     "special_prefix": "SELECT DISTINCT id, '[SP1] [SP2] [SP3]' || coalesce(' ' || text, '') AS text, len(string_split(features, '-'))::INTEGER AS n_features FROM (SELECT DISTINCT id, text, features FROM morpheme)",
     "gold_slots": "WITH m AS (SELECT DISTINCT id, segmentation, string_split(segmentation, '-') AS p FROM morpheme WHERE segmentation IS NOT NULL) SELECT id, array_to_string(list_filter(p, lambda x: x NOT IN ('[SP1]', '[SP2]', '[SP3]')), ' ') AS units, array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda i: p[i] NOT IN ('[SP1]', '[SP2]', '[SP3]')), lambda i: ['prefix', 'stem', 'suffix'][(i - 1) % 3 + 1]), ' ') AS categories FROM m",
@@ -244,10 +262,13 @@ SQL = {
     "label_shift": f"WITH {_L} SELECT sent_id, (i - 1)::INTEGER AS pos, chunks[i] AS token, chunks[i + 1] AS label FROM ls, range(1, len(chunks) + 1) r(i)",
 }
 _OPT = "opt AS (SELECT DISTINCT word, seg FROM (SELECT word, {c4} AS seg FROM pred WHERE length(word) >= 4 UNION ALL SELECT word, {c3} FROM pred WHERE length(word) >= 4)), ou AS (SELECT word, seg, unnest(seg) AS token FROM opt), ok AS (SELECT word, seg FROM ou LEFT JOIN vocab USING (token) GROUP BY word, seg HAVING count(*) = count(vocab.logp) QUALIFY row_number() OVER (PARTITION BY word ORDER BY len(seg), seg) = 1)".format(c4=_CUT.format(n=4), c3=_CUT.format(n=3))
-_SENT = f"{_L}, lw AS (SELECT sent_id, generate_subscripts(chunks, 1) AS pos, lower(unnest(chunks)) AS w FROM ls)"
+_SENT = (
+    f"{_L}, lc AS (SELECT sent_id, generate_subscripts(chunks, 1) AS pos, lower(unnest(chunks)) AS w FROM ls), lp AS (SELECT sent_id, pos, list_transform(range(0, (length(w) + 47) // 48), lambda i: substr(w, (i * 48 + 1)::BIGINT, 48)) AS ps FROM lc),"
+    " lw AS (SELECT sent_id, pos, generate_subscripts(ps, 1) AS part, unnest(ps) AS w FROM lp)"
+)
 SQL["tokenize_lines"] = (
-    f"WITH RECURSIVE {LQ._WORDS.replace('words AS', 'dwords AS')}, {LQ._SUBS.replace('FROM words', 'FROM dwords')}, {_SENT}, words AS (SELECT DISTINCT w AS word FROM lw), {LQ._EDGES}, {LQ._BEST.format(n=1)}"
-    " SELECT sent_id, round(sum(CASE WHEN len(paths) > 0 THEN -paths[1].cost ELSE 0 END), 6) AS logw, string_agg(CASE WHEN len(paths) > 0 THEN array_to_string(paths[1].path, ' ') ELSE w END, ' ' ORDER BY pos) AS tokens FROM lw LEFT JOIN fin ON fin.word = w GROUP BY sent_id"
+    f"WITH RECURSIVE {LQ._WORDS.replace('words AS', 'dwords AS')}, {LQ._SUBS.replace('FROM words', 'FROM dwords')}, {_SENT}, words AS (SELECT DISTINCT w AS word FROM lw), {LQ._EDGES}, {LQ._BEST.format(n=1)}, {LQ._dp('al', 'edges', 'word', 'length(word)')}"
+    " SELECT sent_id, round(sum(CASE WHEN len(paths) > 0 THEN -paths[1].cost - al.v[length(w) + 1] ELSE 0 END), 6) AS logp, '[BOS] ' || string_agg(CASE WHEN len(paths) > 0 THEN array_to_string(paths[1].path, ' ') ELSE w END, ' ' ORDER BY pos, part) || ' [EOS]' AS tokens FROM lw LEFT JOIN fin ON fin.word = w LEFT JOIN al ON al.word = w GROUP BY sent_id"
 )
 SQL["sentence_lattices"] = (
     f"WITH {LQ._WORDS.replace('words AS', 'dwords AS')}, {LQ._SUBS.replace('FROM words', 'FROM dwords')}, {_SENT}, words AS (SELECT DISTINCT w AS word FROM lw), {LQ._EDGES}"

@@ -45,10 +45,15 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select("line_no", F.trim("value").alias("label")).where("label <> ''")
 
 
+def morpheme_examples(df: DataFrame) -> DataFrame:
+    """Rows of `MORPHEME`: text after the three slots' marks (the marks alone for null), features and segmentation as arrays."""
+    marked = F.concat_ws(" ", F.lit("[SP1]"), F.lit("[SP2]"), F.lit("[SP3]"), "text").alias("text")
+    return df.select("id", "label", marked, F.split("features", "-", -1).alias("features"), F.split("segmentation", "-", -1).alias("segmentation"))
+
+
 def morphemes(spark: SparkSession, path: str, gold_share: float | None = None) -> DataFrame:
-    """Morpheme examples: text after the three slots' marks, features as an array; gold units for the first share of rows."""
-    df = spark.read.csv(path, schema=MORPHEME)
-    out = df.select("id", "label", F.concat_ws(" ", F.lit("[SP1]"), F.lit("[SP2]"), F.lit("[SP3]"), "text").alias("text"), F.split("features", "-").alias("features"), F.split("segmentation", "-").alias("segmentation"))
+    """Morpheme examples; with `gold_share`, gold units for the first share of rows only."""
+    out = morpheme_examples(spark.read.csv(path, schema=MORPHEME))
     if gold_share is None:
         return out
     ranked = rank_all(out, ["id"], "_r")
@@ -56,15 +61,18 @@ def morphemes(spark: SparkSession, path: str, gold_share: float | None = None) -
     return ranked.withColumn("segmentation", F.when(F.col("_r") < int(gold_share * n), F.filter("segmentation", lambda t: ~t.isin(*SPECIALS)))).drop("_r")
 
 
-def scored(spark: SparkSession, path: str, max_length: int = 48) -> DataFrame:
-    """(text, score, label) with a header; texts of at most max_length - 2 characters, after a class mark and the space mark."""
-    df = spark.read.csv(path, schema=SCORED, header=True)
+def short_texts(df: DataFrame, max_length: int = 48) -> DataFrame:
+    """Texts that leave room for two marks, after a class mark and the space mark; null texts are dropped."""
     return df.where(F.length("text") <= max_length - 2).withColumn("text", F.concat(F.lit("[CLS]" + SPACE), "text"))
 
 
+def scored(spark: SparkSession, path: str, max_length: int = 48) -> DataFrame:
+    """(text, score, label) with a header."""
+    return short_texts(spark.read.csv(path, schema=SCORED, header=True), max_length)
+
+
 def labelled(spark: SparkSession, path: str, max_length: int = 48) -> DataFrame:
-    df = spark.read.csv(path, schema=LABELLED)
-    return df.where(F.length("text") <= max_length - 2).withColumn("text", F.concat(F.lit("[CLS]" + SPACE), "text"))
+    return short_texts(spark.read.csv(path, schema=LABELLED), max_length)
 
 
 def sentiment(spark: SparkSession, path: str, encoding: str = "UTF-8", prefix: str = "[SP1]") -> DataFrame:

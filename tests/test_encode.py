@@ -26,9 +26,9 @@ def test_labels_lines_and_gold(spark, vocab):
     ex = spark.createDataFrame([(1, ["a", "q", None])], "id int, labels array<string>")
     assert sorted((r.pos, r.label_id) for r in encode.label_rows(ex, "id", "labels", vocab, stride=4).collect()) == [(0, 0), (4, -100), (8, -100)]
     lines = spark.createDataFrame([(1, ["ab", "qq", "ab"]), (2, [])], "id int, chunks array<string>")
-    best = spark.createDataFrame([("ab", ["a", "b"], -2.0)], "word string, tokens array<string>, logw double")
+    best = spark.createDataFrame([("ab", ["a", "b"], -2.0, -1.5)], "word string, tokens array<string>, logw double, logz double")
     got = encode.tokenize_lines(lines, best, "id").collect()
-    assert [(r.id, r.logw, r.tokens) for r in got] == [(1, -4.0, ["a", "b", "qq", "a", "b"])]
+    assert [(r.id, r.logp, r.tokens) for r in got] == [(1, -1.0, ["[BOS]", "a", "b", "qq", "a", "b", "[EOS]"])]
     g = spark.createDataFrame([(1, ["x", "b", "x"])], "id int, pieces array<string>")
     assert encode.gold_ids(g, vocab, "id").first().ids == [4, 1, 3]
     r = lines.limit(1).select(encode.repack(F.array(F.lit("a"), F.lit("b"), F.lit("qq"), F.lit("ab")), F.col("chunks"), 4).alias("b")).first().b

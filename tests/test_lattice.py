@@ -97,6 +97,31 @@ def test_blocks_see_other_blocks_by_marginal(spark, vocab):
     assert rows and all(r.log_p == pytest.approx(math.log(0.5)) for r in rows)
 
 
+def test_mixture(spark, vocab):
+    words = spark.createDataFrame([("hat",), ("at",), ("zz",)], "word string")
+    second = vocab.withColumn("logp", F.lit(0.0)).where("token <> 'hat'")
+    edges = L.lattice_edges(words, vocab).withColumn("k", F.lit("a")).unionByName(L.lattice_edges(words, second).withColumn("k", F.lit("b")))
+    m = {(r.word, r.s, r.e): (r.p, r.log_c) for r in L.mixture(edges, 2).collect()}
+    # hat: h+a+t 1, h+at 2, hat 3 of 6 by the first; h+a+t and h+at by the second
+    assert m["hat", 0, 3][0] == pytest.approx((3 / 6 + 0) / 2) and m["hat", 1, 3][0] == pytest.approx((2 / 6 + 1 / 2) / 2) and m["hat", 0, 1][0] == pytest.approx((3 / 6 + 1) / 2)
+    assert m["hat", 1, 3][1] == pytest.approx(math.log(m["hat", 1, 3][0] / (m["hat", 1, 2][0] + m["hat", 1, 3][0])))
+    h = {r.word: r.entropy for r in L.mixture_entropy(L.mixture(edges, 2)).collect()}
+    assert h["hat"] == pytest.approx(-sum(p * c for (w, *_), (p, c) in m.items() if w == "hat" and p)) and "zz" not in h
+    assert L.mixture(edges.limit(0), 2).count() == 0
+
+
+def test_segmented_and_blocks(spark, lats):
+    got = {r.word: (r.tokens, round(r.logw, 6), round(r.logz, 6)) for r in L.segmented(lats).collect()}
+    for word in ("hate", "ateat"):
+        best = max(paths(word, WEIGHTS), key=lambda p: (round(p[1], 9), -len(p[0])))
+        assert got[word][1] == pytest.approx(best[1], abs=1e-6) and got[word][2] == pytest.approx(math.log(sum(math.exp(w) for _, w in paths(word, WEIGHTS))), abs=1e-6)
+    assert "hxt" not in got
+    two = lats.where("word in ('hat', 'ateat')").withColumn("doc", F.lit(7)).withColumn("block", F.when(F.col("word") == "hat", 0).otherwise(1))
+    rows = sorted(L.nbest_of_blocks(two, 3, "doc").collect(), key=lambda r: r["rank"])
+    both = sorted((-(a[1] + b[1]), len(a[0]) + len(b[0]), [*a[0], *b[0]]) for a in paths("hat", WEIGHTS) for b in paths("ateat", WEIGHTS))
+    assert [round(r.logw, 6) for r in rows] == [round(-c, 6) for c, *_ in both[:3]] and rows[0].tokens == both[0][2] and sum(r.weight for r in rows) == pytest.approx(1)
+
+
 def test_unknown_and_marked_units(spark):
     v = spark.createDataFrame([("▁ha", -1.0), ("t", -2.0), ("a", -1.5)], "token string, logp double")
     e = {(r.s, r.e): (r.token, r.logp) for r in L.lattice_edges(spark.createDataFrame([("hat",)], "word string"), v, unk=-9.0, fallback=True).collect()}
@@ -157,6 +182,14 @@ def test_text_functions(spark):
     assert row.chunks == ["▁ab", "[SP1]", "▁c"] and [tuple(x) for x in row.b] == [("[SP1]", 1), ("xu", 3)] and row.none == [] and row.cut == ["ab", "cde"] and row.d == "0.012" and row.e == 12
 
 
+def test_long_chunks_and_digits(spark):
+    r = spark.createDataFrame([(["abcdefg", "", "abc", "x"],), ([],), (None,)], "c array<string>").select(T.cut_long(F.col("c"), 3).alias("c")).collect()
+    assert [x.c for x in r] == [["abc", "def", "g", "abc", "x"], [], None]
+    values = [0.5, 12.0, 1e-05, 1.0, 0.0, 100.0, -3.25, 9.99, float("inf"), 0.125, 0.285, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.two_digits(F.col("v")).alias("d"))
+    assert [(r.v, r.d) for r in df.collect()] == [(v, None if v is None else format(v, ".2")) for v in values]
+
+
 def test_stream(spark, vocab, tmp_path):
     spark.createDataFrame([("hate", 1), (None, 2), ("", 3)], "word string, id int").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("word string, id int").parquet(str(tmp_path / "in"))
