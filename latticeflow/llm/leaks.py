@@ -1,14 +1,16 @@
-"""Passages of held-out items in a corpus: shared runs of words, then alignment around them.
+"""Passages of held-out items in a corpus: shared q-grams counted in overlapping blocks and diagonal bands, then banded alignment.
 
-A passage of `PASSAGE` words or more of which at most one in `PER_EDIT` is altered holds at least `RUN` consecutive words of the
-item unaltered, however long the words around them are. The items' runs are looked up in every document; around each shared run the
-document is searched word by word for a window of the item within the edit budget.
-The items go to the tasks in blocks of a fixed size; documents are never shuffled.
+The symbols of the q-grams are words, each a 64-bit code, not letters: an added word shifts the diagonal by one however long it
+is, so bands of a fixed width hold every passage. By the q-gram lemma a passage of n words with e edits shares at least
+n - Q + 1 - Q * e of its q-grams with the document; `NEED` is the least of these bounds over all passages to look for.
+
+Documents are read once. A bitmap of the items' q-grams, of bounded size, is all that is sent to the tasks; only blocks of words that hold
+`NEED` of them leave the scan. Their q-grams are joined with those of the items' blocks, and counted per pair of blocks; pairs that
+reach the bound are counted again by diagonal bands, and bands that reach it are aligned.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,196 +18,238 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticeflow.llm.joins import grid_join
 from latticeflow.llm.plaintext import reader_words
+from latticeflow.session import cut
 
 #: Words of a passage, and words to one edit.
 PASSAGE, PER_EDIT = 25, 10
 #: Words of the longest passage to look for: from one more on, two unaltered words in its middle part it into two, one of which is within the budget.
 LONGEST = next(n for n in range(2 * PASSAGE, 9 * PASSAGE) if n + 1 - 2 * (PASSAGE - 1) - (n + 1) // PER_EDIT >= 2)
-#: Words that every passage has unaltered in a row; characters of items in one broadcast block.
-RUN = min(-(-(n - n // PER_EDIT) // (n // PER_EDIT + 1)) for n in range(PASSAGE, LONGEST + 1))
-BLOCK = 8_000_000
-_MASK = (1 << 22) - 1
-
-
-def grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of every q-gram of an array of numbers."""
+#: Edits of the longest passage; words of the longest part of a document that is one.
+EDITS = LONGEST // PER_EDIT
+PART = LONGEST + EDITS
+#: Words of a q-gram, and shared q-grams that every passage has.
+Q = 5
+NEED = min(n - Q + 1 - Q * (n // PER_EDIT) for n in range(PASSAGE, LONGEST + 1))
+#: Blocks overlap by half: those of items have twice LONGEST words, those of documents twice PART; so each passage is whole in one of each.
+#: Diagonals of a band, which overlap by half too.
+BAND = 2 * (EDITS + 1)
+#: Most bits of the bitmap (32 MB); more q-grams make it let more through, which costs time but changes nothing.
+MOST_BITS = 28
+#: Bits of one of Spark's bitmaps.
+_PAGE = 15
+assert NEED > 0
+
+
+def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of every q-gram of an array of word codes."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
-    wide = codes.astype(np.uint64) + np.uint64(1)
+    wide = codes.astype(np.uint64)
     with np.errstate(over="ignore"):
         for k in range(q):
-            h = (h ^ wide[k : k + n]) * np.uint64(0x100000001B3)
-            h ^= h >> np.uint64(31)
+            h = (h ^ wide[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
     return h
 
 
-class ItemIndex:
-    """The runs of words of a block of items (distinct texts, each with its ids)."""
+class Coder:
+    """Codes of words; those met before are remembered, up to a bound."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        texts: dict[tuple[str, ...], list[int]] = {}
-        for i, t in items:
-            words = tuple(reader_words(t)) if t else ()
-            if len(words) >= PASSAGE:
-                texts.setdefault(words, []).append(i)
-        self.words = list(texts)
-        self.ids = list(texts.values())
-        #: Numbers of the items' words, from 1; the items' numbers in a row, a 0 before and after each.
+    def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        flat = [0]
-        for words in self.words:
-            flat += [*(self.known.setdefault(w, len(self.known) + 1) for w in words), 0]
-        self.flat = np.array(flat, np.int64)
-        self.starts = np.cumsum([1, *(len(w) + 1 for w in self.words)])
-        h, at = whole_runs(self.flat)
-        order = np.argsort(h, kind="stable")
-        self.keys, first = np.unique(h[order], return_index=True)
-        self.first, self.at = np.append(first, len(h)), at[order]
-        self.bits = np.zeros(_MASK + 1, bool)
-        self.bits[(self.keys & np.uint64(_MASK)).astype(np.int64)] = True
-
-
-def whole_runs(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of every run of `RUN` numbers without a 0."""
-    if len(flat) < RUN:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    zeros = np.concatenate([[0], np.cumsum(flat == 0)])
-    at = np.flatnonzero(zeros[RUN:] == zeros[:-RUN])
-    return grams(flat, RUN)[at], at
-
-
-def aligned_passage(item: tuple[str, ...], doc: list[str]) -> bool:
-    """Whether the document's words hold a passage of the item within the budget.
-
-    The least number of edits of every window of item words against any part of the document. The first and the last word of a
-    passage are unaltered, since a copy that ends before an altered word is only a shorter copy.
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        import xxhash
+
+        known, out = self.known, []
+        if len(known) > 500_000:
+            known.clear()
+        for w in words:
+            c = known.get(w)
+            if c is None:
+                c = known[w] = xxhash.xxh64_intdigest(w)
+            out.append(c)
+        return np.array(out, np.uint64)
+
+
+def blocks(n: int, half: int) -> list[tuple[int, int]]:
+    """(number, start) of blocks of two halves that cover n words; a last block of one half only is part of the one before."""
+    return [(k, k * half) for k in range(max(1, -(-n // half) - 1))]
+
+
+def counted(g: np.ndarray) -> list[tuple[int, int]]:
+    """(q-gram, how often), as signed numbers."""
+    values, n = np.unique(g, return_counts=True)
+    return list(zip(values.astype(np.int64).tolist(), n.tolist()))
+
+
+def _items(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(item, whole, no, codes, grams) of the blocks of all items of PASSAGE words or more; `whole` is equal for equal words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        coder = Coder()
+        for b in batches:
+            rows = []
+            for i, t in zip(b["_item"], b["_text"]):
+                codes = coder(reader_words(t)) if t else np.zeros(0, np.uint64)
+                if len(codes) >= PASSAGE:
+                    whole = xxhash.xxh3_128_hexdigest(codes.tobytes())
+                    for no, at in blocks(len(codes), LONGEST):
+                        part = codes[at : at + 2 * LONGEST]
+                        rows.append((i, whole, no, part.astype(np.int64).tolist(), counted(grams(part))))
+            yield pd.DataFrame(rows, columns=["_item", "whole", "no", "codes", "grams"]).astype({"no": "int32", "whole": object})
+
+    kind = dict(items.dtypes)[key]
+    return items.where(F.col(key).isNotNull()).select(F.col(key).alias("_item"), F.col(text).alias("_text")).mapInPandas(
+        run, f"_item {kind}, whole string, no int, codes array<bigint>, grams array<struct<gram:bigint,n:int>>"
+    )
+
+
+def bitmap(grams_: DataFrame) -> tuple[np.ndarray, int]:
+    """(bytes, bits): a bitmap of the column `gram` with about 16 bits to an entry, at most 2 ** MOST_BITS in all."""
+    n = grams_.count()
+    bits = min(MOST_BITS, max(_PAGE, (16 * n).bit_length()))
+    at = F.col("gram").bitwiseAND((1 << bits) - 1)
+    pages = grams_.groupBy(F.shiftright(at, _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << _PAGE) - 1)).alias("bits")).collect()  # at most 2 ** (MOST_BITS - 15) pages of 4 kB
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in pages:
+        out[r["page"] << (_PAGE - 3) : (r["page"] + 1) << (_PAGE - 3)] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out, bits
+
+
+def likely_blocks(docs: list[list[str]], coder: Coder, bits: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(document's place, codes, q-grams in the bitmap) of the documents' blocks that hold NEED or more of them."""
+    sizes = [len(w) for w in docs]
+    flat = coder([w for words in docs for w in words])
+    h = grams(flat)
+    low = h & np.uint64((1 << width) - 1)
+    hit = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
+    sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
+    out, start = [], 0
+    for d, n in enumerate(sizes):
+        last = start + n - Q + 1  # q-grams from here on reach into the next document
+        if n >= PASSAGE - EDITS and sums[last] - sums[start] >= NEED:
+            for _, at in blocks(n, PART):
+                a, b = start + at, min(start + at + 2 * PART - Q + 1, last)
+                if sums[b] - sums[a] >= NEED:
+                    own = np.arange(a, b)[hit[a:b] > 0]
+                    out.append((d, flat[a : min(start + n, a + 2 * PART)], h[own]))
+        start += n
+    return out
+
+
+def _doc_blocks(docs: DataFrame, key: str, text: str, bits: np.ndarray, width: int) -> DataFrame:
+    """(doc, block, codes, grams); `block` is equal for equal words."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        coder = Coder()
+        for b in batches:
+            for at in range(0, len(b), 200):
+                part = b.iloc[at : at + 200]
+                ids = list(part["_doc"])
+                rows = [
+                    (ids[d], xxhash.xxh3_128_hexdigest(codes.tobytes()), codes.astype(np.int64).tolist(), counted(g))
+                    for d, codes, g in likely_blocks([reader_words(t) if t else [] for t in part["_text"]], coder, shared.value, width)
+                ]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["_doc", "block", "codes", "grams"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text")).mapInPandas(
+        run, f"_doc {kind}, block string, codes array<bigint>, grams array<struct<gram:bigint,n:int>>"
+    )
+
+
+def bands(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """First diagonals (document's place less item's) of the bands that hold NEED or more shared q-grams, the fullest first."""
+    i, j = np.nonzero(grams(a)[:, None] == grams(b)[None, :])
+    if len(i) < NEED:
+        return []
+    half = BAND // 2
+    at = (j - i) // half  # the band before holds it too
+    low = int(at.min()) - 1
+    n = np.bincount(at - low)
+    both = n[:-1] + n[1:]  # band k: diagonals of k and k + 1
+    return [(int(k) + low) * half for k in np.argsort(-both, kind="stable") if both[k] >= NEED]
+
+
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """For each (item's block, document's block, first diagonal of a band) whether the band holds a passage within the budget.
+
+    The least edits of every window of item words along every diagonal, EDITS of which are added on either side of the band. The
+    first and the last word of a passage are unaltered, since a copy that ends before an altered word is only a shorter copy.
     """
-    at: dict[str, int] = {}
-    a = np.array([at.setdefault(w, len(at)) for w in item], np.int64)
-    b = np.array([at.setdefault(w, len(at)) for w in doc], np.int64)
-    n, m = len(a), len(b)
-    if n < PASSAGE or m < PASSAGE - PASSAGE // PER_EDIT:
-        return False
-    # cheap part first: words that some stretch of the document shares with the item at all
-    shared = np.concatenate([[0], np.cumsum(np.isin(b, a))])
-    wide = LONGEST + LONGEST // PER_EDIT
-    if (shared[wide:] - shared[:-wide] if m > wide else shared[-1:]).max() < PASSAGE - PASSAGE // PER_EDIT:
-        return False
-    never = np.int32(n + m)
-    cost = np.full((n - PASSAGE + 1, m + 1), never)
-    cost[:, 1:][b[None, :] == a[: len(cost), None]] = 0
-    ramp = np.arange(m + 1, dtype=np.int32)
-    cost = np.minimum.accumulate(cost - ramp, axis=1) + ramp
-    for k in range(2, min(n, LONGEST) + 1):
-        cost = cost[: n - k + 1]  # windows that the item still has words for
-        same = b[None, :] == a[k - 1 : k - 1 + len(cost), None]
-        if k >= PASSAGE and PER_EDIT * int(np.where(same, cost[:, :-1], never).min()) <= k:
-            return True
-        row = cost + 1
-        row[:, 1:] = np.minimum(row[:, 1:], cost[:, :-1] + ~same)
-        cost = np.minimum.accumulate(row - ramp, axis=1) + ramp
-    return False
-
-
-def reaches(a: list[str], b: list[str]) -> list[int]:
-    """The most words of `a` that 0, 1, ... edits align from the start of `a` and `b` on, by furthest points on diagonals."""
-    at, out = {0: 0}, []
-    for e in range(LONGEST // PER_EDIT + 1):
-        for k, x in at.items():
-            while x < len(a) and x + k < len(b) and a[x] == b[x + k]:
-                x += 1
-            at[k] = x
-        out.append(max(at.values()))
-        grown: dict[int, int] = {}
-        for k, x in at.items():
-            for k2, x2 in ((k, x + 1), (k - 1, x + 1), (k + 1, x)):  # altered, dropped, added
-                if x2 <= len(a) and 0 <= x2 + k2 <= len(b) and x2 > grown.get(k2, -1):
-                    grown[k2] = x2
-        at = {k: max(x, grown.get(k, 0)) for k, x in at.items()} | {k: x for k, x in grown.items() if k not in at}
+    size, wide, width = 2 * LONGEST, 2 * PART, BAND + 2 * EDITS
+    a, b = np.zeros((len(pairs), size), np.uint64), np.zeros((len(pairs), wide), np.uint64)
+    has_a, has_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    for p, (x, y, _) in enumerate(pairs):
+        a[p, : len(x)], b[p, : len(y)], has_a[p, : len(x)], has_b[p, : len(y)] = x, y, True, True
+    first = np.array([d - EDITS for _, _, d in pairs])
+    j = first[:, None, None] + np.arange(size)[None, :, None] + np.arange(width)[None, None, :]
+    inside = (j >= 0) & (j < wide)
+    j = np.where(inside, j, 0)
+    row = np.arange(len(pairs))[:, None, None]
+    same = inside & has_b[row, j] & has_a[:, :, None] & (b[row, j] == a[:, :, None])
+    starts = size - PASSAGE + 1
+    never, ramp = np.int16(1000), np.arange(width, dtype=np.int16)
+    cost = np.where(same[:, :starts], np.int16(0), never)
+    cost = np.minimum.accumulate(cost - ramp, axis=2) + ramp
+    found = np.zeros(len(pairs), bool)
+    for k in range(1, LONGEST):  # windows of k words become windows of k + 1
+        left = min(starts, size - k)
+        cost, here = cost[:, :left], same[:, k : k + left]
+        if k + 1 >= PASSAGE:
+            found |= PER_EDIT * np.where(here, cost, never).min(axis=(1, 2)).astype(int) <= k + 1
+        new = cost + ~here
+        new[:, :, :-1] = np.minimum(new[:, :, :-1], cost[:, :, 1:] + 1)
+        cost = np.minimum.accumulate(new - ramp, axis=2) + ramp
+    return found
+
+
+def holds_passage(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[bool]:
+    """For each (item's block, document's block) whether one of its bands holds a passage."""
+    left = {p: bands(a, b) for p, (a, b) in enumerate(pairs)}
+    out = [False] * len(pairs)
+    while left := {p: ds for p, ds in left.items() if ds and not out[p]}:
+        now = list(left)
+        for at in range(0, len(now), 64):
+            some = now[at : at + 64]
+            for p, ok in zip(some, aligned([(*pairs[p], left[p][0]) for p in some])):
+                out[p] = bool(ok)
+        left = {p: ds[1:] for p, ds in left.items()}
     return out
 
 
-def leaked(index: ItemIndex, docs: list[list[str]]) -> list[tuple[int, int]]:
-    """(document's place, item's place) for every item that a document leaks."""
-    flat = [0]
-    for words in docs:
-        flat += [*(index.known.get(w, 0) for w in words), 0]
-    whole = np.array(flat, np.int64)
-    starts = np.cumsum([1, *(len(w) + 1 for w in docs)])
-    found: set[tuple[int, int]] = set()
-    h, j = whole_runs(whole)
-    hit = index.bits[(h & np.uint64(_MASK)).astype(np.int64)]
-    h, j = h[hit], j[hit]
-    k = np.searchsorted(index.keys, h)
-    hit = k < len(index.keys)
-    h, j, k = h[hit], j[hit], k[hit]
-    hit = index.keys[k] == h
-    j, k = j[hit], k[hit]
-    many = index.first[k + 1] - index.first[k]
-    j = np.repeat(j, many)
-    i = index.at[np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.first[k], many)]
-    # each shared run once, by its first word
-    new = (whole[j - 1] != index.flat[i - 1]) | (whole[j - 1] == 0)
-    i, j = i[new], j[new]
-    items, owners = np.searchsorted(index.starts, i, side="right") - 1, np.searchsorted(starts, j, side="right") - 1
-    around = LONGEST + LONGEST // PER_EDIT
-    for it, d, x, y in zip(items.tolist(), owners.tolist(), (i - index.starts[items]).tolist(), (j - starts[owners]).tolist()):
-        if (d, it) in found:
-            continue
-        item, doc, n = index.words[it], docs[d], 0
-        while x + n < len(item) and y + n < len(doc) and item[x + n] == doc[y + n]:
-            n += 1
-        if n < RUN:
-            continue
-        before, after = item[max(0, x - LONGEST) : x], item[x + n : x + n + LONGEST]
-        doc_before, doc_after = doc[max(0, y - around) : y], doc[y + n : y + n + around]
-        # cheap part first: how far the budget reaches from the run to either side, whatever the ends are
-        left, right = reaches(before[::-1], doc_before[::-1]), reaches(after, doc_after)
-        if all(n + left[p] + right[q] < max(PASSAGE, PER_EDIT * (p + q)) for p in range(len(left)) for q in range(len(right) - p)):
-            continue
-        if aligned_passage(before + item[x : x + n] + after, doc_before + doc[y : y + n] + doc_after):
-            found.add((d, it))
-    return sorted(found)
-
-
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for r in items.select(key, text).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size > BLOCK:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        pairs = [(np.asarray(a, np.int64).view(np.uint64), np.asarray(c, np.int64).view(np.uint64)) for a, c in zip(b["codes_i"], b["codes_d"])]
+        yield b.loc[holds_passage(pairs), ["whole", "block"]]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(item, doc): each item with each document that holds a passage of it within the edit budget.
 
-    Null and blank texts, and items under `PASSAGE` words, match nothing. An item listed twice is two items. The items are broadcast
-    in blocks of at most `BLOCK` characters (and one item), each of which is run against all documents.
+    Null and blank texts, and items under `PASSAGE` words, match nothing; a null key is no row. An item listed twice is two items, and
+    a document's id on several rows is one document. Equal items and equal blocks of documents are compared once, whoever holds them.
+    Tables of any size on either side are joined by q-grams; nothing but the bounded bitmap passes through the driver.
     """
-    spark = docs.sparkSession
-    kinds = {item_key: dict(items.dtypes)[item_key], doc_key: dict(docs.dtypes)[doc_key]}
-    schema = f"`{item_key}` {kinds[item_key]}, `{doc_key}` {kinds[doc_key]}"
-    out: DataFrame | None = None
-    for block in _blocks(items.where(F.col(item_key).isNotNull()), item_key, text):
-        shared = spark.sparkContext.broadcast(pickle.dumps(ItemIndex(block)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = pickle.loads(shared.value)
-            for b in batches:
-                for at in range(0, len(b), 500):
-                    part = b.iloc[at : at + 500]
-                    ids, words = list(part[doc_key]), [reader_words(t) if t else [] for t in part[text]]
-                    rows = [(i, ids[d]) for d, k in leaked(index, words) for i in index.ids[k]]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=[item_key, doc_key])
-
-        got = docs.where(F.col(doc_key).isNotNull()).select(doc_key, text).mapInPandas(run, schema)
-        out = got if out is None else out.unionByName(got)
-    return (out if out is not None else spark.createDataFrame([], schema)).distinct()
+    parts = cut(_items(items, item_key, text))
+    item_grams = cut(parts.select("whole", "no", F.explode("grams").alias("g")).select("whole", "no", "g.gram", F.col("g.n").alias("n_i")).distinct())
+    bits, width = bitmap(item_grams.select("gram").distinct())
+    found = cut(_doc_blocks(docs, doc_key, text, bits, width))
+    doc_grams = found.select("block", F.explode("grams").alias("g")).select("block", "g.gram", F.col("g.n").alias("n_d")).distinct()
+    shared = grid_join(doc_grams, item_grams, "gram").groupBy("block", "whole", "no").agg(F.sum(F.least("n_d", "n_i")).alias("n")).where(F.col("n") >= NEED)
+    pairs = shared.select("block", "whole", "no").join(parts.select("whole", "no", F.col("codes").alias("codes_i")).dropDuplicates(["whole", "no"]), ["whole", "no"])
+    pairs = pairs.join(found.select("block", F.col("codes").alias("codes_d")).dropDuplicates(["block"]), "block")
+    passages = pairs.select("whole", "block", "codes_i", "codes_d").mapInPandas(_verified, "whole string, block string").distinct()
+    holders = passages.join(found.select("_doc", "block"), "block").select("whole", "_doc").distinct()
+    return holders.join(parts.select("_item", "whole").distinct(), "whole").select(F.col("_item").alias(item_key), F.col("_doc").alias(doc_key)).distinct()

@@ -3,11 +3,12 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from latticeflow.llm import leaks, overlap, packing, pairs, residue, terms, tokens, topn
+from latticeflow.llm import joins, leaks, overlap, packing, pairs, residue, terms, tokens, topn
 from latticeflow.llm.plaintext import reader_words
 from latticeflow.llm.queries import QUERIES, SQL
 from latticeflow.session import table
@@ -271,42 +272,82 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
-def test_q_gram_filter_against_alignment_of_all():
-    docs = [reader_words(t) for (t,) in duckdb.sql(f"select text from '{D}/documents.parquet' where length(text) > 0").fetchall()]
-    index = leaks.ItemIndex(duckdb.sql(f"select item_id, text from '{D}/benchmark.parquet' where item_id % 3 = 0").fetchall())
-    found = set(leaks.leaked(index, docs))
-    assert found == {(d, k) for d, words in enumerate(docs) for k, item in enumerate(index.words) if leaks.aligned_passage(item, words)}
-
-
-def test_leak_edited_near_an_end():
+def _passage(item, doc):
+    """Brute force: the least edits of every window of item words against any part of the document, without bands."""
+    at: dict = {}
+    a, b = (np.array([at.setdefault(w, len(at)) for w in ws], np.int64) for ws in (item, doc))
+    n, m = len(a), len(b)
+    shared = np.concatenate([[0], np.cumsum(np.isin(b, a))])
+    most = (shared[leaks.PART :] - shared[: -leaks.PART]).max() if m > leaks.PART else shared[-1]
+    if n < leaks.PASSAGE or most < leaks.PASSAGE - leaks.EDITS:
+        return False
+    never, ramp = np.int32(n + m), np.arange(m + 1, dtype=np.int32)
+    cost = np.full((n - leaks.PASSAGE + 1, m + 1), never)
+    cost[:, 1:][b[None, :] == a[: len(cost), None]] = 0
+    cost = np.minimum.accumulate(cost - ramp, axis=1) + ramp
+    for k in range(2, min(n, leaks.LONGEST) + 1):
+        cost = cost[: n - k + 1]
+        same = b[None, :] == a[k - 1 : k - 1 + len(cost), None]
+        if k >= leaks.PASSAGE and leaks.PER_EDIT * int(np.where(same, cost[:, :-1], never).min()) <= k:
+            return True
+        row = cost + 1
+        row[:, 1:] = np.minimum(row[:, 1:], cost[:, :-1] + ~same)
+        cost = np.minimum.accumulate(row - ramp, axis=1) + ramp
+    return False
+
+
+def _found(spark, items, docs):
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string").repartition(4)
+    return {(r.item_id, r.doc_id) for r in leaks.find_leaks(d, i).collect()}
+
+
+def test_leaks_against_alignment_of_all(spark):
+    docs = {k: reader_words(t) for k, t in duckdb.sql(f"select doc_id, text from '{D}/documents.parquet' where length(text) > 0").fetchall()}
+    items = {k: reader_words(t) for k, t in duckdb.sql(f"select item_id, text from '{D}/benchmark.parquet' where length(text) > 0").fetchall()}
+    got = {(r.item_id, r.doc_id) for r in leaks.find_leaks(table(spark, D, "documents"), table(spark, D, "benchmark")).collect()}
+    assert got == {(k, d) for d, words in docs.items() for k, item in items.items() if _passage(item, words)} and got
+
+
+def test_leak_edited_near_an_end(spark):
     rng = random.Random(9)
     item, filler = _item(rng, 60), _item(rng, 40)
+    docs = []
     for length, at in [(25, 1), (25, 23), (26, 1), (26, 24), (30, 28), (59, 1)]:
         copied = item[:length] if length > 48 else item[11 : 11 + length]
         copied[at] = "anders"
-        doc = filler[:20] + copied + filler[20:]
-        assert leaks.aligned_passage(tuple(item), doc), (length, at)
-        assert leaks.leaked(leaks.ItemIndex([(1, " ".join(item))]), [doc]) == [(0, 0)]
-    assert not leaks.aligned_passage(tuple(item), filler[:20] + item[11:35] + filler[20:])
-    assert not leaks.aligned_passage(tuple(item), filler[:20] + [w if i % 7 else "weg" for i, w in enumerate(item)] + filler[20:])
+        docs.append(filler[:20] + copied + filler[20:])
+    docs.append(filler[:20] + item[11:35] + filler[20:])
+    docs.append(filler[:20] + [w if i % 7 else "weg" for i, w in enumerate(item)] + filler[20:])
+    assert _found(spark, [item], docs) == {(0, d) for d in range(6)}
 
 
-def test_leak_with_long_words_added():
+def test_leaks_with_added_words_of_any_length_and_script(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT", 50)
     rng = random.Random(10)
-    item = [w[:6].ljust(6, "x") for w in _item(rng, 60)]
-    index = leaks.ItemIndex([(1, " ".join(item))])
-    assert leaks.RUN == 7
-    for at in (7, 15, 23):
-        copied = item[5:35]
-        copied.insert(at, "y" * 100)
-        assert leaks.leaked(index, [_item(rng, 10), _item(rng, 40) + copied + _item(rng, 40), []]) == [(1, 0)]
-    for _ in range(300):  # any edits, against the alignment of the whole texts
-        copied = item[(x := rng.randrange(30)) : x + rng.randrange(23, 58)]
+    stock = _item(rng, 20)  # an instruction that many items begin with
+    added = lambda: rng.choice(["y", "щ", "é", "ñ", "9"]) * rng.randint(1, 200)
+    items, docs = [], []
+    for k in range(200):
+        item = (stock if k % 3 == 0 else []) + _item(rng, rng.choice((30, 60, 130, 400)))
+        x = rng.randrange(max(1, len(item) - 60))
+        copied = item[x : x + rng.randrange(23, 70)]
         for _ in range(rng.randrange(7)):
             at = rng.randrange(len(copied))
-            copied[at : at + rng.randrange(2)] = ["z" * rng.choice((3, 300))] * rng.randrange(2)
-        doc = _item(rng, 5) + copied + _item(rng, 5)
-        assert bool(leaks.leaked(index, [doc])) == leaks.aligned_passage(tuple(item), doc)
+            copied[at : at + rng.randrange(2)] = [added()] * rng.randrange(2)
+        items.append(item)
+        docs.append(_item(rng, rng.randrange(130)) + copied + _item(rng, rng.randrange(130)) + stock)
+    got = _found(spark, items, docs)
+    assert got == {(k, d) for d in range(200) for k in range(200) if (k == d or len(set(items[k]) & set(docs[d])) > 20) and _passage(items[k], docs[d])}
+    assert 60 < len(got) < 195
+
+
+def test_leaks_of_long_and_repeated_texts(spark):
+    rng = random.Random(12)
+    book = _item(rng, 20_000)
+    same = ["ab"] * 20_000
+    docs = [_item(rng, 50) + book[15_000:15_030] + _item(rng, 50), ["ab"] * 30_000, ["ab"] * 20, book, *[book[100:140] + ["end"]] * 30]
+    assert _found(spark, [book, same, book], docs) == {(k, d) for k in (0, 2) for d in (0, 3, *range(4, 34))} | {(1, 1)}
 
 
 # residue
