@@ -362,7 +362,7 @@ def test_leaks_of_long_and_repeated_texts(spark):
     ],
 )
 def test_residue_found(text):
-    page = residue.shown(text)
+    page = residue.unquoted(residue.shown(text))
     assert residue.has_slot(page) or any(residue.classify(m) for m in residue.messages(page))
 
 
@@ -376,13 +376,43 @@ def test_residue_found(text):
     ],
 )
 def test_no_residue(text):
-    page = residue.shown(text)
-    assert not residue.has_slot(page) and not any(residue.classify(m) for m in residue.messages(page))
+    page = residue.unquoted(residue.shown(text))
+    assert not residue.has_slot(page) and not any(residue.classify(m, 100, 100) for m in residue.messages(page))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("JavaScript must be enabled to view this content", "notice"), ("Please switch on JavaScript", "notice"), ("Scripts have been disabled", "notice"), ("Connection refused by origin", "error"),
+        ("Vivamus sagittis lacus vel augue laoreet", "filler"), ("Site under construction", "filler"), ("HTTP 503", "error"), ("Sorry, this page could not be loaded: connection timed out", "error"),
+        ("asdf jkl asdf jkl", "filler"), ("Zugriff auf den Server verweigert", "error"), ("Le serveur est momentanément indisponible", "error"), ("网站维护中，请稍后再试", "error"), ("[placeholder]", "filler"), ("Description to be added", "filler"),
+    ],
+)
+def test_residue_in_words_of_no_list(text, kind):
+    assert kind in {residue.classify(m) for m in residue.messages(residue.unquoted(residue.shown(text)))}
+
+
+def test_templates_are_mined(spark):
+    rows = [(i, f"s{i % 3}", f"sorry {n} we keep your session here") for i, n in enumerate(["anna", "ben", "carl", "dora"])]
+    rows += [(i, f"s{i % 3}", f"your session on host {n} was closed by us") for i, n in enumerate(["anna", "ben", "carl", "dora", "emil"], 10)]
+    rows += [(20, "s1", "your session on host anna was closed by me"), (21, "s1", "one two three four"), (21, "s2", "one two three four five")]
+    got = {r.template: (r.general, r.documents, r.sources) for r in residue.mined(spark.createDataFrame(rows, "doc int, source string, template string")).collect()}
+    assert got["your session on host ben was closed by us"] == ("your session on host <*> was closed by us", 5, 3)
+    assert got["your session on host anna was closed by me"][0].endswith("by me") and got["one two three four"] == ("one two three four", 1, 1)
+    assert got["sorry ben we keep your session here"] == ("sorry ben we keep your session here", 1, 1)  # the names stand in the tree's path
+
+
+def test_support_settles_what_words_leave_open(spark):
+    message = "Our team has been told about this."
+    docs = lambda n: spark.createDataFrame([(i, f"s{i % 2}", f"Real text {i}.\n{message}") for i in range(n)], "doc_id int, source string, text string")
+    assert residue.find_residue(docs(residue.SUPPORT - 1)).count() == 0 and residue.find_residue(docs(residue.SUPPORT)).count() == residue.SUPPORT
+    assert residue.find_residue(docs(residue.SUPPORT).withColumn("source", F.lit("s1"))).count() == 0
+    assert residue.find_residue(docs(residue.SUPPORT).drop("source")).count() == residue.SUPPORT
 
 
 def test_filler_of_the_whole_passage():
     for text in ("Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Ut enim ad minim veniam, quis nostrud exercitation ullamco.", "Excepteur sint occaecat cupidatat non proident."):
-        assert "filler" in {residue.classify(m) for m in residue.messages(residue.shown(text))}
+        assert "filler" in {residue.classify(m) for m in residue.messages(text)}
     assert residue.classify("in id est et non sed") is None and residue.classify("quis custodiet ipsos custodes") is None
 
 
