@@ -11,7 +11,7 @@ document with one of its messages. Slots that were never filled are looked for i
 from __future__ import annotations
 
 import html
-
+import re
 import unicodedata
 from collections.abc import Iterator
 from http import HTTPStatus
@@ -29,6 +29,8 @@ DEPTH, WILD = 3, 3
 #: Least share of a template's words that the vocabulary covers, and least score of its cues; the latter is one lower for a
 #: template that so many documents hold as a message of its own, from so many sources (if sources are known).
 COVER, SCORE, SUPPORT, SPREAD = 0.78, 3, 5, 2
+#: Least share that makes a message enter the tree; wildcards may raise it.
+LEAST = COVER - 0.3
 
 # Marks of markup, and what a reader sees of it.
 _CODE = regex.compile(r"(?s)(```|~~~).*?(?:\1|\Z)|``[^`]*``|`[^`\n]*`|<(pre|code|script|style)\b[^<>]*>.*?(?:</\2\s*>|\Z)|<!--.*?-->|(?m:^(?: {4}|\t)\S.*$)")
@@ -132,8 +134,8 @@ _FILLS, _WEBS, _PLAINS = frozenset(_FILL), frozenset(_WEB), frozenset(_PLAIN)
 _NOTS, _NEGATEDS = frozenset(_NOT), frozenset(_NEGATED)
 #: Two words that are one entry of the vocabulary.
 _TWO = {tuple(w.split("-")) for ws in (_FAILS, _WEB, _SCRIPT, _ENABLE, _EMPTY) for w in ws if w.count("-") == 1}
-#: A message without any of these words is no template; they are looked for first.
-_CUES = frozenset(w for ws in (_FAILS, _WEB, _SCRIPT, _EMPTY, _NEGATED) for w in ws) | frozenset(w for p in _TWO for w in p if w not in _PLAINS) | LATIN - _LATIN_SHORT | frozenset(w for r in _REASONS for w in r.split()) | {"xxx", "text", "here", "follow"}
+#: A message without any of these words is no template; they are looked for first. Of two words that are one entry the second stands for both.
+_CUES = frozenset(w for ws in (_FAILS, _WEB, _SCRIPT, _EMPTY, _NEGATED) for w in ws if "-" not in w) | frozenset(b if b not in _PLAINS else a for a, b in _TWO) - {"log"} | LATIN - _LATIN_SHORT | {"xxx"}
 
 #: What varies between messages of one template, with what stands for it.
 _MASKS = [
@@ -145,11 +147,15 @@ _MASKS = [
     ("", regex.compile(r"\d+(?:[.,:]\d+)*"), "<n>"),
 ]
 _DIGIT = regex.compile(r"\d")
-_SPLIT = regex.compile(r"\n+| [-–—|] |(?<=[.!?…])\s+|(?<=[。！？])")
-_TOKEN = regex.compile(r"<[a-z*]+>|[\p{L}\p{M}]+(?:[’'-][\p{L}\p{M}]+)*")
+_SENTENCE = re.compile(r"([.!?…])\s+")
+_TOKEN = re.compile(r"<[a-z*]+>|[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _MASH = regex.compile(r"^[asdfghjkl]{3,}\s[asdfghjkl\s]{9,}")
+_LETTERS = regex.compile(r"\p{L}+")
+_XXX = regex.compile(r"xxx(?: xxx)*")
+_EDGES = " \t.!?…。！:;-–—*#•[]()"
 _HANS = regex.compile(r"\p{Han}")
 _STATUS = regex.compile(r"(?:http|error|status|code|http error|error code|status code)[ /:#-]*<status>|<status>[ :-]*error")
+_BEFORE = regex.compile(r"(?:http|error|<status>|[ /:#-])+")
 
 
 def shown(text: str) -> str:
@@ -184,12 +190,26 @@ def mask(message: str) -> str:
     return " ".join(message.split())
 
 
+def parts(text: str) -> list[str]:
+    """Lines, sentences, and what stands between dashes."""
+    for mark in "。！？":
+        if mark in text:
+            text = text.replace(mark, mark + "\n")
+    for mark in (" - ", " – ", " — ", " | "):
+        text = text.replace(mark, "\n")
+    return _SENTENCE.sub(r"\1\n", text).split("\n")
+
+
 def messages(text: str) -> set[str]:
     """The masked lines and sentences of a shown text without quotations, of those that hold a cue."""
     out = set()
-    for part in _SPLIT.split(text.casefold()):
-        if part and (not _CUES.isdisjoint(_TOKEN.findall(part)) or _MASH.search(part) or _HANS.search(part) and any(k != "plain" for m in _HAN.finditer(part) for k in (m.lastgroup,))):
-            out.add(mask(part.replace("’", "'")))
+    for part in parts(text.casefold()):
+        if not part:
+            continue
+        if "’" in part:
+            part = part.replace("’", "'")
+        if not _CUES.isdisjoint(_TOKEN.findall(part)) or part.strip(_EDGES) in _REASONS or _MASH.search(part) or (not part.isascii() and any(m.lastgroup != "plain" for m in _HAN.finditer(part))):
+            out.add(mask(part))
     out.discard("")
     return out
 
@@ -238,18 +258,27 @@ def evidence(template: str) -> tuple[float, dict[str, int]]:
     return (known / total if total else 0.0), {k: len(v) for k, v in seen.items()}
 
 
-def classify(template: str, documents: int = 1, sources: int | None = None) -> str | None:
-    """error, notice, filler or None for a template that so many documents of so many sources hold."""
-    bare = template.lstrip(" \t.!:;-–—*#>•[(").rstrip(" \t.!?…。！:;-–—*#•])")
-    if bare in _REASONS or _STATUS.fullmatch(bare) or "<status>" in bare and regex.sub(r"(?:http|error|<status>|[ /:#-])+", " ", bare, count=1).strip() in _REASONS:
+def plain_verdict(template: str) -> str | None:
+    """The verdict on reasons of a status, mock Latin and letters typed at random, whatever the rest of the vocabulary."""
+    bare = template.lstrip("> ").strip(_EDGES)
+    if bare in _REASONS or "<status>" in bare and (_STATUS.fullmatch(bare) or _BEFORE.sub(" ", bare, count=1).strip() in _REASONS):
         return "error"
-    words = regex.findall(r"\p{L}+", bare)
+    words = _LETTERS.findall(bare)
     latin = sum(w in LATIN for w in words)
-    if latin >= 3 and latin + sum(w in _LATIN_SHORT for w in words) >= 0.7 * len(words) or latin >= 2 and len(words) >= 4 and len({w for w in words if w in LATIN}) >= 2 and _STOP.isdisjoint(words) and latin >= 0.15 * len(words):
+    if latin > 2 and latin + sum(w in _LATIN_SHORT for w in words) >= 0.7 * len(words):
         return "filler"
-    if regex.fullmatch(r"xxx(?: xxx)*", bare) or len("".join(words)) >= 12 and len(words) > 1 and _HOME_ROW.issuperset("".join(words)):
+    if latin > 1 and len(words) > 3 and latin >= 0.15 * len(words) and len({w for w in words if w in LATIN}) > 1 and _STOP.isdisjoint(words):
         return "filler"
-    cover, n = evidence(bare)
+    if _XXX.fullmatch(bare) or len(words) > 1 and len("".join(words)) >= 12 and _HOME_ROW.issuperset("".join(words)):
+        return "filler"
+    return None
+
+
+def classify(template: str, documents: int = 1, sources: int | None = None) -> str | None:
+    """error, notice, filler or None for a template that so many documents of so many sources hold."""
+    if (kind := plain_verdict(template)) is not None:
+        return kind
+    cover, n = evidence(template)
     least = SCORE - (documents >= SUPPORT and (sources is None or sources >= SPREAD))
     if cover < COVER:
         return None
@@ -319,7 +348,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
                 page = unquoted(shown(t))
                 if has_slot(page):
                     rows.append((k, s, None))
-                rows.extend((k, s, m) for m in messages(page) if evidence(m)[0] >= COVER - 0.3 or classify(m) is not None)
+                rows.extend((k, s, m) for m in messages(page) if evidence(m)[0] >= LEAST or plain_verdict(m) is not None)
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "source", "template"]).astype({"source": object, "template": object})
 
