@@ -99,7 +99,7 @@ def _items(items: DataFrame, key: str, text: str) -> DataFrame:
             for i, t in zip(b["_item"], b["_text"]):
                 codes = coder(reader_words(t)) if t else np.zeros(0, np.uint64)
                 if len(codes) >= PASSAGE:
-                    whole = xxhash.xxh3_128_hexdigest(codes.tobytes())
+                    whole = xxhash.xxh3_128_digest(codes.tobytes())
                     for no, at in blocks(len(codes), LONGEST):
                         part = codes[at : at + 2 * LONGEST]
                         rows.append((i, whole, no, part.astype(np.int64).tolist(), counted(grams(part))))
@@ -107,7 +107,7 @@ def _items(items: DataFrame, key: str, text: str) -> DataFrame:
 
     kind = dict(items.dtypes)[key]
     return items.where(F.col(key).isNotNull()).select(F.col(key).alias("_item"), F.col(text).alias("_text")).mapInPandas(
-        run, f"_item {kind}, whole string, no int, codes array<bigint>, grams array<struct<gram:bigint,n:int>>"
+        run, f"_item {kind}, whole binary, no int, codes array<bigint>, grams array<struct<gram:bigint,n:int>>"
     )
 
 
@@ -124,7 +124,7 @@ def bitmap(grams_: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def likely_blocks(docs: list[list[str]], coder: Coder, bits: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(document's place, codes, q-grams in the bitmap) of the documents' blocks that hold NEED or more of them."""
+    """(document's place, codes, q-grams in the bitmap) of the documents' blocks in whose first half a window with NEED or more of them begins."""
     sizes = [len(w) for w in docs]
     flat = coder([w for words in docs for w in words])
     h = grams(flat)
@@ -135,11 +135,13 @@ def likely_blocks(docs: list[list[str]], coder: Coder, bits: np.ndarray, width:
     for d, n in enumerate(sizes):
         last = start + n - Q + 1  # q-grams from here on reach into the next document
         if n >= PASSAGE - EDITS and sums[last] - sums[start] >= NEED:
-            for _, at in blocks(n, PART):
-                a, b = start + at, min(start + at + 2 * PART - Q + 1, last)
-                if sums[b] - sums[a] >= NEED:
-                    own = np.arange(a, b)[hit[a:b] > 0]
-                    out.append((d, flat[a : min(start + n, a + 2 * PART)], h[own]))
+            # a passage that begins at some word has all its q-grams in the window of PART words from there
+            ends = np.minimum(np.arange(start, last) + PART - Q + 1, last)
+            begins = np.flatnonzero(sums[ends] - sums[start:last] >= NEED)
+            for no in np.unique(np.minimum(begins // PART, len(blocks(n, PART)) - 1)).tolist():
+                a = start + no * PART
+                own = np.arange(a, min(a + 2 * PART - Q + 1, last))
+                out.append((d, flat[a : min(start + n, a + 2 * PART)], h[own[hit[own] > 0]]))
         start += n
     return out
 
@@ -157,7 +159,7 @@ def _doc_blocks(docs: DataFrame, key: str, text: str, bits: np.ndarray, width: i
                 part = b.iloc[at : at + 200]
                 ids = list(part["_doc"])
                 rows = [
-                    (ids[d], xxhash.xxh3_128_hexdigest(codes.tobytes()), codes.astype(np.int64).tolist(), counted(g))
+                    (ids[d], xxhash.xxh3_128_digest(codes.tobytes()), codes.astype(np.int64).tolist(), counted(g))
                     for d, codes, g in likely_blocks([reader_words(t) if t else [] for t in part["_text"]], coder, shared.value, width)
                 ]
                 if rows:
@@ -165,7 +167,7 @@ def _doc_blocks(docs: DataFrame, key: str, text: str, bits: np.ndarray, width: i
 
     kind = dict(docs.dtypes)[key]
     return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text")).mapInPandas(
-        run, f"_doc {kind}, block string, codes array<bigint>, grams array<struct<gram:bigint,n:int>>"
+        run, f"_doc {kind}, block binary, codes array<bigint>, grams array<struct<gram:bigint,n:int>>"
     )
 
 
@@ -250,6 +252,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     shared = grid_join(doc_grams, item_grams, "gram").groupBy("block", "whole", "no").agg(F.sum(F.least("n_d", "n_i")).alias("n")).where(F.col("n") >= NEED)
     pairs = shared.select("block", "whole", "no").join(parts.select("whole", "no", F.col("codes").alias("codes_i")).dropDuplicates(["whole", "no"]), ["whole", "no"])
     pairs = pairs.join(found.select("block", F.col("codes").alias("codes_d")).dropDuplicates(["block"]), "block")
-    passages = pairs.select("whole", "block", "codes_i", "codes_d").mapInPandas(_verified, "whole string, block string").distinct()
+    passages = pairs.select("whole", "block", "codes_i", "codes_d").mapInPandas(_verified, "whole binary, block binary").distinct()
     holders = passages.join(found.select("_doc", "block"), "block").select("whole", "_doc").distinct()
     return holders.join(parts.select("_item", "whole").distinct(), "whole").select(F.col("_item").alias(item_key), F.col("_doc").alias(doc_key)).distinct()
