@@ -3,13 +3,15 @@
 Exact copies are met by a key of all their letters. For the rest, the rolling hashes of every three words are winnowed: the
 least hash of each window is a fingerprint. Two texts within the edit budget share a run of words whose length is known from
 their own length; the window is chosen so that such a run holds a common fingerprint, hence no pair is missed.
-Fingerprints are joined across splits, the seeds of a pair of texts chained, and the gaps extended by banded alignment.
+Fingerprints are joined across splits. For each pair of texts that share one, the seeds are chained and extended over the gaps between
+them, which bounds the edits from above; only where this bound leaves it open is the pair aligned, in a band of the bound's width.
 All this runs on distinct texts; the records that hold them come back at the end.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticeflow.llm.joins import grid_join
 from latticeflow.operators.packed import best_parse
 from latticeflow.operators.records import first_delivery
 from latticeflow.session import cut
 
 #: Words of a fingerprint; least words of a text that may match almost; words of the longer text to one edit.
 GRAM, LEAST, PER_EDIT = 3, 8, 8
-#: Train texts of a fingerprint that go to one task; more are salted.
-HOT = 2000
 _SLOT = regex.compile(r"\[SP[123]\]")
 _SPLITS = {"train": "train", "dev": "eval", "test": "eval"}
 
@@ -82,21 +83,47 @@ def fingerprints(words: list[str]) -> list[tuple[int, int]]:
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest collinear chain of seeds (i, j), both rising."""
-    seeds = sorted(set(seeds))
-    best, before = [1] * len(seeds), [-1] * len(seeds)
-    for k, (i, j) in enumerate(seeds):
-        for m in range(k):
-            if seeds[m][0] < i and seeds[m][1] < j and best[m] + 1 > best[k]:
-                best[k], before[k] = best[m] + 1, m
-    k = max(range(len(seeds)), key=best.__getitem__, default=-1)
-    out = []
+    """The longest collinear chain of seeds (i, j), both rising; for m seeds in m log m steps."""
+    ends: list[int] = []  # the least j that ends a chain of each length
+    last: list[int] = []  # the seed that does
+    before: list[int] = []
+    # of equal i the greater j comes first, so that no chain takes two of them
+    ordered = sorted(set(seeds), key=lambda s: (s[0], -s[1]))
+    for k, (_, j) in enumerate(ordered):
+        n = bisect_left(ends, j)
+        before.append(last[n - 1] if n else -1)
+        ends[n : n + 1], last[n : n + 1] = [j], [k]
+    out, k = [], last[-1] if last else -1
     while k >= 0:
-        out.append(seeds[k])
+        out.append(ordered[k])
         k = before[k]
     return out[::-1]
 
 
+def near_seeds(a: list[str], b: list[str], most: int) -> list[tuple[int, int]]:
+    """Places of common fingerprints that lie no more than `most` words apart."""
+    at: dict[int, list[int]] = {}
+    for h, j in fingerprints(b):
+        at.setdefault(h, []).append(j)
+    return [(i, js[k]) for h, i in fingerprints(a) if (js := sorted(at.get(h, ()))) for k in range(bisect_left(js, i - most), bisect_left(js, i + most + 1))]
+
+
+def extended(a: list[str], b: list[str], seeds: list[tuple[int, int]], most: int) -> int | None:
+    """Edits of the alignment that holds to the chain of seeds, if they are at most `most`: an upper bound."""
+    i = j = edits = 0
+    for x, y in [*chain(seeds), (len(a), len(b))]:
+        if x < i or y < j:  # it overlaps the seed before
+            if x - i != y - j:
+                continue
+        else:
+            d = banded(a[i:x], b[j:y], most - edits)
+            if d is None:
+                return None
+            edits += d
+        i, j = min(x + GRAM, len(a)), min(y + GRAM, len(b))
+    return edits if i == len(a) and j == len(b) else None
+
+
 def banded(a: list[str], b: list[str], most: int) -> int | None:
     """Edits of words between a and b, if they are at most `most`."""
     if abs(len(a) - len(b)) > most:
@@ -118,16 +145,20 @@ def banded(a: list[str], b: list[str], most: int) -> int | None:
     return d if d <= most else None
 
 
-def aligned(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> int | None:
-    """Edits between two texts within the budget (a change of places of two neighbours counts 1), or None.
+def aligned(a: list[str], b: list[str]) -> int | None:
+    """Edits between two different texts within the budget (a change of places of two neighbours counts 1), or None.
 
-    The common ends and the chain of seeds are extended; what they leave open is aligned in a band.
+    The seeds' chain, extended over its gaps, gives an upper bound. If that is the least there can be it is the answer; else the texts
+    without their common ends are aligned in a band of the bound's width.
     """
     if min(len(a), len(b)) < LEAST:
         return None
     most = budget(max(len(a), len(b)))
-    if abs(len(a) - len(b)) > most or not any(abs(i - j) <= most for i, j in chain(seeds)):
+    if abs(len(a) - len(b)) > most or not (seeds := near_seeds(a, b, most)):
         return None
+    bound = extended(a, b, seeds, most)
+    if bound is not None and bound <= max(1, abs(len(a) - len(b))):
+        return bound
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
         i += 1
@@ -137,7 +168,7 @@ def aligned(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> int | N
     x, y = a[i : len(a) - k], b[i : len(b) - k]
     if len(x) == len(y) == 2 and x[0] == y[1] and x[1] == y[0]:
         return 1
-    return banded(x, y, most)
+    return banded(x, y, most if bound is None else bound)
 
 
 def words_of(records: DataFrame) -> DataFrame:
@@ -165,22 +196,18 @@ def _seeds(texts: DataFrame) -> DataFrame:
 def near_texts(texts: DataFrame) -> DataFrame:
     """(key_e, key_t, edits, coverage): pairs of different texts of the two parts within the edit budget."""
     seeds = cut(_seeds(texts))
-    many = seeds.where("part = 'train'").groupBy("fp").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("fp", F.ceil(F.col("c") / HOT).cast("int").alias("salts"))
-    salted = seeds.join(many, "fp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    t = salted.where("part = 'train'").select("fp", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.col("key").alias("key_t"), F.col("pos").alias("pos_t"), F.col("n").alias("n_t"))
-    e = salted.where("part = 'eval'").select("fp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("key").alias("key_e"), F.col("pos").alias("pos_e"), F.col("n").alias("n_e"))
+    side = lambda part, s: seeds.where(F.col("part") == part).select("fp", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "pos", "n")])
     most = F.floor(F.greatest("n_t", "n_e") / PER_EDIT)
-    met = t.join(e, ["fp", "salt"]).where((F.abs(F.col("n_t") - F.col("n_e")) <= most) & (F.abs(F.col("pos_t") - F.col("pos_e")) <= most) & (F.col("key_t") != F.col("key_e")))
-    pairs = met.groupBy("key_e", "key_t").agg(F.collect_set(F.struct("pos_e", "pos_t")).alias("seeds"))
+    met = grid_join(side("train", "t"), side("eval", "e"), "fp").where((F.abs(F.col("n_t") - F.col("n_e")) <= most) & (F.abs(F.col("pos_t") - F.col("pos_e")) <= most) & (F.col("key_t") != F.col("key_e")))
+    pairs = met.select("key_e", "key_t").distinct()
     we = texts.where("part = 'eval'").select(F.col("key").alias("key_e"), F.col("words").alias("words_e"))
     wt = texts.where("part = 'train'").select(F.col("key").alias("key_t"), F.col("words").alias("words_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for ke, kt, s, a, w in zip(b["key_e"], b["key_t"], b["seeds"], b["words_e"], b["words_t"]):
-                a, w = list(a), list(w)
-                d = aligned(a, w, [(x["pos_e"], x["pos_t"]) for x in s])
+            for ke, kt, a, w in zip(b["key_e"], b["key_t"], b["words_e"], b["words_t"]):
+                d = aligned(list(a), list(w))
                 if d is not None:
                     rows.append((ke, kt, d, 1 - d / max(len(a), len(w))))
             yield pd.DataFrame(rows, columns=["key_e", "key_t", "edits", "coverage"]).astype({"edits": "int32", "coverage": "float64", "key_e": object, "key_t": object})
@@ -203,18 +230,38 @@ def cross_split_overlaps(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def overlap_pairs(table: DataFrame) -> DataFrame:
-    """(id_e, id_t, split, source, edits, coverage): every eval record with each train record whose text it repeats, exactly or almost."""
+    """(id_e, id_t, split, source, edits, coverage): every eval record with each train record whose text it repeats, exactly or almost.
+
+    All pairs of records are written out; `overlap_links` gives the same links by classes of equal texts.
+    """
     found, records = cross_split_overlaps(table)
     e = records.where("part = 'eval'").select(F.col("key").alias("key_e"), F.col("id").alias("id_e"), "split", "source")
     t = records.where("part = 'train'").select(F.col("key").alias("key_t"), F.col("id").alias("id_t"))
     return found.join(e, "key_e").join(t, "key_t").select("id_e", "id_t", "split", "source", "edits", "coverage")
 
 
-def overlap_report(table: DataFrame) -> DataFrame:
-    """(split, source, records, exact, near): per split and source, the eval records, and those that overlap with train."""
+def overlap_links(table: DataFrame) -> DataFrame:
+    """(id, split, source, class, links, edits, coverage): one row per record with words.
+
+    `class` is equal for equal words; `links` counts the records of the other part that hold the same words or almost. `edits` and `coverage`
+    (share of the longer text's words that stay) are those of the closest of them, null without any. Copies are counted, not paired.
+    """
     found, records = cross_split_overlaps(table)
-    worst = found.groupBy(F.col("key_e").alias("key")).agg(F.min("edits").alias("edits"))
-    e = records.where("part = 'eval'").join(worst, "key", "left")
-    return e.groupBy("split", "source").agg(
-        F.count("*").alias("records"), F.count(F.when(F.col("edits") == 0, 1)).alias("exact"), F.count(F.when(F.col("edits") > 0, 1)).alias("near")
+    found = cut(found)
+    held = records.groupBy("key", "part").agg(F.count("*").alias("n"))
+    both = found.select(F.col("key_e").alias("key"), F.lit("eval").alias("part"), F.col("key_t").alias("other"), "edits", "coverage").unionByName(
+        found.select(F.col("key_t").alias("key"), F.lit("train").alias("part"), F.col("key_e").alias("other"), "edits", "coverage")
     )
+    its = held.select(F.col("key").alias("other"), F.when(F.col("part") == "train", "eval").otherwise("train").alias("part"), "n")
+    links = both.join(its, ["other", "part"]).groupBy("key", "part").agg(F.sum("n").alias("links"), F.min("edits").alias("edits"), F.max("coverage").alias("coverage"))
+    return records.join(links, ["key", "part"], "left").select("id", "split", "source", F.col("key").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "edits", "coverage")
+
+
+def overlap_report(table: DataFrame) -> DataFrame:
+    """(split, source, records, exact, near, links, covered): per split and source, the records of dev and test, those that overlap with
+    train, the train records they overlap with, and the mean share of their words that train covers."""
+    e = overlap_links(table).where("split in ('dev', 'test')")
+    return e.groupBy("split", "source").agg(
+        F.count("*").alias("records"), F.count(F.when(F.col("edits") == 0, 1)).alias("exact"), F.count(F.when(F.col("edits") > 0, 1)).alias("near"),
+        F.sum("links").alias("links"), F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("covered"),
+    )

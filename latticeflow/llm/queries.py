@@ -54,8 +54,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.least("id_e", "id_t").alias("id_a"), F.greatest("id_e", "id_t").alias("id_b"))
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its class of equal texts and the number of its links to the other part."""
+    return overlap.overlap_links(table(spark, sf_dir, "morpheme"))
+
+
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping records per split and source."""
+    """Overlapping records per split and source, with their links and coverage."""
     return overlap.overlap_report(table(spark, sf_dir, "morpheme"))
 
 
@@ -110,6 +115,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_lift": p3_lift,
     "p4_found": p4_found,
+    "p4_links": p4_links,
     "p4_report": p4_report,
     "p6_found": p6_found,
     "p6_rows": p6_rows,

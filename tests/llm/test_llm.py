@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from datetime import datetime, timedelta
@@ -143,15 +144,28 @@ def test_no_pair_within_budget_is_missed():
             b[i : i + rng.randint(0, 1)] = [f"x{rng.randint(0, 9)}"] * rng.randint(0, 1)
         swapped = len(a) == len(b) and [i for i in range(n) if a[i] != b[i]]
         ok = min(len(a), len(b)) >= 8 and (_distance(a, b) <= max(len(a), len(b)) // 8 or bool(swapped and len(swapped) == 2 and swapped[1] == swapped[0] + 1 and a[swapped[0]] == b[swapped[1]] and b[swapped[0]] == a[swapped[1]]))
-        at: dict = {}
-        for h, p in overlap.fingerprints(b):
-            at.setdefault(h, []).append(p)
-        seeds = [(p, q) for h, p in overlap.fingerprints(a) for q in at.get(h, ())]
-        assert (bool(seeds) and overlap.aligned(a, b, seeds) is not None) == ok, (a, b)
+        got = overlap.aligned(a, b)
+        assert (got is not None) == ok, (a, b)
+        assert got is None or a == b or got == _distance(a, b) or (got == 1 and len(swapped) == 2)
+
+
+def test_chains():
+    rng = random.Random(14)
+    for _ in range(300):
+        seeds = [(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(rng.randint(0, 9))]
+        got = overlap.chain(seeds)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:])) and set(got) <= set(seeds)
+        best = max((len(c) for k in range(len(seeds) + 1) for c in itertools.combinations(sorted(set(seeds)), k) if all(x[0] < y[0] and x[1] < y[1] for x, y in zip(c, c[1:]))), default=0)
+        assert len(got) == best
+    a = [str(i) for i in range(80)]
+    b = a[:20] + ["x"] + a[21:50] + a[51:]
+    assert overlap.extended(a, b, overlap.near_seeds(a, b, 10), 10) == 2 == overlap.aligned(a, b)
+    same = ["a"] * 3000
+    assert overlap.aligned(same, same[:-5]) == 5
 
 
 def test_overlap_table(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "HOT", 2)
+    monkeypatch.setattr(joins, "HOT", 2)
     long = "eins zwei drei vier fünf sechs sieben acht neun"
     rows = [
         (1, "train", "s", long, None), (2, " TEST", "s", long.upper().replace(" ", " , ") + "!", None), (3, "dev", "q", long.replace("vier", "anders"), None),
@@ -166,6 +180,12 @@ def test_overlap_table(spark, monkeypatch):
     assert got == {(2, 1): 0, (3, 1): 1, (4, 1): 1, (8, 7): 0, (13, 12): 0, **near}
     report = {(r.split, r.source): (r.records, r.exact, r.near) for r in overlap.overlap_report(df).collect()}
     assert report["test", "s"] == (1, 1, 0) and report["dev", "q"] == (2, 0, 2)
+    links = {r.id: r for r in overlap.overlap_links(df).collect()}
+    count: dict = {}
+    for e, t in got:
+        count[e], count[t] = count.get(e, 0) + 1, count.get(t, 0) + 1
+    assert {k: r.links for k, r in links.items() if r.links} == count and links[2]["class"] == links[1]["class"] != links[3]["class"]
+    assert links[3].edits == 1 and links[3].coverage == pytest.approx(8 / 9) and links[5].edits is None
     assert overlap.overlap_pairs(df.limit(0)).count() == 0
 
 
