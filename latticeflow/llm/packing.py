@@ -3,12 +3,13 @@
 What is planned is not items but the histogram of their lengths, which no number of items makes longer than the
 capacity. Single, pair and triple sums of the available lengths are indexed; the longest item takes the combination that
 fills its gap exactly, as many times as the counts allow. Items without such a complement go to the tightest gap.
-A plan is a list of patterns, each used so many times; items find their container by their rank among equal lengths. Ranks
-are counted in salted parts, so neither one cache nor one length, however hot, is ordered in one task.
+A plan is a list of patterns, each used so many times; it takes about as many steps as there are lengths. Items find their container by
+their rank among equal lengths, which is counted in parts of bounded size, so neither one cache nor one length is ordered in one task.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +20,24 @@ from pyspark.sql import functions as F
 from latticeflow.operators.records import first_delivery
 from latticeflow.session import cut
 
-#: Salts of a rank, and most rows of a table that is broadcast.
-SALTS, SMALL = 64, 100_000
+#: Items of one length that one task ranks, and most rows of a table that is broadcast.
+RANKED, SMALL = 20_000, 100_000
+#: Lengths that are tried as the first of a triple; a gap for which none of them does goes to best fit.
+TRIES = 32
 Pattern = tuple[tuple[int, ...], int]
 
 
 def _pair(avail: np.ndarray, gap: int, used: tuple[int, ...], counts: np.ndarray) -> tuple[int, int] | None:
-    """The two available lengths with the given sum, the longer one as long as possible."""
-    if gap < 2:
-        return None
-    a = np.arange(gap - 1, (gap - 1) // 2, -1)
-    for x in a[avail[a] & avail[gap - a]]:
-        if _holds((*used, int(x), gap - int(x)), counts):
-            return int(x), gap - int(x)
+    """The two available lengths with the given sum, the longer one as long as possible; looked for in growing stretches."""
+    high, size = gap - 1, 64
+    while high >= (gap + 1) // 2:
+        low = max(high - size, (gap + 1) // 2 - 1)
+        # lengths from high down to low + 1, and their complements
+        for k in np.flatnonzero(avail[low + 1 : high + 1][::-1] & avail[gap - high : gap - low]):
+            x = high - int(k)
+            if _holds((*used, x, gap - x), counts):
+                return x, gap - x
+        high, size = low, 4 * size
     return None
 
 
@@ -39,24 +45,44 @@ def _holds(pattern: tuple[int, ...], counts: np.ndarray) -> bool:
     return all(counts[x] >= pattern.count(x) for x in set(pattern))
 
 
+def _sums(avail: np.ndarray) -> np.ndarray:
+    """Which numbers up to the capacity are sums of two available lengths."""
+    if len(avail) <= 512:
+        out = np.zeros(2 * len(avail), bool)
+        for x in np.flatnonzero(avail):
+            out[x : x + len(avail)] |= avail
+        return out[: len(avail)]
+    f = np.fft.rfft(avail.astype(float), 2 * len(avail))
+    return np.fft.irfft(f * f, 2 * len(avail))[: len(avail)] > 0.5
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """[(lengths of a container, number of such containers)] for lengths from 1 to capacity; all items are placed."""
+    """[(lengths of a container, number of such containers)] for lengths from 1 to capacity; all items are placed.
+
+    What fits one container is put in one. Exact complements come first and best fit takes the rest; where exact fillings use up the short
+    lengths that others would have needed, best fit alone may take fewer containers, and is taken then.
+    """
+    if 0 < sum(length * n for length, n in histogram.items()) <= capacity:
+        return [(tuple(x for x in sorted(histogram, reverse=True) for _ in range(histogram[x])), 1)]
+    exact, rest = _complements(histogram, capacity)
+    first = exact + _best_fit(rest, capacity)
+    second = _best_fit(sorted(histogram.items(), reverse=True), capacity)
+    return min(first, second, key=lambda p: sum(n for _, n in p))
+
+
+def _complements(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], list[tuple[int, int]]]:
+    """Combinations that fill a container exactly, the longest length first, and (length, number) of what has none.
+
+    A used combination exhausts a length at least, so there are no more steps than lengths.
+    """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] += n
     avail = counts > 0
     out: list[Pattern] = []
     rest: list[tuple[int, int]] = []
-
-    def pair_sums() -> np.ndarray:
-        ones = np.flatnonzero(avail)
-        sums = np.zeros(2 * capacity + 1, bool)
-        for x in ones:
-            sums[ones + x] = True
-        return sums[: capacity + 1]
-
-    sums, stale = pair_sums(), 0
-    for length in range(capacity, 0, -1):
+    sums, gone, left = None, 0, int(avail.sum())
+    for length in np.flatnonzero(avail)[::-1].tolist():
         while counts[length]:
             gap = capacity - length
             pattern: tuple[int, ...] | None = None
@@ -64,47 +90,62 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
                 pattern = (length,)
             elif _holds((length, gap), counts):
                 pattern = (length, gap)
-            else:
-                if pair := _pair(avail, gap, (length,), counts):
-                    pattern = (length, *pair)
-                elif gap > 2:
-                    a = np.arange(gap - 2, 0, -1)
-                    for x in a[avail[a] & sums[gap - a]]:
-                        if pair := _pair(avail, gap - int(x), (length, int(x)), counts):
-                            pattern = (length, int(x), *pair)
-                            break
+            elif pair := _pair(avail, gap, (length,), counts):
+                pattern = (length, *pair)
+            elif gap > 2:
+                if sums is None or 16 * gone > left:  # lengths only vanish, so an older index lacks no sum
+                    sums, gone, left = _sums(avail), 0, int(avail.sum())
+                # lengths from gap - 2 down to 1 whose complement is a sum of two
+                for k in np.flatnonzero(avail[1 : gap - 1][::-1] & sums[2:gap])[:TRIES]:
+                    x = gap - 2 - int(k)
+                    if pair := _pair(avail, gap - x, (length, x), counts):
+                        pattern = (length, x, *pair)
+                        break
             if pattern is None:
                 rest.append((length, int(counts[length])))
                 counts[length], avail[length] = 0, False
+                gone += 1
                 break
             times = min(int(counts[x]) // pattern.count(x) for x in set(pattern))
             for x in pattern:
                 counts[x] -= times
+            for x in set(pattern):
                 avail[x] = counts[x] > 0
-                stale += not avail[x]
+                gone += not avail[x]
             out.append((pattern, times))
-            if stale > 32:
-                sums, stale = pair_sums(), 0
-    # best fit: `open_` maps a gap to the containers that have it
+    return out, rest
+
+
+def _best_fit(rest: list[tuple[int, int]], capacity: int) -> list[Pattern]:
+    """Each length, longest first, to the tightest gap: `open_` maps a gap to the containers that have it, `gaps` are its keys in order."""
     open_: dict[int, list[Pattern]] = {}
+    gaps: list[int] = []
+
+    def put(gap: int, pattern: tuple[int, ...], bins: int) -> None:
+        if gap not in open_:
+            open_[gap] = []
+            insort(gaps, gap)
+        open_[gap].append((pattern, bins))
+
     for length, n in rest:
         while n:
-            gap = min((g for g in open_ if g >= length), default=None)
-            if gap is None:
+            at = bisect_left(gaps, length)
+            if at == len(gaps):
                 each = capacity // length
                 for per, bins in ((each, n // each), (n % each, 1)):
                     if per and bins:
-                        open_.setdefault(capacity - per * length, []).append(((length,) * per, bins))
+                        put(capacity - per * length, (length,) * per, bins)
                 break
+            gap = gaps[at]
             pattern, bins = open_[gap].pop()
             if not open_[gap]:
-                del open_[gap]
-            put = min(bins, n)
-            if bins > put:
-                open_.setdefault(gap, []).append((pattern, bins - put))
-            open_.setdefault(gap - length, []).append(((*pattern, length), put))
-            n -= put
-    return out + [p for g in sorted(open_) for p in open_[g]]
+                del open_[gap], gaps[at]
+            placed = min(bins, n)
+            if bins > placed:
+                put(gap, pattern, bins - placed)
+            put(gap - length, (*pattern, length), placed)
+            n -= placed
+    return [p for g in gaps for p in open_[g]]
 
 
 def pack_list(lengths: list[int | None], capacity: int | None) -> list[list[tuple[int, int]]]:
@@ -126,16 +167,12 @@ def pack_list(lengths: list[int | None], capacity: int | None) -> list[list[tupl
             bins += 1
         if left:
             slots.setdefault(left, []).append(i)
-    left_over = sum(k * len(v) for k, v in slots.items())
-    if 0 < left_over <= capacity:
-        for k, v in slots.items():
-            for i in v:
-                out[i].append((k, bins))
-        return out
+    for v in slots.values():
+        v.reverse()
     for pattern, times in plan({k: len(v) for k, v in slots.items()}, capacity):
         for _ in range(times):
             for x in pattern:
-                out[slots[x].pop(0)].append((x, bins))
+                out[slots[x].pop()].append((x, bins))
             bins += 1
     return out
 
@@ -166,11 +203,12 @@ def pack_rows(items: DataFrame, group: str, key: str, length: str, capacity: str
 
     An item over the capacity is cut into full pieces and a rest, any other is one piece. A full piece has a container of its own
     and a null bin. Items with a null or useless capacity or
-    a length under 1 have a null size and bin. Equal capacities are assumed within a group.
+    a length under 1 have a null size and bin. Rows with one key are separate items. Equal capacities are assumed within a group.
     """
     base = items.select(group, key, F.col(length).cast("long").alias("length"), F.col(capacity).cast("long").alias("capacity"))
     ok = F.col("capacity").isNotNull() & (F.col("capacity") >= 1) & F.col("length").isNotNull() & (F.col("length") >= 1) & F.col(group).isNotNull()
-    base = cut(base.withColumn("_ok", ok).withColumn("_full", F.when(ok, F.floor(F.col("length") / F.col("capacity"))).otherwise(F.lit(0).cast("long"))).withColumn("_rest", F.when(ok, F.col("length") % F.col("capacity"))))
+    base = base.withColumns({"_ok": ok, "_full": F.when(ok, F.floor(F.col("length") / F.col("capacity"))).otherwise(F.lit(0).cast("long")), "_rest": F.when(ok, F.col("length") % F.col("capacity"))})
+    base = cut(base.withColumn("_id", F.monotonically_increasing_id()))
     kinds = dict(base.dtypes)
 
     def patterns(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,18 +226,18 @@ def pack_rows(items: DataFrame, group: str, key: str, length: str, capacity: str
     histogram = base.where("_rest > 0").groupBy(group, "capacity", "_rest").agg(F.count("*").alias("c"))
     # a group of the histogram has at most as many rows as the capacity
     runs = histogram.groupBy(group).applyInPandas(patterns, f"`{group}` {kinds[group]}, _rest long, `from` long, m long, bin0 long")
-    runs = cut(runs.groupBy(group, "_rest").agg(F.array_sort(F.collect_list(F.struct("from", "m", "bin0"))).alias("runs")))
-    planned = _bounded(runs)
+    runs = runs.groupBy(group, "_rest").agg(F.array_sort(F.collect_list(F.struct("from", "m", "bin0"))).alias("runs"))
+    planned = _bounded(cut(runs.join(histogram.select(group, "_rest", F.ceil(F.col("c") / RANKED).alias("_salts")), [group, "_rest"])))
 
-    salted = base.where("_rest > 0").withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    salted = base.where("_rest > 0").select(group, "_rest", "_id").join(planned, [group, "_rest"]).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
     parts = salted.groupBy(group, "_rest", "_salt").agg(F.count("*").alias("_n"))
     before = parts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group, "_rest").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_rest", "_salt").orderBy(key)) - 1).join(before, [group, "_rest", "_salt"])
+    ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_rest", "_salt").orderBy("_id")) - 1).join(before, [group, "_rest", "_salt"])
     rank = F.col("_r") + F.col("_before")
     run = F.element_at(F.filter("runs", lambda r: r["from"] <= rank), -1)
-    placed = ranked.join(planned, [group, "_rest"]).select(group, key, run["bin0"].alias("b0"), run["from"].alias("f"), run["m"].alias("m"), rank.alias("rank"))
-    placed = placed.select(group, key, (F.col("b0") + F.floor((F.col("rank") - F.col("f")) / F.col("m"))).alias("_bin"))
-    whole = base.join(placed, [group, key], "left")
+    placed = ranked.select("_id", run.alias("run"), rank.alias("rank"))
+    placed = placed.select("_id", (F.col("run.bin0") + F.floor((F.col("rank") - F.col("run.from")) / F.col("run.m"))).alias("_bin"))
+    whole = base.join(placed, "_id", "left")
     pieces = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_full") + F.when(F.col("_rest") > 0, 0).otherwise(-1)),
         lambda i: F.struct(i.cast("int").alias("piece"), F.when(i < F.col("_full"), F.col("capacity")).otherwise(F.col("_rest")).alias("size"), F.when(i == F.col("_full"), F.col("_bin")).alias("bin")),

@@ -85,6 +85,12 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_rows(spark, sf_dir), "cache")
 
 
+def p6_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each cache, the fewest rows possible, and whether those taken are at most a fiftieth more (and one)."""
+    f = p6_fill(spark, sf_dir)
+    return f.select("cache", "capacity", "pieces", "least", (F.col("containers") <= F.col("least") * 1.02 + 1).alias("tight"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(wide_scan(table(spark, sf_dir, "documents")), "doc_id", "text")
 
@@ -121,6 +127,7 @@ QUERIES = {
     "p6_rows": p6_rows,
     "p6_blocks": p6_blocks,
     "p6_fill": p6_fill,
+    "p6_tight": p6_tight,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
@@ -136,6 +143,11 @@ SQL = {
         chunks AS (SELECT ex_id, max_block_length, unnest(lengths) AS n, generate_subscripts(lengths, 1) - 1 AS pos FROM ex)
         SELECT ex_id, 'input_ids' AS field, 0::INTEGER AS pos FROM ids WHERE n > max_length
         UNION ALL SELECT ex_id, 'lengths', pos::INTEGER FROM chunks WHERE n > max_block_length""",
+    "p6_tight": """
+        WITH first AS (SELECT DISTINCT ON (ex_id) * FROM encoded WHERE ex_id IS NOT NULL ORDER BY ex_id, cached_at),
+        ex AS (SELECT cache, input_ids, max_length, pad_id FROM first JOIN caches USING (cache)),
+        ids AS (SELECT cache, max_length, coalesce(list_max(list_filter(range(1, len(input_ids) + 1), lambda i: input_ids[i] IS NOT NULL AND input_ids[i] IS DISTINCT FROM pad_id)), 0) AS n FROM ex)
+        SELECT cache, max_length::BIGINT AS capacity, sum((n + max_length - 1) // max_length)::BIGINT AS pieces, ceil(sum(n) / max_length)::BIGINT AS least, TRUE AS tight FROM ids WHERE n > 0 GROUP BY cache, max_length""",
     "p1_terms": r"""
         WITH first AS (SELECT sent_id, min(struct_pack(l := read_at IS NULL, at := read_at, t := text_str)) AS r FROM sentences WHERE sent_id IS NOT NULL GROUP BY sent_id),
         each AS (SELECT sent_id, unnest(regexp_extract_all(nfc_normalize(lower(nfc_normalize(r.t))), '[\p{L}\p{N}]+')) AS term FROM first)

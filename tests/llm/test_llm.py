@@ -1,6 +1,8 @@
+import bisect
 import itertools
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import duckdb
@@ -206,6 +208,39 @@ def test_plans_place_all_items():
     assert packing.plan({7: 2, 3: 2, 5: 2, 2: 1, 8: 1}, 10) and len([1 for p, n in packing.plan({6: 1, 3: 1, 1: 1}, 10)]) == 1
 
 
+def test_plan_of_many_lengths():
+    for capacity in (300, 4096, 131_072):
+        began = time.perf_counter()
+        done = packing.plan({k: 1 for k in range(1, capacity + 1)}, capacity)
+        assert time.perf_counter() - began < 30
+        placed = [0] * (capacity + 1)
+        for pattern, n in done:
+            assert sum(pattern) <= capacity
+            for x in pattern:
+                placed[x] += n
+        assert placed == [0] + [1] * capacity and sum(n for _, n in done) <= math.ceil((capacity + 1) / 2) * 1.01 + 1
+    rng = random.Random(15)
+    h = {rng.randint(1, 2048): rng.randint(1, 50) for _ in range(900)}
+    gaps: list[int] = []  # best fit, item by item
+    for x in sorted((k for k, v in h.items() for _ in range(v)), reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else 2048
+        bisect.insort(gaps, gap - x)
+    assert sum(n for _, n in packing.plan(h, 2048)) <= len(gaps)
+
+
+def test_rows_with_one_key_are_items(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 3)
+    rows = [("a", 1, 5, 10)] * 8 + [("a", 2, 3, 10)] * 5 + [("a", 3, None, 10), (None, 4, 5, 10), ("b", 5, 7, None), ("c", 6, 25, 10)]
+    out = packing.pack_rows(spark.createDataFrame(rows, "cache string, ex_id long, n long, max_length long"), "cache", "ex_id", "n", "max_length").collect()
+    assert len(out) == 13 + 3 + 3
+    used: dict = {}
+    for r in out:
+        if r.bin is not None:
+            used[r.cache, r.bin] = used.get((r.cache, r.bin), 0) + r["size"]
+    assert sorted(used.values()) == [5, 5, 10, 10, 10, 10, 10] or sum(used.values()) == 60 and max(used.values()) <= 10 and len(used) <= 8
+
+
 def test_packing_tables(spark):
     caches = spark.createDataFrame([("a", 10, 6, 0), ("b", 4, 3, -1)], "cache string, max_length int, max_block_length int, pad_id int")
     rng = random.Random(6)
