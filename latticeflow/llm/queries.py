@@ -95,6 +95,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(wide_scan(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text, encoded and decoded again."""
+    return tokens.decode_column(p7_ids(spark, sf_dir), "doc_id")
+
+
+def p7_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents the tree encodes in one leaf, and how many it joins from several."""
+    joined = F.coalesce(F.length("text"), F.lit(0)) > tokens.LEAF
+    return table(spark, sf_dir, "documents").groupBy(joined.alias("joined")).agg(F.count("*").alias("documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(wide_scan(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -129,6 +140,8 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p6_tight": p6_tight,
     "p7_ids": p7_ids,
+    "p7_text": p7_text,
+    "p7_leaves": p7_leaves,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_kinds": p9_kinds,
@@ -136,6 +149,8 @@ QUERIES = {
 }
 
 SQL = {
+    "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_leaves": "SELECT coalesce(length(text), 0) > 512 AS joined, count(*) AS documents FROM documents GROUP BY 1",
     "p6_found": """
         WITH first AS (SELECT DISTINCT ON (ex_id) * FROM encoded WHERE ex_id IS NOT NULL ORDER BY ex_id, cached_at),
         ex AS (SELECT ex_id, input_ids, lengths, max_length, max_block_length, pad_id FROM first JOIN caches USING (cache)),

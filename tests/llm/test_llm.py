@@ -279,7 +279,8 @@ def test_tree_equals_whole():
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
         assert tokens.TreeEncoder(leaf=rng.choice([2, 3, 5, 9])).encode(text) == whole.encode(text)
     long = "Some words, again. " * 20_000 + "x" * 20_000 + " " * 20_000
-    assert tokens.TreeEncoder().encode(long) == whole.bpe.encode_ordinary(long) and whole.bpe.decode(tokens.TreeEncoder().encode(long)) == long
+    assert tokens.TreeEncoder().encode(long) == whole.bpe.encode_ordinary(long) and tokens.TreeEncoder().decode(tokens.TreeEncoder().encode(long)) == long
+    assert tokens.TreeEncoder(leaf=2).decode(whole.encode("é🏳️‍🌈中" * 50)) == "é🏳️‍🌈中" * 50 and whole.decode(None) == whole.decode([]) == ""
 
 
 def test_library_of_the_vocabulary_agrees(spark):
@@ -485,7 +486,7 @@ def test_residue_table(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in set(regex.findall(r"\b(run_log|sentences|skipgram_index|encoded|caches)\b", SQL[name])):
+    for t in set(regex.findall(r"\b(run_log|sentences|skipgram_index|encoded|caches|documents)\b", SQL[name])):
         con.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     r = con.execute(SQL[name])
     names = [c[0] for c in r.description]
