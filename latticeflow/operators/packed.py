@@ -2,15 +2,21 @@
 
 A dialect is a delimiter (or a mixture of all of them) and a way of quoting. Every field is parsed by
 every dialect that fits it; the dialect whose parse has the shortest description wins. The description is
-the dialect, its separators and the values; a value costs -log2 of its share of all values if it is in
-the code book, else its letters are spelt. The code book holds the exact counts, over all rows, of the
-`BOOK` most frequent values; it is the only thing broadcast and has a fixed bound.
+the dialect, its separators and the values; a value costs -log2 of its share of all values of the field if it is in
+the field's code book, else its letters are spelt. The code book holds the exact counts, over all rows and their
+candidate parses, of the `BOOK` most frequent values, by a hash of each; it is the only thing broadcast and has a fixed bound.
+
+Where the alphabet of unquoted values is known (`strict`), a parse whose values leave it is ruled out if another's don't.
+Fields with one parse left need no costs; where no field has more, no code book is made.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -22,10 +28,10 @@ from latticeflow.operators.records import first_delivery
 #: The delimiters in use, and the quotes that open a value.
 DELIMITERS = "-/|,;\t+~·–，、 "
 QUOTES = "\"“'"
-#: Bounds of the code book: entries, and characters of an entry.
-BOOK, BOOK_CHARS = 50_000, 64
-#: Bits: a spelt character, the end of a spelt value, naming a quoting dialect, an odd character.
-CHAR_BITS, ESCAPE_BITS, QUOTE_BITS, ODD_BITS = 5.0, 12.0, 1.0, 16.0
+#: Entries of a field's code book.
+BOOK = 50_000
+#: Bits: a spelt character, the end of a spelt value, naming a quoting dialect, an odd separator, a character that the alphabet of unquoted values lacks.
+CHAR_BITS, ESCAPE_BITS, QUOTE_BITS, ODD_BITS, ALIEN_BITS = 5.0, 12.0, 1.0, 16.0, 3.0
 
 _BARE = r"(?P<v>\[SP[123]\]|[\p{L}\p{N}\p{M}:'’]+)"
 _QUOTED = regex.compile(
@@ -37,25 +43,38 @@ _MARKS = QUOTES + "”"
 _BLANK = regex.compile(r"\s+")
 
 
-def scan(text: str, quoting: bool) -> tuple[list[str], int, str, int]:
-    """Values, number of quoted ones, separators between and around them (blanks and list marks removed), odd characters."""
-    values, gaps, at, quoted = [], [], 0, 0
+class Parse(NamedTuple):
+    """Values with their place in the text; whether each was quoted; the separators between them, and those around them."""
+
+    values: list[str]
+    spans: list[tuple[int, int]]
+    quoted: list[bool]
+    inner: list[str]
+    outer: str
+
+
+def scan(text: str, quoting: bool) -> Parse:
+    """The parse that takes every separator for one; empty pieces are no values, list marks and blanks around other separators are none."""
+    values, spans, quoted, gaps, at = [], [], [], [], 0
+    gap = ""
     for m in (_QUOTED if quoting else _PLAIN).finditer(text):
-        gaps.append(text[at : m.start()])
+        gap += text[at : m.start()]
         at = m.end()
         v = m["v"]
-        if v is None:
-            quoted += 1
+        own = v is None
+        if own:
             v = m["q"].strip()
         if v:
             values.append(v)
-    gaps.append(text[at:])
+            spans.append(m.span())
+            quoted.append(own)
+            gaps.append(gap)
+            gap = ""
+    gaps.append(gap + text[at:])
     body = text.strip()
     if body[:1] == "[" and body[-1:] == "]":
         gaps[0], gaps[-1] = gaps[0].replace("[", "", 1), gaps[-1].replace("]", "", 1)
-    seps = "".join(g.strip() or g[:1] for g in gaps[1:-1]) + gaps[0].strip() + gaps[-1].strip()
-    odd = sum(1 for c in seps if c not in DELIMITERS and not c.isspace())
-    return values, quoted, seps, odd
+    return Parse(values, spans, quoted, [g.strip() or g[:1] for g in gaps[1:-1]], gaps[0].strip() + (gaps[-1].strip() if len(gaps) > 1 else ""))
 
 
 def well_quoted(text: str) -> bool:
@@ -72,95 +91,169 @@ def well_quoted(text: str) -> bool:
     return quoted and not any(c in _MARKS for c in text[at:])
 
 
-def candidates(text: str) -> list[tuple[str, list[str], float]]:
+def _kind(gap: str) -> str:
+    """The delimiter that a separator is made of; several of one stand for empty pieces between them."""
+    marks = set(gap.replace(" ", "")) or {" "}
+    return next(iter(marks)) if len(marks) == 1 else gap
+
+
+def _merged(text: str, p: Parse, delimiter: str) -> tuple[list[str], int, int] | None:
+    """(values, separators, characters outside the alphabet) if only `delimiter` separates; None if that would join a quoted value."""
+    values, seps, alien, start = [], 0, 0, 0
+    for k, gap in enumerate([*p.inner, None]):
+        if gap is not None and _kind(gap) != delimiter:
+            if p.quoted[k] or p.quoted[k + 1]:
+                return None
+            alien += p.spans[k + 1][0] - p.spans[k][1]
+            continue
+        values.append(p.values[k] if start == k else text[p.spans[start][0] : p.spans[k][1]])
+        seps += gap is not None
+        start = k + 1
+    return values, seps, alien
+
+
+def candidates(text: str, strict: bool = True) -> list[tuple[str, list[str], float]]:
     """Each fitting dialect: its name, its values, and the bits of everything but the values.
 
     What stands in quotes is one value whatever it contains, so a well quoted field has no plain reading.
     """
-    found = []
-    for quoting in ((True,) if well_quoted(text) else (False, True)) if any(q in text for q in QUOTES) else (False,):
-        values, quoted, seps, odd = scan(text, quoting)
-        if quoting and not quoted:
+    found: list[tuple[str, list[str], float, int]] = []
+    well = any(q in text for q in QUOTES) and well_quoted(text)
+    for quoting in (True,) if well else (False, True) if any(q in text for q in QUOTES) else (False,):
+        p = scan(text, quoting)
+        if quoting and not any(p.quoted) and not well:
             continue
-        marks = {c for c in seps if not c.isspace()} or {c for c in seps}
+        kinds = dict.fromkeys(_kind(g) for g in p.inner)
         name = "quoted" if quoting else "plain"
-        base = QUOTE_BITS * quoting + ODD_BITS * odd
-        if len(marks) <= 1:
-            found.append((f"{name} {next(iter(marks), 'single')}", values, base + math.log2(len(DELIMITERS)) + len(seps)))
-        found.append((f"{name} mixed", values, base + 2 * math.log2(len(DELIMITERS)) + math.log2(len(DELIMITERS)) * len(seps)))
-    return found
+        one = math.log2(len(DELIMITERS))
+        odd = sum(1 for c in p.outer + "".join(p.inner) if c not in DELIMITERS and not c.isspace())
+        base = QUOTE_BITS * quoting + ODD_BITS * odd + len(p.outer)
+        if len(kinds) > 1:
+            found.append((f"{name} mixed", p.values, base + 2 * one + one * len(p.inner), 0))
+            for d in kinds:
+                if merged := _merged(text, p, d):
+                    values, seps, alien = merged
+                    found.append((f"{name} {d}", values, base + one + seps + ALIEN_BITS * alien, alien))
+        else:
+            found.append((f"{name} {next(iter(kinds), 'single')}", p.values, base + one + len(p.inner), 0))
+    least = min((alien for *_, alien in found), default=0) if strict else math.inf
+    return [(name, values, bits) for name, values, bits, alien in found if alien <= least]
 
 
-def best_parse(text: str | None, book: dict[str, float]) -> tuple[str | None, list[str]]:
-    """The cheapest dialect and its values; ties go to the plainer dialect. Null and blank fields hold no values."""
+def best_parse(text: str | None, book, strict: bool = True) -> tuple[str | None, list[str]]:
+    """The cheapest dialect and its values; ties go to the first of plain, quoted, and of mixed and single delimiters. Null and blank fields hold no values.
+
+    `book.get` gives the bits of a value, or None.
+    """
     if text is None or not text.strip():
         return None, []
-    best: tuple[float, str, list[str]] | None = None
-    for name, values, bits in candidates(text):
-        bits += sum(book.get(v) or ESCAPE_BITS + CHAR_BITS * len(v) for v in values)
-        if best is None or bits < best[0] - 1e-9:
-            best = (bits, name, values)
-    assert best is not None
-    return best[1], best[2]
+    fits = candidates(text, strict)
+    if len(fits) == 1:
+        return fits[0][0], fits[0][1]
+    cost = lambda c: c[2] + sum(book.get(v) or ESCAPE_BITS + CHAR_BITS * len(v) for v in c[1])
+    costs = [round(cost(c), 6) for c in fits]
+    best = fits[costs.index(min(costs))]
+    return best[0], best[1]
+
 
+class Book:
+    """Bits of values, by a 64-bit hash of each."""
 
-def code_book(df: DataFrame, fields: list[str], size: int = BOOK) -> dict[str, float]:
-    """Bits of the `size` most frequent values (ties by value), counted over all rows.
+    def __init__(self, bits: dict[int, float]):
+        self.bits = bits
 
-    The first parse of a field, from which its values are counted, is the one that takes all separators and quotes.
+    def get(self, value: str) -> float | None:
+        return self.bits.get(_hash(value))
+
+
+def _hash(value: str) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(value)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def ambiguous(df: DataFrame, fields: list[str], strict: bool) -> bool:
+    """Whether any field of any row has more than one parse."""
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if any(t is not None and t.strip() and len(candidates(t, strict)) > 1 for f in fields for t in b[f]):
+                yield pd.DataFrame({"found": [1]})
+                return
+
+    maybe = df.select(*fields)
+    if strict:  # with a known alphabet only quote marks leave a choice
+        marked = [F.coalesce(F.col(f).rlike(f"[{QUOTES}”]"), F.lit(False)) for f in fields]
+        maybe = maybe.where(reduce(or_, marked))
+    return not maybe.mapInPandas(some, "found int").isEmpty()
+
+
+def code_book(df: DataFrame, fields: list[str], size: int = BOOK, strict: bool = True) -> dict[str, Book]:
+    """For each field the bits of its `size` most frequent values (ties by their hash), counted over all rows and all their parses.
+
+    Only hashes and counts leave the tasks. No field is in it if none has more than one parse.
     """
+    if not ambiguous(df, fields, strict):
+        return {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, int] = {}
+        held: dict[tuple[int, str], int] = {}
+        out = lambda: pd.DataFrame({"field": [fields[i] for i, _ in held], "value": [_hash(v) for _, v in held], "n": list(held.values())}).astype({"field": object, "value": "int64", "n": "int64"})
         for b in batches:
-            for f in fields:
+            for i, f in enumerate(fields):
                 for t in b[f]:
                     if t is not None and t.strip():
-                        for v in scan(t, True)[0]:
-                            if len(v) <= BOOK_CHARS:
-                                held[v] = held.get(v, 0) + 1
+                        for _, values, _ in candidates(t, strict):
+                            for v in values:
+                                held[i, v] = held.get((i, v), 0) + 1
             if len(held) > 200_000:
-                yield pd.DataFrame({"value": list(held), "n": list(held.values())})
+                yield out()
                 held = {}
-        yield pd.DataFrame({"value": list(held), "n": list(held.values())}).astype({"value": object, "n": "int64"})
+        yield out()
 
-    counts = df.select(*fields).mapInPandas(count, "value string, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "value").limit(size).collect()  # bounded by `size`
-    total = sum(r.n for r in top) or 1
-    return {r.value: max(0.5, math.log2(total / r.n)) for r in top}
+    counts = df.select(*fields).mapInPandas(count, "field string, value long, n long").groupBy("field", "value").agg(F.sum("n").alias("n")).where("n > 1")
+    books: dict[str, Book] = {}
+    for f in fields:
+        top = counts.where(F.col("field") == f).orderBy(F.desc("n"), "value").limit(size).collect()  # bounded by `size`
+        total = sum(r.n for r in top)
+        if top:
+            books[f] = Book({r.value: max(0.5, math.log2(total / r.n)) for r in top})
+    return books
 
 
-def parse_packed(df: DataFrame, fields: list[str], book: dict[str, float] | None = None) -> DataFrame:
+def parse_packed(df: DataFrame, fields: list[str], books: dict[str, Book] | None = None, strict: bool = True) -> DataFrame:
     """Every field `f` becomes `f` (array of its values) and `f_dialect`; other columns stay.
 
-    Null, empty and blank fields give an empty array and a null dialect. Works on rows, without a shuffle.
+    Null, empty and blank fields give an empty array and a null dialect. Works on rows, without a shuffle. Without `strict` unquoted values
+    may hold any character, and costs alone settle which delimiter separates.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(code_book(df, fields) if book is None else book)
+    shared = spark.sparkContext.broadcast(code_book(df, fields, strict=strict) if books is None else books)
     rest = [c for c in df.columns if c not in fields]
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"`{f}` array<string>, `{f}_dialect` string" for f in fields)])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
         for b in batches:
             out = b[rest].copy()
             for f in fields:
-                done = [best_parse(t, bits) for t in b[f]]
-                out[f] = [v for _, v in done]
+                book = shared.value.get(f, {})
+                done = [best_parse(t, book, strict) for t in b[f]]
+                out[f] = pd.Series([v for _, v in done], index=b.index, dtype=object)
                 out[f + "_dialect"] = pd.Series([d for d, _ in done], index=b.index, dtype=object)
             yield out
 
     return df.select(*rest, *fields).mapInPandas(parse, schema)
 
 
-def unpack(df: DataFrame, key: str, fields: list[str], at: str | None = None, book: dict[str, float] | None = None) -> DataFrame:
+def unpack(df: DataFrame, key: str, fields: list[str], at: str | None = None, books: dict[str, Book] | None = None, strict: bool = True) -> DataFrame:
     """One row (key, field, pos, value) per packed value; pos from 0 in each field.
 
     With `at`, rows with the same key are one record, whose first delivery counts; without it, the rows of
     `df` must be records. Empty pieces are no values. Rows are whole: no value is dropped at any length.
     """
     records = first_delivery(df, key, at, fields) if at else df.select(key, *fields)
-    parsed = parse_packed(records, fields, code_book(df, fields) if book is None else book)
+    parsed = parse_packed(records, fields, books, strict)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("values")) for f in fields])).alias("x")
     return parsed.select(key, each).select(key, "x.field", F.posexplode("x.values").alias("pos", "value"))

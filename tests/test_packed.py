@@ -4,7 +4,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticeflow.operators.packed import best_parse, code_book, parse_packed, scan, unpack, well_quoted
+from latticeflow.operators.packed import best_parse, candidates, code_book, parse_packed, scan, unpack, well_quoted
 
 SCHEMA = "id long, label string, features string, segmentation string, added_at timestamp, field string, pos int"
 T = [datetime(2022, 1, d) for d in range(1, 9)]
@@ -84,6 +84,24 @@ def test_quoted_value_is_one_value_whatever_the_book():
     assert not well_quoted('5"-a-6"') and not well_quoted('"a"-b"') and not well_quoted("it's-a")
 
 
+def test_delimiters_are_selected(spark):
+    towns = ["new york", "old paris", "san jose", "bad ems"]
+    assert {n: v for n, v, _ in candidates("new york, old paris", strict=False)} == {"plain mixed": ["new", "york", "old", "paris"], "plain  ": ["new", "york, old", "paris"], "plain ,": ["new york", "old paris"]}
+    assert best_parse("new york, old paris", {}) == ("plain mixed", ["new", "york", "old", "paris"])
+    rows = [(f"{a}, {b}",) for a in towns for b in towns for _ in range(20)] + [("x_1;y_2|z_3",), ("x_1;y_2",)] * 30
+    got = {(tuple(r.v), r.v_dialect) for r in parse_packed(spark.createDataFrame(rows, "v string"), ["v"], strict=False).collect()}
+    assert (("new york", "old paris"), "plain ,") in got and len([v for v, d in got if d == "plain ,"]) == 16
+    strict = {tuple(r.v) for r in parse_packed(spark.createDataFrame(rows, "v string"), ["v"]).collect()}
+    assert ("new", "york", "old", "paris") in strict
+
+
+def test_long_values_have_a_code(spark):
+    long = "x" * 300
+    rows = [(f'5"-{long}-6"',), (f"{long}-a",)] * 10
+    df = spark.createDataFrame(rows, "v string")
+    assert code_book(df, ["v"])["v"].get(long) is not None and code_book(df.where("v like 'x%'"), ["v"]) == {}
+
+
 def test_empty_table_and_book(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert code_book(df, ["label"]) == {}
