@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeflow.llm.joins import grid_join
-from latticeflow.operators.packed import best_parse
+from latticeflow.operators.packed import parse_packed
 from latticeflow.operators.records import first_delivery
 from latticeflow.session import cut
 
@@ -41,9 +41,8 @@ def plain_words(text: str) -> list[str]:
     return [w for w in folded if w]
 
 
-def spelt_words(segmentation: str) -> list[str]:
-    """The words that a packed segmentation spells: three slots a word, missing slots left out."""
-    values = best_parse(segmentation, {})[1]
+def spelt_words(values: list[str]) -> list[str]:
+    """The words that the values of a segmentation spell: three slots a word, missing slots left out."""
     words = ("".join(regex.sub(r"[^\p{L}\p{N}\p{M}]", "", fold(v)) for v in values[i : i + 3] if not _SLOT.fullmatch(v)) for i in range(0, len(values), 3))
     return [w for w in words if w]
 
@@ -176,11 +175,11 @@ def words_of(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [plain_words(t) if t is not None else spelt_words(s) if s is not None else [] for t, s in zip(b["text"], b["segmentation"])]
+            words = [plain_words(t) if t is not None else spelt_words(list(s)) for t, s in zip(b["text"], b["segmentation"])]
             split = [s.strip().lower() if s is not None else None for s in b["split"]]
             yield pd.DataFrame({"id": b["id"], "part": [_SPLITS.get(s) for s in split], "split": split, "source": b["source"], "words": words}).astype({"part": object, "split": object, "source": object})
 
-    out = records.select("id", "split", "source", "text", "segmentation").mapInPandas(run, "id long, part string, split string, source string, words array<string>")
+    out = parse_packed(records.select("id", "split", "source", "text", "segmentation"), ["segmentation"]).drop("segmentation_dialect").mapInPandas(run, "id long, part string, split string, source string, words array<string>")
     return out.withColumn("key", F.md5(F.concat_ws("", "words")))
 
 
