@@ -58,7 +58,7 @@ def test_top_n_against_brute_force(spark):
     rows += [(None, 1.0, 1), ("g1", None, 1), ("g1", float("nan"), 2), ("g1", 1.0, None), ("one", 0.5, 1), ("one", 0.5, 1), ("x" * 100, 0.1, 1)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "g string, score double, t long, rank string").repartition(6)
     got = {}
-    for r in topn.top_n(df, "g", "score", "t", 3, row_group=4096).collect():
+    for r in topn.top_n(df, "g", "score", "t", 3, row_group=64).collect():
         got.setdefault(r.g, []).append((r.score, r.t))
     want: dict = {}
     for g, s, t in rows:
@@ -69,11 +69,28 @@ def test_top_n_against_brute_force(spark):
 
 
 def test_skipping_drops_row_groups(spark):
-    rows = [("f", i, "a", "a", b, w, 10) for i, (b, w) in enumerate([(0.9, 0.8), (0.8, 0.7), (0.7, 0.6)])] + [("f", 3, "a", "b", 0.1, 0.0, 5), ("f", 4, "c", "c", 0.5, 0.4, 1)]
-    kept = topn.needed_row_groups(spark.createDataFrame(rows, topn._STATS), 3)
+    rows = [("f", i, True, 1, 2, b, w, 10) for i, (b, w) in enumerate([(0.9, 0.8), (0.8, 0.7), (0.7, 0.6)])] + [("f", 3, False, None, None, 0.1, 0.0, 5), ("f", 4, True, 1, 3, 0.5, 0.4, 1)]
+    kept = topn.needed_row_groups(spark.createDataFrame(rows, topn._stats("double")), 3)
     assert sorted(r.rg for r in kept.collect()) == [0, 1, 3, 4]
 
 
+def test_rows_are_skipped(spark):
+    log = topn.last_evaluations(table(spark, "/root/testdata/sf0.1", "run_log"))
+    n = topn.skipped(log, "run_id", "dev_accuracy", "step", 3)
+    assert n["rows written"] == log.count() and n["rows read"] < 0.85 * n["rows written"]
+    hot = spark.range(200_000).select(F.lit("one long name " * 9).alias("g"), F.rand(1).alias("s"), F.col("id").alias("t"))
+    n = topn.skipped(hot, "g", "s", "t", 3)
+    assert n["rows read"] < 0.1 * n["rows written"] == 20_000
+
+
+def test_scores_keep_their_type(spark):
+    big = 2**53
+    df = spark.createDataFrame([("a", big + i, i) for i in range(400)] + [("b", 1, 1)], "g string, s long, t int")
+    assert [(r.t, r.s) for r in topn.top_n(df, "g", "s", "t", 2, row_group=16).orderBy("g", "rank").collect()] == [(399, big + 399), (398, big + 398), (1, 1)]
+    dec = df.withColumn("s", F.col("s").cast("decimal(30,2)") + F.col("t") / 100)
+    assert [r.t for r in topn.top_n(dec, "g", "s", "t", 2, row_group=16).orderBy("g", "rank").collect()] == [399, 398, 1]
+
+
 def test_best_evaluations_rules(spark):
     t = [T0 + timedelta(hours=i) for i in range(5)]
     rows = [("r", 1, 0.9, t[0]), ("r", 1, 0.1, t[1]), ("r", 2, 0.5, t[0]), ("r", 3, 0.5, t[0]), ("r", 4, 1.5, t[0]), ("r", 2, 2.0, t[4]), (None, 1, 0.9, t[0])]
