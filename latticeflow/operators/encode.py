@@ -91,8 +91,8 @@ def gold_ids(pieces: DataFrame, vocab: DataFrame, key: str, units: str = "pieces
     plain = each.join(L.small(v), "token", "left")
     marked = L.small(v.select(F.col("token").alias("_m"), F.col("token_id").alias("_mid")))
     both = plain.join(marked, F.when(F.col("i") == 0, F.concat(F.lit(T.SPACE), F.col("token"))) == F.col("_m"), "left")
-    other = F.broadcast(v.where(F.col("token") == unk).agg(F.max("token_id").alias("_unk")))  # one row
-    rows = both.join(other).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("token_id", "_mid", "_unk").alias("id")))).alias("_x"))
+    other = v.where(F.col("token") == unk).agg(F.max("token_id")).scalar()
+    rows = both.withColumn("_unk", other).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("token_id", "_mid", "_unk").alias("id")))).alias("_x"))
     return rows.select(key, F.transform("_x", lambda x: x["id"]).alias("ids"))
 
 
@@ -117,3 +117,44 @@ def tokenizer(mode: str) -> Callable[..., DataFrame]:
     if mode not in MODES:
         raise ValueError(f"no tokenizer for mode {mode!r}; known are {sorted(MODES)}")
     return MODES[mode]
+
+
+def dense_transitions(lats: DataFrame, vocab: DataFrame, max_unit: int, key: str = "word", pad: int = 0, reverse: bool = False) -> DataFrame:
+    """(key, ids, mask): for each unit length (outer array) and place, the id of the edge of that length that ends there, or `pad`.
+
+    With `reverse` places are counted from the text's end and an edge stands where it begins, for the backward pass. mask is 1 where there is an edge.
+    """
+    each = lats.select(key, "len", F.explode("edges").alias("x")).select(key, "len", "x.*")
+    known = each.join(L.small(vocab.select("token", "token_id")), "token")
+    at = F.col("len") - F.col("s") - 1 if reverse else F.col("e") - 1
+    packed = known.groupBy(key, "len").agg(F.map_from_entries(F.collect_list(F.struct(((F.col("e") - F.col("s") - 1) * F.col("len") + at).cast("int"), F.col("token_id").cast("int")))).alias("m"))
+    cell = lambda m, j: F.element_at("m", (m * F.col("len") + j).cast("int"))
+    grid = lambda f: F.transform(F.sequence(F.lit(0), F.lit(max_unit - 1)), lambda m: F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda j: f(cell(m, j))))
+    return packed.select(key, grid(lambda v: F.coalesce(v, F.lit(pad))).alias("ids"), grid(lambda v: F.when(v.isNull(), 0).otherwise(1)).alias("mask"))
+
+
+def serial_inputs(edges: DataFrame, vocab: DataFrame, key: str = "word", node: int | None = None) -> DataFrame:
+    """(key, input_ids, starts, ends, node_ids): edges in order of start and end, and with `node` a node token of that id for each place.
+
+    starts and ends are the nodes before and after each edge, by which sums over nodes are looked up; a node token begins and ends at its node.
+    """
+    known = edges.join(L.small(vocab.select("token", "token_id")), "token")
+    rows = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "token_id"))).alias("_x"))
+    last = F.array_max(F.transform("_x", lambda x: x["e"]))
+    nodes = F.array().cast("array<int>") if node is None else F.transform(F.sequence(F.lit(0), last), lambda _: F.lit(node))
+    return rows.select(key, F.transform("_x", lambda x: x["token_id"]).alias("input_ids"), F.transform("_x", lambda x: x["s"]).alias("starts"), F.transform("_x", lambda x: x["e"]).alias("ends"), nodes.alias("node_ids"))
+
+
+def language_dataset(lines: DataFrame, best: DataFrame, vocab: DataFrame, key: str, chunks: str = "chunks", unk: int = 0) -> DataFrame:
+    """(key, input_ids, position_ids, input_mask, labels, length, ntokens, text) of segmented lines, one row per line that has words.
+
+    labels are the next ids, -100 for the last; length counts characters, ntokens ids. Units without an id have `unk`.
+    """
+    tokens = tokenize_lines(lines, best, key, chunks).select(key, "tokens")
+    each = tokens.select(key, F.posexplode("tokens").alias("i", "token")).join(L.small(vocab.select("token", "token_id")), "token", "left")
+    packed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("token_id", F.lit(unk)).cast("int").alias("id")))).alias("_x"), F.sum(T.chunk_length(F.col("token"))).cast("int").alias("length"))
+    ids = F.transform("_x", lambda x: x["id"])
+    out = packed.select(key, ids.alias("input_ids"), "length", F.size("_x").alias("ntokens"))
+    shifted = F.concat(F.slice("input_ids", 2, F.greatest(F.size("input_ids") - 1, F.lit(0))), F.array(F.lit(-100)))
+    out = out.select(key, "input_ids", F.sequence(F.lit(0), F.size("input_ids") - 1).alias("position_ids"), F.transform("input_ids", lambda _: F.lit(1)).alias("input_mask"), shifted.alias("labels"), "length", "ntokens")
+    return out.join(lines.select(key, F.array_join(chunks, " ").alias("text")), key)

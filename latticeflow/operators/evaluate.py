@@ -81,9 +81,9 @@ def reference_per_char(df: DataFrame, logp: str = "ref_logp", text: str = "word"
 
 def positional_join(left: DataFrame, right: DataFrame, row: str = "row") -> DataFrame:
     """Joins by row number; a different number of rows is an error at run time."""
-    a, b = left.agg(F.count("*").alias("a")), right.agg(F.count("*").alias("b"))
-    same = F.broadcast(a.join(F.broadcast(b)))  # one row
-    return left.join(right, row).join(same).where(F.expr("if(a = b, true, raise_error('the two inputs have different numbers of rows'))")).drop("a", "b")
+    same = left.agg(F.count("*")).scalar() == right.agg(F.count("*")).scalar()
+    wrong = F.raise_error(F.lit("the two inputs have different numbers of rows")).cast("boolean")
+    return left.join(right, row).where(F.when(same, F.lit(True)).otherwise(wrong))
 
 
 def align(words: Sequence[str] | Column, tokens: Column) -> Column:

@@ -129,8 +129,7 @@ def expected_counts(lats: DataFrame, counts: DataFrame, key: str = "word", n: st
 def em_step(lats: DataFrame, counts: DataFrame, key: str = "word") -> DataFrame:
     """(token, logp): the expected counts as log shares; tokens without any use are left out."""
     e = expected_counts(lats, counts, key).where("expected > 0")
-    total = e.agg(F.sum("expected").alias("_t"))
-    return e.join(F.broadcast(total)).select("token", F.ln(F.col("expected") / F.col("_t")).alias("logp"))
+    return e.select("token", F.ln(F.col("expected") / e.agg(F.sum("expected")).scalar()).alias("logp"))
 
 
 def nbest(lats: DataFrame, n: int, key: str = "word") -> DataFrame:

@@ -63,16 +63,20 @@ def build_vocabulary(words: DataFrame, max_length: int = 4, min_count: int = 2)
 
 
 def with_log_share(counts: DataFrame) -> DataFrame:
-    total = counts.agg(F.sum("n").cast("double").alias("_t"))
-    return counts.join(F.broadcast(total)).select("token", "n", F.round(F.ln(F.col("n") / F.col("_t")), 6).alias("logp"))
+    total = counts.agg(F.sum("n").cast("double")).scalar()
+    return counts.select("token", "n", F.round(F.ln(F.col("n") / total), 6).alias("logp"))
 
 
 def normalise(weights: DataFrame, logp: str = "logp", keys: Sequence[str] = ()) -> DataFrame:
     """Log weights less their log-sum-exp (per key), added as `normalised`; two passes of partial aggregates."""
+    if not keys:
+        named = weights.withColumn("_m", weights.agg(F.max(logp)).scalar())
+        total = named.agg(F.first("_m") + F.ln(F.sum(F.exp(F.col(logp) - F.col("_m"))))).scalar()
+        return weights.withColumn("normalised", F.col(logp) - total)
     top = weights.groupBy(*keys).agg(F.max(logp).alias("_m"))
-    joined = weights.join(F.broadcast(top)) if not keys else weights.join(top, list(keys))
+    joined = weights.join(top, list(keys))
     total = joined.groupBy(*keys).agg((F.first("_m") + F.ln(F.sum(F.exp(F.col(logp) - F.col("_m"))))).alias("_z"))
-    out = weights.join(F.broadcast(total)) if not keys else weights.join(total, list(keys))
+    out = weights.join(total, list(keys))
     return out.withColumn("normalised", F.col(logp) - F.col("_z")).drop("_z")
 
 
@@ -128,6 +132,47 @@ def length_bias(vocab: DataFrame, tolerance: float = 1e-10) -> float:
 
 def type_entropy(expected: DataFrame, count: str = "expected") -> DataFrame:
     """One row: the entropy of the tokens' shares of the expected counts."""
-    total = expected.agg(F.sum(count).alias("_t"))
-    p = F.col(count) / F.col("_t")
-    return expected.where(F.col(count) > 0).join(F.broadcast(total)).agg((-F.sum(p * F.ln(p))).alias("type_entropy"))
+    p = F.col("_p")
+    shares = expected.where(F.col(count) > 0).select((F.col(count) / expected.agg(F.sum(count)).scalar()).alias("_p"))
+    return shares.agg((-F.sum(p * F.ln(p))).alias("type_entropy"))
+
+
+def initialised(tokens: DataFrame, sigma: float = 0.0, mu: float = 0.0, seed: int = 0) -> DataFrame:
+    """(token, logp): first log weights, `mu` for all, or normally distributed around it with deviation `sigma` (weights then are lognormal).
+
+    The draw hangs on seed and token only, not on partitions.
+    """
+    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "token"), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
+    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+    return tokens.select("token", (F.lit(float(mu)) + (normal * sigma if sigma else F.lit(0.0))).alias("logp"))
+
+
+def train(words: DataFrame, vocab: DataFrame, size: int, max_unit: int = 4, max_length: int = 48, shrink: float = 0.75, rounds: int = 16, tolerance: float = 1e-3) -> DataFrame:
+    """(token, logp): a vocabulary of at most `size` units (and all characters), by expectation maximisation and pruning.
+
+    Each round takes an EM step; then, while there are too many units, the least used are dropped, down to `shrink` of the present number but
+    not below `size`; characters stay. It ends when the size is reached and the log likelihood per word grows by less than `tolerance`, or after `rounds`.
+    The lattices' lineage is cut every round.
+    """
+    from latticeflow.operators import lattice as L
+    from latticeflow.session import cut
+
+    before = None
+    vocab = cut(vocab.select("token", "logp"))
+    total = words.agg(F.sum("n")).first()[0] or 1
+    for _ in range(rounds):
+        lats = cut(L.lattices(L.lattice_edges(words, vocab, max_unit, max_length)))
+        z = L.logz(lats).join(words, "word").where(F.col("logz") > float("-inf")).agg(F.sum(F.col("logz") * F.col("n"))).first()[0] or 0.0
+        expected = cut(L.expected_counts(lats, words))
+        n = vocab.count()
+        if n <= size and before is not None and abs(z / total - before) < tolerance:
+            break
+        before = z / total
+        keep = max(size, int(n * shrink)) if n > size else n
+        single = F.length("token") == 1
+        characters = vocab.where(single).select("token")
+        longer = expected.where(~single & (F.col("expected") > 0)).orderBy(F.desc("expected"), "token").limit(max(0, keep - characters.count()))
+        least = F.lit(1e-6)  # a character that no path uses stays possible
+        kept = characters.join(expected, "token", "left").select("token", F.greatest(F.coalesce("expected", least), least).alias("expected")).unionByName(longer)
+        vocab = cut(kept.select("token", F.ln(F.col("expected") / kept.agg(F.sum("expected")).scalar()).alias("logp")))
+    return vocab
