@@ -126,13 +126,13 @@ def split_report(rows: DataFrame, split: str = "split") -> DataFrame:
 def dictionary_report(best: DataFrame, dictionary: DataFrame, word: str = "word", tokens: str = "tokens", segs: str = "segs", n: str = "n") -> DataFrame:
     """One row: words and occurrences, those that the dictionary holds, and of the latter's tokens those that some segmentation has as a span."""
     j = best.join(dictionary.select(word, segs), word, "left")
-    spans = T.spans(F.col(tokens), ())
     known = F.flatten(F.transform(segs, lambda s: T.spans(s, ())))
-    hit = F.size(F.filter(spans, lambda x: F.array_contains(known, x)))
-    held = F.col(segs).isNotNull()
+    hit = F.size(F.filter(T.spans(F.col(tokens), ()), lambda x: F.array_contains(known, x)))
+    j = j.select(F.col(segs).isNotNull().alias("_held"), F.col(n).alias("_n"), F.size(tokens).alias("_size"), hit.alias("_hit"))
+    s = lambda c: F.sum(F.when(F.col("_held"), c).otherwise(0))
     out = j.agg(
-        F.count("*").alias("words"), F.count_if(held).alias("words_held"), F.sum(n).alias("occurrences"), F.sum(F.when(held, F.col(n)).otherwise(0)).alias("occurrences_held"),
-        F.sum(F.when(held, F.size(tokens) * F.col(n)).otherwise(0)).alias("tokens"), F.sum(F.when(held, hit * F.col(n)).otherwise(0)).alias("tokens_held"),
+        F.count("*").alias("words"), F.count_if("_held").alias("words_held"), F.sum("_n").alias("occurrences"), s(F.col("_n")).alias("occurrences_held"),
+        s(F.col("_size") * F.col("_n")).alias("tokens"), s(F.col("_hit") * F.col("_n")).alias("tokens_held"),
     )
     return out.select("*", F.try_divide("tokens_held", "tokens").alias("precision"), F.try_divide("occurrences_held", "occurrences").alias("coverage"))
 

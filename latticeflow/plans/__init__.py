@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticeflow.plans import lattice_queries, packed_queries, run_queries, text_queries
+from latticeflow.plans import lattice_queries, packed_queries, report_queries, run_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [lattice_queries, text_queries, run_queries, packed_queries]
+MODULES = [lattice_queries, text_queries, run_queries, packed_queries, report_queries]
 
 
 def queries() -> dict[str, Query]:
