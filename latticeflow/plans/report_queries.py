@@ -234,7 +234,7 @@ def dictionary_file(s: SparkSession, d: str) -> DataFrame:
 
 def affixes_file(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "affixes")
-    LQ.words(s, d).where(F.col("word").rlike("^[a-z]+$")).select(F.concat(F.lit(" "), F.upper("word"))).write.text(path)
+    LQ.words(s, d).where(F.col("word").rlike(r"^[a-z]+\z")).select(F.concat(F.lit(" "), F.upper("word"))).write.text(path)
     return readers.affixes(s, path)
 
 
@@ -252,14 +252,14 @@ def corpus_file(s: SparkSession, d: str) -> DataFrame:
 
 def scored_file(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "scored")
-    w = LQ.words(s, d).where(F.col("word").rlike(r"^\p{L}+$"))
+    w = LQ.words(s, d).where(F.col("word").rlike(r"^\p{L}+\z"))
     w.select(F.col("word").alias("text"), F.col("n").cast("double").alias("score"), F.lit("x").alias("label")).write.csv(path, header=True)
     return readers.scored(s, path, 10)
 
 
 def backslash_file(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "backslash")
-    LQ.words(s, d).where(F.col("word").rlike(r"^\p{L}+$")).select(F.concat_ws("\\", F.lit("id"), "word", F.col("n").cast("string"))).write.text(path)
+    LQ.words(s, d).where(F.col("word").rlike(r"^\p{L}+\z")).select(F.concat_ws("\\", F.lit("id"), "word", F.col("n").cast("string"))).write.text(path)
     return readers.backslash_table(s, path, {"word": 1, "n": 2})
 
 
