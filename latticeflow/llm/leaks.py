@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeflow.llm.joins import grid_join
+from latticeflow.llm.joins import bitmap, grid_join, in_bitmap
 from latticeflow.llm.plaintext import reader_words
 from latticeflow.session import cut
 
@@ -35,10 +35,6 @@ NEED = min(n - Q + 1 - Q * (n // PER_EDIT) for n in range(PASSAGE, LONGEST + 1))
 #: Blocks overlap by half: those of items have twice LONGEST words, those of documents twice PART; so each passage is whole in one of each.
 #: Diagonals of a band, which overlap by half too.
 BAND = 2 * (EDITS + 1)
-#: Most bits of the bitmap (32 MB); more q-grams make it let more through, which costs time but changes nothing.
-MOST_BITS = 28
-#: Bits of one of Spark's bitmaps.
-_PAGE = 15
 assert NEED > 0
 
 
@@ -111,25 +107,12 @@ def _items(items: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def bitmap(grams_: DataFrame) -> tuple[np.ndarray, int]:
-    """(bytes, bits): a bitmap of the column `gram` with about 16 bits to an entry, at most 2 ** MOST_BITS in all."""
-    n = grams_.count()
-    bits = min(MOST_BITS, max(_PAGE, (16 * n).bit_length()))
-    at = F.col("gram").bitwiseAND((1 << bits) - 1)
-    pages = grams_.groupBy(F.shiftright(at, _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << _PAGE) - 1)).alias("bits")).collect()  # at most 2 ** (MOST_BITS - 15) pages of 4 kB
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in pages:
-        out[r["page"] << (_PAGE - 3) : (r["page"] + 1) << (_PAGE - 3)] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out, bits
-
-
 def likely_blocks(docs: list[list[str]], coder: Coder, bits: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(document's place, codes, q-grams in the bitmap) of the documents' blocks in whose first half a window with NEED or more of them begins."""
     sizes = [len(w) for w in docs]
     flat = coder([w for words in docs for w in words])
     h = grams(flat)
-    low = h & np.uint64((1 << width) - 1)
-    hit = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
+    hit = in_bitmap(h, bits, width)
     sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
     out, start = [], 0
     for d, n in enumerate(sizes):
@@ -246,7 +229,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     """
     parts = cut(_items(items, item_key, text))
     item_grams = cut(parts.select("whole", "no", F.explode("grams").alias("g")).select("whole", "no", "g.gram", F.col("g.n").alias("n_i")).distinct())
-    bits, width = bitmap(item_grams.select("gram").distinct())
+    bits, width = bitmap(item_grams.select("gram").distinct(), "gram")
     found = cut(_doc_blocks(docs, doc_key, text, bits, width))
     doc_grams = found.select("block", F.explode("grams").alias("g")).select("block", "g.gram", F.col("g.n").alias("n_d")).distinct()
     shared = grid_join(doc_grams, item_grams, "gram").groupBy("block", "whole", "no").agg(F.sum(F.least("n_d", "n_i")).alias("n")).where(F.col("n") >= NEED)

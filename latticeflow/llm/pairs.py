@@ -3,7 +3,8 @@
 Heavy items (at most `HEAVY` of the most frequent) are columns of a bit matrix, block by block; their pairs are
 popcounts of two columns' conjunction. Pairs of light items are counted by hash. For mixed pairs, the records of each
 light item are probed for heavy ones, by adding up their rows of the matrix. The three are united and summed.
-An item that fewer than `support` records hold can't be in a wanted pair and is dropped first, without loss.
+An item that fewer than `support` records hold can't be in a wanted pair; a bitmap of the others, of bounded size, lets tasks drop it.
+Records stay as they are, in the tasks that read them; only counts of items and of pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticeflow.llm.joins import bitmap, in_bitmap
 from latticeflow.operators.records import first_delivery
 from latticeflow.session import cut
 
@@ -55,24 +57,29 @@ def pair_counts(records: DataFrame, items: str, support: int = 5) -> tuple[DataF
     `items` is an array of strings without nulls; repeated items of a row count once.
     """
     spark = records.sparkSession
-    each = cut(records.select(F.monotonically_increasing_id().alias("_rec"), F.array_distinct(items).alias("_items")).select("_rec", F.explode("_items").alias("word")))
-    counts = cut(each.groupBy("word").agg(F.count("*").alias("n")))
+    counts = cut(records.select(F.explode(F.array_distinct(items)).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     total = records.count()
     rows = counts.where((F.col("n") >= support) & (F.col("n") >= SHARE * total)).orderBy(F.desc("n"), "word").limit(HEAVY).collect()  # bounded by HEAVY
-    heavy = sorted(r.word for r in rows)
-    shared = spark.sparkContext.broadcast(heavy)
-
-    # The light items have no hot key: each is in fewer rows than SHARE of all, or than each of HEAVY others.
-    flags = F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(heavy)], "word string, h int"))  # at most HEAVY rows
-    split = each.join(flags, "word", "left")
-    light_kept = counts.where(F.col("n") >= support).select("word")
-    light = split.where("h is null").select("_rec", "word").join(light_kept, "word", "left_semi").select("_rec", "word", F.lit(-1).alias("h"))
-    grouped = split.where("h is not null").select("_rec", F.lit("").alias("word"), "h").unionByName(light).groupBy("_rec").agg(
-        F.collect_list(F.when(F.col("h") >= 0, F.col("h"))).alias("heavy"), F.array_sort(F.collect_list(F.when(F.col("h") < 0, F.col("word")))).alias("light")
-    )
+    # light items have no hot key: each is in fewer rows than SHARE of all, or than each of HEAVY others
+    shared = spark.sparkContext.broadcast((sorted(r.word for r in rows), *bitmap(counts.where(F.col("n") >= support).select(F.xxhash64("word").alias("h")), "h")))
+
+    def known(batches: Iterator[pd.DataFrame], at: dict[str, int], bits: np.ndarray, width: int) -> Iterator[tuple[list[list[int]], list[list[str]]]]:
+        """For blocks of records, each one's heavy items by number, and its light items that enough records may hold, in order."""
+        import xxhash
+
+        wanted: dict[str, bool] = {}
+        for whole in batches:
+            for k in range(0, len(whole), BLOCK):
+                records_ = [set(x) if x is not None else set() for x in whole["_items"].iloc[k : k + BLOCK]]
+                new = list({w for x in records_ for w in x} - at.keys() - wanted.keys())
+                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)
+                wanted |= dict(zip(new, in_bitmap(hashes, bits, width).astype(bool).tolist()))
+                yield [[at[w] for w in x if w in at] for x in records_], [sorted(w for w in x if w not in at and wanted[w]) for x in records_]
+                if len(wanted) > HELD:
+                    wanted.clear()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = shared.value
+        names, bits, width = shared.value
         k = len(names)
         both = np.zeros((k, k), np.int64)
         probes: dict[str, np.ndarray] = {}
@@ -89,41 +96,37 @@ def pair_counts(records: DataFrame, items: str, support: int = 5) -> tuple[DataF
         def hashed() -> pd.DataFrame:
             return pd.DataFrame({"word_a": [a for a, _ in pairs], "word_b": [b for _, b in pairs], "n": list(pairs.values())}).astype({"n": "int64", "word_a": object, "word_b": object})
 
-        for whole in batches:
-            for at in range(0, len(whole), BLOCK):
-                b = whole.iloc[at : at + BLOCK]
-                own = np.zeros((len(b), k), bool)
-                for r, hs in enumerate(b["heavy"]):
-                    if len(hs):
-                        own[r, np.asarray(hs, np.int64)] = True
-                if k:
-                    both += _popcounts(own)
-                lists: dict[str, list[int]] = {}
-                for r, ws in enumerate(b["light"]):
-                    ws = list(ws)
-                    for i, w in enumerate(ws):
-                        lists.setdefault(w, []).append(r)
-                        for x in ws[i + 1 :]:
-                            pairs[w, x] = pairs.get((w, x), 0) + 1
-                        if len(pairs) > HELD:
-                            yield hashed()
-                            pairs.clear()
-                if k:
-                    for w, rs in lists.items():
-                        v = own[rs].sum(axis=0, dtype=np.int32)
-                        if w in probes:
-                            probes[w] += v
-                        else:
-                            probes[w] = v
-                    if len(probes) > 20_000:
-                        yield mixed()
-                        probes.clear()
+        for heavy, light in known(batches, {w: i for i, w in enumerate(names)}, bits, width):
+            own = np.zeros((len(heavy), k), bool)
+            for r, hs in enumerate(heavy):
+                own[r, hs] = True
+            if k:
+                both += _popcounts(own)
+            lists: dict[str, list[int]] = {}
+            for r, ws in enumerate(light):
+                for i, w in enumerate(ws):
+                    lists.setdefault(w, []).append(r)
+                    for x in ws[i + 1 :]:
+                        pairs[w, x] = pairs.get((w, x), 0) + 1
+                    if len(pairs) > HELD:
+                        yield hashed()
+                        pairs.clear()
+            if k:
+                for w, rs in lists.items():
+                    v = own[rs].sum(axis=0, dtype=np.int32)
+                    if w in probes:
+                        probes[w] += v
+                    else:
+                        probes[w] = v
+                if len(probes) > 20_000:
+                    yield mixed()
+                    probes.clear()
         yield mixed()
         yield hashed()
         i, j = np.nonzero(both)
         yield pd.DataFrame({"word_a": [names[x] for x in i], "word_b": [names[x] for x in j], "n": both[i, j]}).astype({"word_a": object, "word_b": object})
 
-    found = grouped.mapInPandas(count, "word_a string, word_b string, n long").groupBy("word_a", "word_b").agg(F.sum("n").alias("n_ab"))
+    found = records.select(F.col(items).alias("_items")).mapInPandas(count, "word_a string, word_b string, n long").groupBy("word_a", "word_b").agg(F.sum("n").alias("n_ab"))
     return found.where(F.col("n_ab") >= support), counts
 
 

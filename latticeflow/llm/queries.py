@@ -13,8 +13,8 @@ from latticeflow.session import cut, table, wide_scan
 
 def _p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, term, n, n_records, records, mark) of the units and the words."""
-    units = cut(parse_packed(first_delivery(table(spark, sf_dir, "morpheme"), "id", "added_at", ["segmentation"]), ["segmentation"]).select("segmentation"))
-    lines = cut(first_delivery(table(spark, sf_dir, "sentences"), "sent_id", "read_at", ["text_str"]).select("text_str"))
+    units = cut(parse_packed(first_delivery(wide_scan(table(spark, sf_dir, "morpheme")), "id", "added_at", ["segmentation"]), ["segmentation"]).select("segmentation"))
+    lines = cut(first_delivery(wide_scan(table(spark, sf_dir, "sentences")), "sent_id", "read_at", ["text_str"]).select("text_str"))
     a = terms.marked(terms.term_counts(units, "segmentation", terms.array_terms), units).withColumn("field", F.lit("segmentation"))
     b = terms.marked(terms.term_counts(lines, "text_str", terms.text_terms), lines).withColumn("field", F.lit("text_str"))
     return a.unionByName(b)
@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each word of the sentences occurs, and in how many records."""
-    lines = cut(first_delivery(table(spark, sf_dir, "sentences"), "sent_id", "read_at", ["text_str"]).select("text_str"))
+    lines = cut(first_delivery(wide_scan(table(spark, sf_dir, "sentences")), "sent_id", "read_at", ["text_str"]).select("text_str"))
     return terms.term_counts(lines, "text_str", terms.text_terms)
 
 
@@ -45,38 +45,38 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of words far more often together than by chance, with their counts and lift."""
-    records = cut(pairs.index_words(table(spark, sf_dir, "skipgram_index")))
+    records = cut(pairs.index_words(wide_scan(table(spark, sf_dir, "skipgram_index"))))
     return pairs.lifted_pairs(records, "words")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = overlap.overlap_pairs(table(spark, sf_dir, "morpheme"))
+    df = overlap.overlap_pairs(wide_scan(table(spark, sf_dir, "morpheme")))
     return df.select(F.least("id_e", "id_t").alias("id_a"), F.greatest("id_e", "id_t").alias("id_b"))
 
 
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record with its class of equal texts and the number of its links to the other part."""
-    return overlap.overlap_links(table(spark, sf_dir, "morpheme"))
+    return overlap.overlap_links(wide_scan(table(spark, sf_dir, "morpheme")))
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping records per split and source, with their links and coverage."""
-    return overlap.overlap_report(table(spark, sf_dir, "morpheme"))
+    return overlap.overlap_report(wide_scan(table(spark, sf_dir, "morpheme")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.oversize(table(spark, sf_dir, "encoded"), table(spark, sf_dir, "caches"))
+    return packing.oversize(wide_scan(table(spark, sf_dir, "encoded")), table(spark, sf_dir, "caches"))
 
 
 def p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed row of every piece of every example."""
-    ex = cut(packing.examples(table(spark, sf_dir, "encoded"), table(spark, sf_dir, "caches")))
+    ex = cut(packing.examples(wide_scan(table(spark, sf_dir, "encoded")), table(spark, sf_dir, "caches")))
     return packing.pack_rows(ex, "cache", "ex_id", "n", "max_length")
 
 
 def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block of every piece of every chunk."""
-    ex = packing.examples(table(spark, sf_dir, "encoded"), table(spark, sf_dir, "caches"))
+    ex = packing.examples(wide_scan(table(spark, sf_dir, "encoded")), table(spark, sf_dir, "caches"))
     return packing.pack_blocks(ex, "ex_id", "lengths", "max_block_length")
 
 

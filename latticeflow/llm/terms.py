@@ -101,9 +101,9 @@ def marked(counts: DataFrame, records: DataFrame, rare: int = 2, common: float =
 
     A term that is both (in tables of a few rows) has a row for each mark; a term that is neither has a null mark.
     """
-    total = records.agg(F.count("*").alias("records"))
+    total = records.agg(F.count("*")).scalar()
     marks = F.filter(
         F.array(F.when(F.col("n_records") <= rare, "rare"), F.when(F.col("n_records") >= F.col("records") * common - 1e-9, "common")),
         lambda m: m.isNotNull(),
     )
-    return counts.join(F.broadcast(total)).withColumn("mark", F.explode_outer(marks))  # `total` is one row
+    return counts.withColumn("records", total).withColumn("mark", F.explode_outer(marks))
