@@ -21,6 +21,8 @@ from latticeflow.session import cut, delete, scratch
 
 #: Rows of a row group (a part of a usual group's rows), and of a written file.
 ROW_GROUP, FILE_ROWS = 64, 4_000_000
+#: Row groups that are read at a time, in descending order of their best score.
+STRETCH = 256
 #: A group is told by two hashes of its whole name; statistics of numbers are exact, however long the name is.
 _IDS = "h1 long, h2 long"
 
@@ -108,20 +110,26 @@ def _skimmed(df: DataFrame, group: str, score: str, tie: str, n: int, descending
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor: dict[tuple[int, int], object] = {}
+        names = ["_h1", "_h2", "_group", "_score", "_tie"]
         for b in batches:
             for uri, part in b.groupby("file", sort=False):
+                left = list(zip(part["rg"], part["alone"], part["h1"], part["h2"], part["best"]))
                 with _open(uri) as f:
-                    for rg, alone, h1, h2, best in zip(part["rg"], part["alone"], part["h1"], part["h2"], part["best"]):
-                        seen = floor.get((h1, h2)) if alone else None
-                        if seen is not None and best < seen:
-                            continue  # this task has n better rows of its only group
-                        rows = f.read_row_group(int(rg), columns=["_group", "_score", "_tie"]).to_pandas()
+                    while left:
+                        # this task has n better rows of the only group of those that are skipped
+                        left = [x for x in left if not (x[1] and (x[2], x[3]) in floor and x[4] < floor[x[2], x[3]])]
+                        now, left = left[:STRETCH], left[STRETCH:]
+                        if not now:
+                            break
+                        rows = f.read_row_groups([int(x[0]) for x in now], columns=names).to_pandas()
                         total = len(rows)
-                        rows = rows.assign(_t=rows["_tie"] * sign).sort_values(["_group", "_score", "_t"], ascending=[True, False, True], kind="stable")
-                        rows = rows.groupby("_group", sort=False).head(n).drop(columns="_t")
-                        if alone and len(rows) == n and (seen is None or rows["_score"].min() > seen):
-                            floor[h1, h2] = rows["_score"].min()
-                        yield rows.assign(_read=[total] + [0] * (len(rows) - 1), _rgs=[1] + [0] * (len(rows) - 1))
+                        rows = rows.assign(_t=rows["_tie"] * sign).sort_values(["_h1", "_h2", "_group", "_score", "_t"], ascending=[True, True, True, False, True], kind="stable")
+                        rows = rows.groupby(["_h1", "_h2", "_group"], sort=False).head(n)
+                        of = rows.groupby(["_h1", "_h2"], sort=False)["_score"].agg(["size", "min"])
+                        for key, least in of.loc[of["size"] >= n, "min"].items():
+                            if key not in floor or least > floor[key]:
+                                floor[key] = least
+                        yield rows[["_group", "_score", "_tie"]].assign(_read=[total] + [0] * (len(rows) - 1), _rgs=[len(now)] + [0] * (len(rows) - 1))
 
     # row groups of one file go to one task, best first
     kept = needed_row_groups(stats, n).repartition("file").sortWithinPartitions("file", F.col("best").desc_nulls_first())
