@@ -2,7 +2,8 @@
 
 Heavy items (at most `HEAVY` of the most frequent) are columns of a bit matrix, block by block; their pairs are
 popcounts of two columns' conjunction. Pairs of light items are counted by hash. For mixed pairs, the records of each
-light item are probed for heavy ones, by adding up their rows of the matrix. The three are united and summed.
+light item are probed for heavy ones, by adding up their rows of the matrix. The three are united and summed. Light and mixed pairs are first
+counted by a 64-bit number of the pair alone; then only pairs whose number is frequent enough are counted by name, so a collision costs time but no result.
 An item that fewer than `support` records hold can't be in a wanted pair; a bitmap of the others, of bounded size, lets tasks drop it.
 Records stay as they are, in the tasks that read them; only counts of items and of pairs are shuffled.
 """
@@ -10,6 +11,7 @@ Records stay as they are, in the tasks that read them; only counts of items and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ from latticeflow.session import cut
 
 #: Most heavy items; the least share of records that makes an item heavy; records of a block; light pairs held at a time.
 HEAVY, SHARE, BLOCK, HELD = 512, 0.001, 4096, 1_000_000
+#: Light items of a record whose pairs are numbered at once.
+TOGETHER = 1000
 
 
 def index_words(index: DataFrame) -> DataFrame:
@@ -51,6 +55,30 @@ def _popcounts(own: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=256)
+def _places(k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(k, 1)
+
+
+def stretches(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, place, number) of the pairs of a record's hashes; all at once, or those of one item at a time if they are many."""
+    if len(h) <= TOGETHER:
+        i, j = _places(len(h))
+        yield i, j, pair_numbers(h[i], h[j])
+    else:
+        for i in range(len(h) - 1):
+            j = np.arange(i + 1, len(h))
+            yield np.full(len(j), i), j, pair_numbers(h[i], h[j])
+
+
+def pair_numbers(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each pair of hashes, whatever their order."""
+    with np.errstate(over="ignore"):
+        h = np.minimum(one, others) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29)) ^ np.maximum(one, others)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
 def pair_counts(records: DataFrame, items: str, support: int = 5) -> tuple[DataFrame, DataFrame]:
     """((word_a, word_b, n_ab), (word, n)): pairs word_a < word_b that at least `support` rows share, and each word's rows.
 
@@ -63,65 +91,112 @@ def pair_counts(records: DataFrame, items: str, support: int = 5) -> tuple[DataF
     # light items have no hot key: each is in fewer rows than SHARE of all, or than each of HEAVY others
     shared = spark.sparkContext.broadcast((sorted(r.word for r in rows), *bitmap(counts.where(F.col("n") >= support).select(F.xxhash64("word").alias("h")), "h")))
 
-    def known(batches: Iterator[pd.DataFrame], at: dict[str, int], bits: np.ndarray, width: int) -> Iterator[tuple[list[list[int]], list[list[str]]]]:
-        """For blocks of records, each one's heavy items by number, and its light items that enough records may hold, in order."""
+    def known(batches: Iterator[pd.DataFrame], at: dict[str, int], bits: np.ndarray, width: int) -> Iterator[tuple[list[list[int]], list[list[str]], list[np.ndarray]]]:
+        """For blocks of records, each one's heavy items by number, and its light items that enough records may hold, in order, with their hashes."""
         import xxhash
 
-        wanted: dict[str, bool] = {}
+        hashes: dict[str, int | None] = {}
         for whole in batches:
             for k in range(0, len(whole), BLOCK):
                 records_ = [set(x) if x is not None else set() for x in whole["_items"].iloc[k : k + BLOCK]]
-                new = list({w for x in records_ for w in x} - at.keys() - wanted.keys())
-                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)
-                wanted |= dict(zip(new, in_bitmap(hashes, bits, width).astype(bool).tolist()))
-                yield [[at[w] for w in x if w in at] for x in records_], [sorted(w for w in x if w not in at and wanted[w]) for x in records_]
-                if len(wanted) > HELD:
-                    wanted.clear()
+                new = list({w for x in records_ for w in x} - at.keys() - hashes.keys())
+                h = [xxhash.xxh64_intdigest(w, 42) for w in new]
+                held = in_bitmap(np.array(h, np.uint64), bits, width).astype(bool).tolist()
+                hashes |= {w: x if ok else None for w, x, ok in zip(new, h, held)}
+                light = [sorted(w for w in x if w not in at and hashes[w] is not None) for x in records_]
+                yield [[at[w] for w in x if w in at] for x in records_], light, [np.array([hashes[w] for w in ws], np.uint64) for ws in light]
+                if len(hashes) > HELD:
+                    hashes.clear()
+
+    def rows_of(heavy: list[list[int]], light: list[list[str]], hashes: list[np.ndarray], k: int) -> tuple[np.ndarray, dict[str, tuple[np.uint64, list[int]]]]:
+        """The block's bit matrix of heavy items, and each light item's hash and records."""
+        own = np.zeros((len(heavy), k), bool)
+        for r, hs in enumerate(heavy):
+            own[r, hs] = True
+        lists: dict[str, tuple[np.uint64, list[int]]] = {}
+        for r, (ws, h) in enumerate(zip(light, hashes)):
+            for w, x in zip(ws, h):
+                lists.setdefault(w, (x, []))[1].append(r)
+        return own, lists
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        names, bits, width = shared.value
+        of_heavy = np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64)
+        probes: dict[np.uint64, np.ndarray] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pd.DataFrame:
+            pair, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            held.clear()
+            return pd.DataFrame({"pair": pair.view(np.int64), "n": n})
+
+        def mixed() -> pd.DataFrame:
+            found = [(pair_numbers(h, of_heavy[at]), v[at]) for h, v in probes.items() if len(at := np.flatnonzero(v))]
+            probes.clear()
+            none = np.zeros(0, np.uint64)
+            return pd.DataFrame({"pair": np.concatenate([none, *(a for a, _ in found)]).view(np.int64), "n": np.concatenate([none.astype(np.int64), *(n for _, n in found)]).astype(np.int64)})
+
+        for heavy, light, hashes in known(batches, {w: i for i, w in enumerate(names)}, bits, width):
+            for h in hashes:
+                for _, _, numbers in stretches(h):
+                    held.append(numbers)
+                    size += len(numbers)
+                    if size > HELD:
+                        yield out()
+                        size = 0
+            if names:
+                own, lists = rows_of(heavy, light, hashes, len(names))
+                for h, rs in lists.values():
+                    v = own[rs].sum(axis=0, dtype=np.int32)
+                    probes[h] = probes[h] + v if h in probes else v
+                if len(probes) > 20_000:
+                    yield mixed()
+        yield out()
+        yield mixed()
+
+    often = records.select(F.col(items).alias("_items")).mapInPandas(numbered, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    frequent = spark.sparkContext.broadcast(bitmap(cut(often.select("pair")), "pair"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         names, bits, width = shared.value
         k = len(names)
+        of_heavy = np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64)
         both = np.zeros((k, k), np.int64)
-        probes: dict[str, np.ndarray] = {}
+        wanted: dict[str, np.ndarray] = {}
         pairs: dict[tuple[str, str], int] = {}
 
-        def mixed() -> pd.DataFrame:
-            out = []
-            for w, v in probes.items():
-                for i in np.flatnonzero(v):
-                    a, b = (w, names[i]) if w < names[i] else (names[i], w)
-                    out.append((a, b, int(v[i])))
-            return pd.DataFrame(out, columns=["word_a", "word_b", "n"]).astype({"n": "int64", "word_a": object, "word_b": object})
-
         def hashed() -> pd.DataFrame:
             return pd.DataFrame({"word_a": [a for a, _ in pairs], "word_b": [b for _, b in pairs], "n": list(pairs.values())}).astype({"n": "int64", "word_a": object, "word_b": object})
 
-        for heavy, light in known(batches, {w: i for i, w in enumerate(names)}, bits, width):
-            own = np.zeros((len(heavy), k), bool)
-            for r, hs in enumerate(heavy):
-                own[r, hs] = True
+        for heavy, light, hashes in known(batches, {w: i for i, w in enumerate(names)}, bits, width):
+            own, lists = rows_of(heavy, light, hashes, k)
             if k:
                 both += _popcounts(own)
-            lists: dict[str, list[int]] = {}
-            for r, ws in enumerate(light):
-                for i, w in enumerate(ws):
-                    lists.setdefault(w, []).append(r)
-                    for x in ws[i + 1 :]:
-                        pairs[w, x] = pairs.get((w, x), 0) + 1
+                for w, (h, rs) in lists.items():
+                    at = wanted.get(w)
+                    if at is None:
+                        at = wanted[w] = np.flatnonzero(in_bitmap(pair_numbers(h, of_heavy), *frequent.value))
+                    if len(at):
+                        v = own[np.ix_(rs, at)].sum(axis=0)
+                        for i, n in zip(at.tolist(), v.tolist()):
+                            if n:
+                                pair = (w, names[i]) if w < names[i] else (names[i], w)
+                                pairs[pair] = pairs.get(pair, 0) + n
+                if len(wanted) > 100_000:
+                    wanted.clear()
+            for ws, h in zip(light, hashes):
+                for i, j, numbers in stretches(h):
+                    ok = in_bitmap(numbers, *frequent.value) > 0
+                    for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+                        pairs[ws[a], ws[b]] = pairs.get((ws[a], ws[b]), 0) + 1
                     if len(pairs) > HELD:
                         yield hashed()
                         pairs.clear()
-            if k:
-                for w, rs in lists.items():
-                    v = own[rs].sum(axis=0, dtype=np.int32)
-                    if w in probes:
-                        probes[w] += v
-                    else:
-                        probes[w] = v
-                if len(probes) > 20_000:
-                    yield mixed()
-                    probes.clear()
-        yield mixed()
         yield hashed()
         i, j = np.nonzero(both)
         yield pd.DataFrame({"word_a": [names[x] for x in i], "word_b": [names[x] for x in j], "n": both[i, j]}).astype({"word_a": object, "word_b": object})

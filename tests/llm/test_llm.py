@@ -105,6 +105,7 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pairs, "HEAVY", 4)
     monkeypatch.setattr(pairs, "BLOCK", 37)
     monkeypatch.setattr(pairs, "HELD", 50)
+    monkeypatch.setattr(pairs, "TOGETHER", 5)
     rng = random.Random(3)
     recs = [[rng.choice("abcdefgh") if rng.random() < 0.5 else f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 12))] for _ in range(400)] + [[], ["a"] * 5]
     df = spark.createDataFrame([(r,) for r in recs], "words array<string>").repartition(4)
