@@ -38,4 +38,4 @@ def attention_statistics(pairs: DataFrame, vocab_masked: str = "overlap", weight
     over = F.greatest(F.col(weight) - F.col("cond"), F.lit(0.0))
     h = pairs.where(F.col(weight) > 0).groupBy("ex_id", "src").agg((-F.sum(F.col(weight) * F.ln(weight))).alias("h"))
     a = pairs.agg(F.count(F.when(over > 0, 1)).alias("over_count"), F.avg(F.when(over > 0, over)).alias("over_mean"), F.sum(over).alias("over_mass"), F.sum(F.when(F.col(vocab_masked), F.col(weight)).otherwise(0.0)).alias("leakage"))
-    return a.join(F.broadcast(h.agg(F.avg("h").alias("entropy_mean"), F.stddev_pop("h").alias("entropy_std"))))
+    return a.select("*", h.agg(F.avg("h")).scalar().alias("entropy_mean"), h.agg(F.stddev_pop("h")).scalar().alias("entropy_std"))

@@ -16,17 +16,21 @@ class Derivator:
     """Strips affixes from words down to a known stem.
 
     A word is read from both ends: a suffix is taken off (the longest first), then a prefix, as long as something known remains.
-    What is left is repaired by spelling: a dropped e comes back, a doubled consonant is single, i becomes y, ific ify, abil able, ise ize.
+    What is left is repaired by spelling: a dropped e comes back, a doubled consonant is single, i becomes y, abil able, ise ize, and before ation
+    or ate ific becomes ify.
     A prefix im, il or ir counts as in.
     """
 
     def __init__(self, prefixes: Iterable[str], suffixes: Iterable[str], stems: Iterable[str]):
         clean = lambda xs: {x.strip().lower() for x in xs if x and x.strip()}
         self.prefixes, self.suffixes, self.stems = clean(prefixes), clean(suffixes), clean(stems)
+        self._longest = [max(map(len, xs), default=0) for xs in (self.prefixes | {"im"}, self.suffixes)]
         self._find = lru_cache(100_000)(self._search)
 
-    def repairs(self, form: str) -> list[str]:
-        """Spellings of the stem that a stripped form may stand for, the likeliest first."""
+    def repairs(self, form: str, suffix: str) -> list[str]:
+        """Spellings of the stem that a form may stand for from which that suffix was taken, the likeliest first; only the form itself without a suffix."""
+        if not suffix:
+            return [form]
         out = [form]
         if len(form) > 2 and form[-1] == form[-2] and form[-1] not in VOWELS:
             out.append(form[:-1])
@@ -35,19 +39,19 @@ class Derivator:
         if form.endswith("i"):
             out.append(form[:-1] + "y")
         for end, full in (("ific", "ify"), ("abil", "able"), ("ise", "ize")):
-            if form.endswith(end):
+            if form.endswith(end) and (end != "ific" or suffix in ("ation", "ate")):
                 out.append(form[: -len(end)] + full)
         return out
 
-    def _search(self, form: str, stripped: bool) -> tuple[tuple[str, ...], str, tuple[str, ...]] | None:
-        for stem in self.repairs(form) if stripped else [form]:
+    def _search(self, form: str, stripped: str) -> tuple[tuple[str, ...], str, tuple[str, ...]] | None:
+        for stem in self.repairs(form, stripped):
             if stem in self.stems:
                 return (), stem, ()
-        for spelt in self.repairs(form) if stripped else [form]:
-            for n in range(len(spelt) - 1, 0, -1):
-                if spelt[-n:] in self.suffixes and (found := self._find(spelt[:-n], True)):
+        for spelt in self.repairs(form, stripped):
+            for n in range(min(len(spelt) - 1, self._longest[1]), 0, -1):
+                if spelt[-n:] in self.suffixes and (found := self._find(spelt[:-n], spelt[-n:])):
                     return found[0], found[1], (*found[2], spelt[-n:])
-        for n in range(len(form) - 1, 0, -1):
+        for n in range(min(len(form) - 1, self._longest[0]), 0, -1):
             prefix = form[:n]
             name = "in" if prefix in ("im", "il", "ir") and prefix not in self.prefixes else prefix
             if name in self.prefixes and (found := self._find(form[n:], stripped)):
@@ -58,26 +62,26 @@ class Derivator:
         """(prefixes, stem, suffixes) of the word for every stem that the search would try, in its order; the first known stem is the search's result."""
         out, tried, seen = [], set(), set()
 
-        def walk(form: str, stripped: bool, pre: tuple[str, ...], suf: tuple[str, ...]) -> None:
+        def walk(form: str, stripped: str, pre: tuple[str, ...], suf: tuple[str, ...]) -> None:
             if (form, stripped) in seen:  # found before, with the same stems
                 return
             seen.add((form, stripped))
-            spellings = self.repairs(form) if stripped else [form]
+            spellings = self.repairs(form, stripped)
             for stem in spellings:
                 if stem not in tried:
                     tried.add(stem)
                     out.append((pre, stem, suf))
             for spelt in spellings:
-                for n in range(len(spelt) - 1, 0, -1):
+                for n in range(min(len(spelt) - 1, self._longest[1]), 0, -1):
                     if spelt[-n:] in self.suffixes:
-                        walk(spelt[:-n], True, pre, (spelt[-n:], *suf))
-            for n in range(len(form) - 1, 0, -1):
+                        walk(spelt[:-n], spelt[-n:], pre, (spelt[-n:], *suf))
+            for n in range(min(len(form) - 1, self._longest[0]), 0, -1):
                 prefix = form[:n]
                 name = "in" if prefix in ("im", "il", "ir") and prefix not in self.prefixes else prefix
                 if name in self.prefixes:
                     walk(form[n:], stripped, (*pre, name), suf)
 
-        walk(word.lower(), False, (), ())
+        walk(word.lower(), "", (), ())
         return out
 
     def derive(self, word: str | None, mode: str = "morphemes"):
@@ -87,7 +91,7 @@ class Derivator:
         """
         if word is None:
             return None
-        pre, stem, suf = self._find(word.lower(), False) or ((), word.lower(), ())
+        pre, stem, suf = self._find(word.lower(), "") or ((), word.lower(), ())
         if mode == "roots":
             return stem
         if mode == "bundles":
@@ -97,7 +101,7 @@ class Derivator:
     def categories(self, word: str | None) -> list[str] | None:
         if word is None:
             return None
-        pre, _, suf = self._find(word.lower(), False) or ((), word, ())
+        pre, _, suf = self._find(word.lower(), "") or ((), word, ())
         return ["prefix"] * len(pre) + ["stem"] + ["suffix"] * len(suf)
 
 
@@ -199,20 +203,23 @@ def alternates(pieces: Column) -> Column:
     return F.filter(F.flatten(F.transform(pieces, lambda p: F.split(p, "-"))), lambda p: p != "")
 
 
-def linked(dictionary, word: str = "word", segs: str = "pieces", rounds: int = 10):
-    """Segmentations followed until no piece is itself segmented further: (word, pieces).
+def linked(dictionary: DataFrame, word: str = "word", segs: str = "pieces") -> DataFrame:
+    """(word, pieces): segmentations followed until no piece is segmented further.
 
-    An iterated join on distinct words; a word that segments into itself stays. At most `rounds` levels deep, each of which is cut.
+    A piece that has been followed already on the way to itself stays, so a word that segments into itself, or into others that lead back
+    to it, ends there. An iterated join on distinct words, as many rounds as the longest way; each round is cut.
     """
     from latticeflow.session import cut
 
-    known = dictionary.select(F.col(word).alias("_p"), F.col(segs).alias("_sub")).where(F.size("_sub") > 1)
-    now = cut(dictionary.select(word, segs))
-    for _ in range(rounds):
-        each = now.select(word, F.posexplode(segs).alias("_i", "_p")).join(known.where(F.col("_p") != ""), "_p", "left")
-        grown = each.where(F.col("_sub").isNotNull() & (F.col("_p") != F.col(word)))
-        if grown.isEmpty():
-            break
-        part = F.when(F.col("_sub").isNotNull() & (F.col("_p") != F.col(word)), F.col("_sub")).otherwise(F.array("_p"))
-        now = cut(each.groupBy(word).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), part.alias("x")))), lambda s: s["x"])).alias(segs)))
-    return now
+    known = dictionary.select(F.col(word).alias("_p"), F.col(segs).alias("_sub")).where((F.size("_sub") > 1) & (F.col("_p") != "")).dropDuplicates(["_p"])
+    # each piece with the words that were followed to reach it
+    now = cut(dictionary.select(word, F.transform(segs, lambda p: F.struct(p.alias("p"), F.array(word).alias("way"))).alias("_x")))
+    while True:
+        each = now.select(word, F.posexplode("_x").alias("_i", "_y")).select(word, "_i", F.col("_y.p").alias("_p"), F.col("_y.way").alias("_way")).join(known, "_p", "left")
+        goes_on = F.col("_sub").isNotNull() & ~F.array_contains("_way", F.col("_p"))
+        if each.where(goes_on).isEmpty():
+            return now.select(word, F.transform("_x", lambda x: x["p"]).alias(segs))
+        way = F.concat("_way", F.array("_p"))
+        part = F.when(goes_on, F.transform("_sub", lambda p: F.struct(p.alias("p"), way.alias("way")))).otherwise(F.array(F.struct(F.col("_p").alias("p"), F.col("_way").alias("way"))))
+        packed = F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), part.alias("x"))))
+        now = cut(each.groupBy(word).agg(F.flatten(F.transform(packed, lambda s: s["x"])).alias("_x")))

@@ -181,6 +181,13 @@ def nbest_blocks(s: SparkSession, d: str) -> DataFrame:
     return out.select("word", "rank", F.concat_ws(" ", "tokens").alias("tokens"), F.round("logw", 6).alias("logw"), F.round("weight", 6).alias("weight"))
 
 
+def attention_statistics(s: SparkSession, d: str) -> DataFrame:
+    """How far attention spread evenly over all targets exceeds the conditional marginals."""
+    a = cut(lattice.attention_bias(LQ.lats(s, d)).select(F.col("word").alias("ex_id"), "src", F.round(F.exp("log_p"), 9).alias("cond"), F.lit(False).alias("overlap")))
+    n = a.groupBy("ex_id", "src").agg((1 / F.count("*")).alias("attention"))
+    return _R(dynamics.attention_statistics(a.join(n, ["ex_id", "src"])))
+
+
 def initial_weights(s: SparkSession, d: str) -> DataFrame:
     return vocab.initialised(LQ.vocabulary(s, d), mu=-2.5).select("token", "logp")
 
@@ -282,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tok_report, match_counters, match_report, piece_usage, lattice_report, language_report, language_dataset, split_report, category_accuracy, dictionary_report, usage_counters, hyper_report, scatter, violin,
-        checkpoints, log_rows, dense_transitions, serial_inputs, lattice_edges_marked, nbest_blocks, initial_weights, vocab_trained, dynamics_weights,
+        checkpoints, log_rows, dense_transitions, serial_inputs, lattice_edges_marked, nbest_blocks, attention_statistics, initial_weights, vocab_trained, dynamics_weights,
         weights_file, vocabulary_file, tokenizations_file, dictionary_file, affixes_file, labels_file, corpus_file, scored_file, backslash_file, log_file, cache_file,
     )
 }
@@ -346,6 +353,9 @@ SQL = {
     "nbest_blocks": f"WITH RECURSIVE {LQ._WORDS.replace('words AS', 'dwords AS')}, {LQ._SUBS.replace('FROM words', 'FROM dwords')}, two AS (SELECT word AS whole, substr(word, 1, length(word) // 2) AS a, substr(word, length(word) // 2 + 1) AS b FROM dwords WHERE length(word) > 1), words AS (SELECT a AS word FROM two UNION SELECT b FROM two), {LQ._EDGES}, {LQ._BEST.format(n=2)},"
     " x AS (SELECT word, unnest(paths) AS p FROM fin), y AS (SELECT whole, struct_pack(cost := q.p.cost + r.p.cost, size := q.p.size + r.p.size, path := list_concat(q.p.path, r.p.path)) AS p FROM two JOIN x q ON q.word = a JOIN x r ON r.word = b), z AS (SELECT whole, p, row_number() OVER (PARTITION BY whole ORDER BY p) AS rank FROM y QUALIFY rank <= 2)"
     " SELECT whole AS word, rank::INTEGER AS rank, array_to_string(p.path, ' ') AS tokens, round(-p.cost, 6) AS logw, round(exp(-p.cost) / sum(exp(-p.cost)) OVER (PARTITION BY whole), 6) AS weight FROM z",
+    "attention_statistics": LQ.SQL["attention_bias"].split(" SELECT word, s, e, count(*) AS targets")[0]
+    + ", q AS (SELECT word, s, e, round(CASE WHEN same THEN 1 ELSE exp(lp) END, 9) AS cond, 1.0::DOUBLE / count(*) OVER (PARTITION BY word, s, e) AS att FROM t WHERE same OR lp > '-inf'::DOUBLE), h AS (SELECT ln(count(*)) AS h FROM q GROUP BY word, s, e)"
+    " SELECT count(*) FILTER (att > cond) AS over_count, round(avg(CASE WHEN att > cond THEN att - cond END), 6) AS over_mean, round(sum(greatest(att - cond, 0)), 6) AS over_mass, 0.0::DOUBLE AS leakage, (SELECT round(avg(h), 6) FROM h) AS entropy_mean, (SELECT round(stddev_pop(h), 6) FROM h) AS entropy_std FROM q",
     "initial_weights": f"WITH {LQ._WORDS}, {LQ._SUBS} SELECT token, -2.5::DOUBLE AS logp FROM vocab",
     "dynamics_weights": f"WITH {LQ._WORDS}, {LQ._SUBS} SELECT token, {_NUMBER.format(v='n::DOUBLE')} AS weight, {_NUMBER.format(v='exp(logp)')} AS grad FROM vocab",
     "weights_file": f"WITH {LQ._WORDS}, {LQ._SUBS} SELECT token, logp FROM vocab WHERE NOT regexp_matches(token, '[\\t\\n\\r]')",

@@ -88,6 +88,15 @@ def test_morphology(spark):
     assert morphology.fences("ab", ["a", "b"]) == [[1, 2]]
     df = spark.createDataFrame([("abcd", ["ab", "cd"]), ("ab", ["a", "b"]), ("cd", ["c", "d"]), ("x", ["x"])], "word string, pieces array<string>")
     assert {r.word: r.pieces for r in morphology.linked(df).collect()}["abcd"] == ["a", "b", "c", "d"]
+    chain = [(f"w{i}", [f"w{i + 1}", "x"]) for i in range(14)] + [("p", ["q", "y"]), ("q", ["p", "z"])]
+    got = {r.word: r.pieces for r in morphology.linked(spark.createDataFrame(chain, "word string, pieces array<string>")).collect()}
+    assert got["w0"] == ["w14", *["x"] * 14] and got["p"] == ["p", "z", "y"] and got["q"] == ["q", "y", "z"]
+
+
+def test_ific_hangs_on_the_suffix():
+    d = morphology.Derivator([], ["ation", "er"], ["simplify"])
+    assert d.derive("simplification") == ["simplify", "ation"] and d.derive("simplificer") == ["simplificer"]
+    assert d.derive("z" * 200_000) == ["z" * 200_000]
 
 
 def test_node_views_of_long_words(spark, tmp_path):
