@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticeflow.functions import semiring as S
 from latticeflow.functions import text as T
 from latticeflow.operators import lattice as L
 
@@ -109,16 +110,6 @@ def loss_per_unit(rows: DataFrame, loss: str = "loss", text: str = "text", token
     return rows.agg((F.sum(loss) / F.sum(F.length(text))).alias("per_char"), (F.sum(loss) / F.sum(F.size(tokens))).alias("per_token"))
 
 
-#: Tokenizers by mode; further ones can be registered.
-MODES: dict[str, Callable[..., DataFrame]] = {"lattice": lambda lats, n=1: L.edge_marginals(lats), "nbest": lambda lats, n=1: L.nbest(lats, n), "1best": lambda lats, n=1: L.viterbi(lats)}
-
-
-def tokenizer(mode: str) -> Callable[..., DataFrame]:
-    if mode not in MODES:
-        raise ValueError(f"no tokenizer for mode {mode!r}; known are {sorted(MODES)}")
-    return MODES[mode]
-
-
 def dense_transitions(lats: DataFrame, vocab: DataFrame, max_unit: int, key: str = "word", pad: int = 0, reverse: bool = False) -> DataFrame:
     """(key, ids, mask): for each unit length (outer array) and place, the id of the edge of that length that ends there, or `pad`.
 
@@ -158,3 +149,65 @@ def language_dataset(lines: DataFrame, best: DataFrame, vocab: DataFrame, key: s
     shifted = F.concat(F.slice("input_ids", 2, F.greatest(F.size("input_ids") - 1, F.lit(0))), F.array(F.lit(-100)))
     out = out.select(key, "input_ids", F.sequence(F.lit(0), F.size("input_ids") - 1).alias("position_ids"), F.transform("input_ids", lambda _: F.lit(1)).alias("input_mask"), shifted.alias("labels"), "length", "ntokens")
     return out.join(lines.select(key, F.array_join(chunks, " ").alias("text")), key)
+
+
+def _blocks(lines: DataFrame, vocab: DataFrame, key: str, text: str, split: bool, max_blocks: int, max_unit: int, max_length: int, unk: float | None, temperature: float) -> DataFrame:
+    """(key, block, edges, len): the lattices of each text's blocks; without `split` the text is one chunk."""
+    L.check(max_blocks, max_unit, max_length, split)
+    chunks = T.space_chunks(F.col(text)) if split else F.array(text)
+    known = lines.where(F.length(text) > 0).select(key, chunks.alias("chunks"))
+    edges = L.sentence_edges(known, vocab, key, max_unit=max_unit, max_length=max_length, max_blocks=max_blocks, unk=unk)
+    packed = edges.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "logp"))).alias("edges"))
+    # a block without any edge is one without a path
+    sizes = known.select(key, F.posexplode(T.pack_blocks(F.col("chunks"), max_length)).alias("block", "_c")).select(key, "block", T.block_length(F.col("_c")).alias("len"))
+    none = F.array().cast(f"array<{S.EDGE}>")
+    whole = sizes.join(packed, [key, "block"], "left").withColumn("edges", F.coalesce("edges", none))
+    return L.with_temperature(whole, temperature) if temperature != 1 else whole
+
+
+def tokenize_lattice(
+    lines: DataFrame, vocab: DataFrame, key: str, text: str = "text", split: bool = True, max_blocks: int = 8, max_unit: int = 12, max_length: int = 48, unk: float | None = None, temperature: float = 1.0,
+    references: DataFrame | None = None,
+) -> DataFrame:
+    """(key, input_ids, position_ids, marginals, logz, entropy[, ref_logp]): each text's lattice of all its blocks, one row a text.
+
+    `vocab` is (token, token_id, logp); `temperature` multiplies the log weights. Edges are in order of block, start and end; positions count
+    characters, blocks being `max_length` apart; logz and entropy are summed over the blocks. `references`, for texts that aren't
+    split, is (key, spans) and adds the log share of their paths. Null and empty texts, and those without a path through some block, have no row;
+    a text that doesn't fit its blocks is an error at run time. A group of texts is a key of several columns made one.
+    """
+    L.check(max_blocks, max_unit, max_length, split, references is not None)
+    blocks = _blocks(lines, vocab, key, text, split, max_blocks, max_unit, max_length, unk, temperature)
+    x = L.infer(blocks).withColumn("_h", S.entropy(F.col("edges"), F.col("logz")))
+    each = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "edges"))).alias("_b"), F.sum("logz").alias("logz"), F.sum("_h").alias("entropy")).where(F.col("logz") > S.NEG_INF)
+    flat = each.select(key, "logz", "entropy", F.posexplode(F.flatten(F.transform("_b", lambda b: F.transform(b["edges"], lambda e: F.struct((b["block"] * max_length + e["s"]).alias("at"), e["token"].alias("token"), e["p"].alias("p")))))).alias("_i", "_e"))
+    ids = flat.select(key, "logz", "entropy", "_i", "_e.*").join(L.small(vocab.select("token", "token_id")), "token", "left")
+    row = F.array_sort(F.collect_list(F.struct("_i", "token_id", "at", "p")))
+    out = ids.groupBy(key, "logz", "entropy").agg(row.alias("_x"))
+    out = out.select(key, F.transform("_x", lambda r: r["token_id"]).alias("input_ids"), F.transform("_x", lambda r: r["at"]).alias("position_ids"), F.transform("_x", lambda r: r["p"]).alias("marginals"), "logz", "entropy")
+    return out if references is None else out.join(L.reference_logprob(blocks, references, key), key, "left")
+
+
+def tokenize_nbest(
+    lines: DataFrame, vocab: DataFrame, key: str, n: int = 1, text: str = "text", split: bool = True, max_blocks: int = 8, max_unit: int = 12, max_length: int = 48, unk: float | None = None, temperature: float = 1.0,
+    characters: bool = False, max_tokens: int | None = None,
+) -> DataFrame:
+    """(key, rank, tokens, input_ids, position_ids, logw, weight): the n best paths of each text over all its blocks.
+
+    Positions count tokens or, with `characters`, the characters before each; `max_tokens` keeps that many of each path's ids. Texts without a path
+    have no row.
+    """
+    best = L.nbest_of_blocks(_blocks(lines, vocab, key, text, split, max_blocks, max_unit, max_length, unk, temperature), n, key)
+    ids = path_inputs(best, vocab, [key, "rank"], characters=characters)
+    cut = lambda c: F.slice(c, 1, max_tokens).alias(c) if max_tokens else F.col(c)
+    return best.join(ids, [key, "rank"]).select(key, "rank", "tokens", cut("input_ids"), cut("position_ids"), "logw", "weight")
+
+
+#: Tokenizers by mode; further ones can be registered.
+MODES: dict[str, Callable[..., DataFrame]] = {"lattice": tokenize_lattice, "nbest": tokenize_nbest, "1best": tokenize_nbest}
+
+
+def tokenizer(mode: str) -> Callable[..., DataFrame]:
+    if mode not in MODES:
+        raise ValueError(f"no tokenizer for mode {mode!r}; known are {sorted(MODES)}")
+    return MODES[mode]

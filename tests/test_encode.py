@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,33 @@ def test_losses_and_modes(spark):
     assert encode.tokenizer("nbest") is encode.MODES["nbest"]
     with pytest.raises(ValueError):
         encode.tokenizer("sample")
+
+
+def test_tokenizers_in_one_call(spark):
+    units = {"▁": -3.0, "a": -1.0, "b": -1.5, "ab": -2.0, "▁a": -1.2, "▁ab": -2.5}
+    v = spark.createDataFrame([(t, i, w) for i, (t, w) in enumerate(units.items())], "token string, token_id int, logp double")
+    lines = spark.createDataFrame([(1, "ab a"), (2, None), (3, ""), (4, "zz"), (5, "ab")], "id int, text string")
+
+    def paths(word):
+        return [((), 0.0)] if not word else [((t, *p), w + x) for t, w in units.items() if word.startswith(t) for p, x in paths(word[len(t) :])]
+
+    got = {r.id: r for r in encode.tokenize_lattice(lines, v, "id", max_blocks=2, max_unit=3, max_length=3).collect()}
+    z = [math.log(sum(math.exp(w) for _, w in paths(c))) for c in ("▁ab", "▁a")]
+    assert set(got) == {1, 5} and got[1].logz == pytest.approx(sum(z)) and got[5].logz == pytest.approx(z[0])
+    assert got[1].position_ids == [0, 0, 0, 1, 1, 2, 3, 3, 4] and got[1].input_ids == [0, 4, 5, 1, 3, 2, 0, 4, 1]
+    assert sum(got[5].marginals[:3]) == pytest.approx(1)
+    h = -sum(math.exp(w - z[0]) * (w - z[0]) for _, w in paths("▁ab"))
+    assert got[5].entropy == pytest.approx(h)
+    cool = encode.tokenize_lattice(lines, v, "id", max_blocks=2, max_unit=3, max_length=3, temperature=0.5).where("id = 5").first()
+    assert cool.logz == pytest.approx(math.log(sum(math.exp(w / 2) for _, w in paths("▁ab"))))
+    refs = spark.createDataFrame([(5, [(0, 2)])], "id int, spans array<struct<s:int,e:int>>")
+    whole = encode.tokenize_lattice(lines.where("id = 5"), v, "id", split=False, max_blocks=1, max_unit=3, references=refs).first()
+    assert whole.ref_logp == pytest.approx(-2.0 - math.log(math.exp(-2.0) + math.exp(-2.5)))
+    with pytest.raises(ValueError):
+        encode.tokenize_lattice(lines, v, "id", references=refs)
+    best = sorted((r for r in encode.tokenizer("nbest")(lines, v, "id", 2, max_blocks=2, max_unit=3, max_length=3).collect() if r.id == 1), key=lambda r: r["rank"])
+    both = sorted((-(a[1] + b[1]), [*a[0], *b[0]]) for a in paths("▁ab") for b in paths("▁a"))
+    assert [round(r.logw, 9) for r in best] == [round(-c, 9) for c, _ in both[:2]] and best[0].tokens == both[0][1]
+    names = list(units)
+    assert best[0].input_ids == [names.index(t) for t in best[0].tokens] and best[0].position_ids == list(range(len(best[0].tokens)))
+    assert all(len(r.input_ids) == 1 for r in encode.tokenize_nbest(lines, v, "id", max_blocks=2, max_unit=3, max_length=3, max_tokens=1).collect())
