@@ -204,6 +204,77 @@ def dynamics_weights(s: SparkSession, d: str) -> DataFrame:
     return dynamics.weight_table(v.select(F.lit(0).alias("step"), F.col("token").alias("token_id"), F.col("n").cast("double").alias("weight"), F.exp("logp").alias("grad")), v.select("token", F.col("token").alias("token_id"))).select("token", "weight", "grad")
 
 
+def strip_mark(s: SparkSession, d: str) -> DataFrame:
+    """Chunks with the space mark, without it again; bare marks are dropped."""
+    return TQ._lines(s, d).select("sent_id", F.posexplode(T.strip_mark(T.space_chunks(F.col("text_str")))).alias("pos", "token"))
+
+
+def lattice_inputs(s: SparkSession, d: str) -> DataFrame:
+    w = cut(LQ.words(s, d))
+    v = cut(vocab.build_vocabulary(w, LQ.UNIT, LQ.COUNT))
+    x = encode.lattice_inputs(lattice.lattice_edges(w, v, LQ.UNIT, LQ.LENGTH), _by_count(v), ["word"])
+    return x.select("word", *[F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c) for c in ("input_ids", "position_ids")])
+
+
+def label_rows(s: SparkSession, d: str) -> DataFrame:
+    """Each word of the lines as a label, two places apart; words that aren't units are ignored."""
+    lines = TQ._lines(s, d).select("sent_id", F.transform("chunks", lambda c: F.lower(c)).alias("labels"))
+    return encode.label_rows(lines, "sent_id", "labels", _by_count(LQ.vocabulary(s, d)), stride=2)
+
+
+def gold_ids(s: SparkSession, d: str) -> DataFrame:
+    """The ids of words cut every three characters, looked up by piece."""
+    w, v, _ = LQ.base(s, d)
+    x = encode.gold_ids(w.select("word", TQ._cuts("word", 3).alias("pieces")), _by_count(v), "word")
+    return x.select("word", F.array_join("ids", ",", "-").alias("ids"))
+
+
+def word_list(s: SparkSession, d: str) -> DataFrame:
+    """The words of the lines in order; the number of their occurrences stands beside each."""
+    words = TQ._lines(s, d).select(F.explode("chunks").alias("word")).withColumn("n", F.lit(1))
+    distinct, total = reports.word_list(words)
+    return distinct.withColumn("total", F.lit(total).cast("long"))
+
+
+def lines_after(s: SparkSession, d: str) -> DataFrame:
+    """A file of units in order without its first hundred lines."""
+    path = scratch(s, "lines")
+    sinks.vocabulary(LQ.vocabulary(s, d).where(_plain("token")), path, ())
+    return reports.without_first(readers.lines(s, path), 100).select("line_no", F.col("value").alias("token"))
+
+
+def truncated_blocks(s: SparkSession, d: str) -> DataFrame:
+    b = TQ._lines(s, d).select("sent_id", T.truncate_blocks(F.col("chunks"), TQ.BLOCK, 2).alias("b"))
+    return b.select("sent_id", F.concat_ws(",", F.transform("b", lambda x: F.length(F.array_join(x, "")).cast("string"))).alias("lengths"))
+
+
+def chunk_numbers(s: SparkSession, d: str) -> DataFrame:
+    """Characters of each line's chunks, and the product of the first three lengths, each shifted by one."""
+    lengths = F.transform(F.slice("chunks", 1, 3), lambda c: T.chunk_length(c))
+    return TQ._lines(s, d).select("sent_id", T.block_length(F.col("chunks")).alias("characters"), T.product(T.shift(lengths, 1)).alias("product"))
+
+
+def edge_counts(s: SparkSession, d: str) -> DataFrame:
+    """Edges of the full lattice of each word."""
+    return LQ.words(s, d).select("word", T.edge_count(F.length("word"), LQ.UNIT).alias("edges"))
+
+
+def clamped_weights(s: SparkSession, d: str) -> DataFrame:
+    v = vocab.clamped(LQ.vocabulary(s, d), 1e-4, ["e"], pin_singletons=False)
+    return v.select("token", F.round("logp", 6).alias("logp"))
+
+
+def shared_units(s: SparkSession, d: str) -> DataFrame:
+    v = cut(LQ.by_source(s, d))
+    return vocab.shared_tokens(v.where("source = 'wiki'"), v.where("source = 'paper'"), ["e", "t"])
+
+
+def sweep(s: SparkSession, d: str) -> DataFrame:
+    from latticeflow.operators import runs
+
+    return runs.sweep(s, seed=[42, 44], rate=[0.1, 0.2, 0.3])
+
+
 # files
 
 
@@ -289,7 +360,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tok_report, match_counters, match_report, piece_usage, lattice_report, language_report, language_dataset, split_report, category_accuracy, dictionary_report, usage_counters, hyper_report, scatter, violin,
-        checkpoints, log_rows, dense_transitions, serial_inputs, lattice_edges_marked, nbest_blocks, attention_statistics, initial_weights, vocab_trained, dynamics_weights,
+        checkpoints, log_rows, dense_transitions, serial_inputs, lattice_edges_marked, nbest_blocks, attention_statistics, strip_mark, lattice_inputs, label_rows, gold_ids, word_list, lines_after, truncated_blocks, chunk_numbers, edge_counts, clamped_weights, shared_units, sweep, initial_weights, vocab_trained, dynamics_weights,
         weights_file, vocabulary_file, tokenizations_file, dictionary_file, affixes_file, labels_file, corpus_file, scored_file, backslash_file, log_file, cache_file,
     )
 }
@@ -356,6 +427,18 @@ SQL = {
     "attention_statistics": LQ.SQL["attention_bias"].split(" SELECT word, s, e, count(*) AS targets")[0]
     + ", q AS (SELECT word, s, e, round(CASE WHEN same THEN 1 ELSE exp(lp) END, 9) AS cond, 1.0::DOUBLE / count(*) OVER (PARTITION BY word, s, e) AS att FROM t WHERE same OR lp > '-inf'::DOUBLE), h AS (SELECT ln(count(*)) AS h FROM q GROUP BY word, s, e)"
     " SELECT count(*) FILTER (att > cond) AS over_count, round(avg(CASE WHEN att > cond THEN att - cond END), 6) AS over_mean, round(sum(greatest(att - cond, 0)), 6) AS over_mass, 0.0::DOUBLE AS leakage, (SELECT round(avg(h), 6) FROM h) AS entropy_mean, (SELECT round(stddev_pop(h), 6) FROM h) AS entropy_std FROM q",
+    "strip_mark": f"WITH {TQ._L}, c AS (SELECT sent_id, list_filter(string_split({TQ._TRIM}, ' '), lambda c: c NOT IN ('', '[PAD]')) AS c FROM ls), t AS (SELECT sent_id, list_filter(list_transform(c, lambda x: regexp_replace(x, '^▁+', '')), lambda x: x <> '') AS c FROM c) SELECT sent_id, unnest(c) AS token, (generate_subscripts(c, 1) - 1)::INTEGER AS pos FROM t",
+    "lattice_inputs": f"WITH {LQ._BASE} SELECT word, string_agg(vocab.n::VARCHAR, ',' ORDER BY s, e) AS input_ids, string_agg(s::VARCHAR, ',' ORDER BY s, e) AS position_ids FROM edges JOIN vocab USING (token) GROUP BY word",
+    "label_rows": f"WITH {LQ._WORDS}, {LQ._SUBS}, {TQ._L}, u AS (SELECT sent_id, lower(unnest(chunks)) AS token, (generate_subscripts(chunks, 1) - 1) * 2 AS pos FROM ls) SELECT sent_id, pos::INTEGER AS pos, coalesce(vocab.n, -100)::INTEGER AS label_id FROM u LEFT JOIN vocab USING (token)",
+    "gold_ids": f"WITH {LQ._WORDS}, {LQ._SUBS}, g AS (SELECT word, {_CUT.format(n=3)} AS p FROM words), u AS (SELECT word, unnest(p) AS token, generate_subscripts(p, 1) AS i FROM g) SELECT word, string_agg(coalesce(vocab.n::VARCHAR, '-'), ',' ORDER BY i) AS ids FROM u LEFT JOIN vocab USING (token) GROUP BY word",
+    "word_list": f"WITH {TQ._L}, u AS (SELECT unnest(chunks) AS word FROM ls) SELECT DISTINCT word, (SELECT count(*) FROM u) AS total FROM u",
+    "lines_after": f"WITH {LQ._WORDS}, {LQ._SUBS}, o AS (SELECT (row_number() OVER (ORDER BY token) - 1)::BIGINT AS line_no, token FROM vocab WHERE NOT regexp_matches(token, '[\\t\\n\\r]')) SELECT * FROM o WHERE line_no >= 100",
+    "truncated_blocks": TQ.SQL["block_pack"].split("SELECT sent_id, (CASE WHEN b = [0]")[0] + "SELECT sent_id, CASE WHEN b = [0] THEN '' ELSE array_to_string(b[1:2], ',') END AS lengths FROM b",
+    "chunk_numbers": f"WITH {TQ._L}, c AS (SELECT sent_id, list_transform(chunks, lambda c: CASE WHEN {TQ._SPECIAL.format(c='c')} THEN 1 ELSE length(c) END) AS n FROM ls) SELECT sent_id, coalesce(list_sum(n), 0)::INTEGER AS characters, coalesce(list_product(list_transform(n[1:3], lambda x: x + 1)), 1)::DOUBLE AS product FROM c",
+    "edge_counts": f"WITH {LQ._WORDS} SELECT word, (least(length(word), 4) * length(word) - least(length(word), 4) * (least(length(word), 4) - 1) // 2)::BIGINT AS edges FROM words",
+    "clamped_weights": f"WITH {LQ._WORDS}, {LQ._SUBS} SELECT token, round(CASE WHEN token = 'e' THEN 0 ELSE greatest(logp, ln(0.0001)) END, 6) AS logp FROM vocab",
+    "shared_units": f"WITH {LQ._SOURCE} SELECT token FROM sv WHERE source = 'wiki' AND token NOT IN ('e', 't') INTERSECT SELECT token FROM sv WHERE source = 'paper'",
+    "sweep": "SELECT seed::BIGINT AS seed, rate::DOUBLE AS rate FROM (VALUES (42), (44)) a(seed), (VALUES (0.1), (0.2), (0.3)) b(rate)",
     "initial_weights": f"WITH {LQ._WORDS}, {LQ._SUBS} SELECT token, -2.5::DOUBLE AS logp FROM vocab",
     "dynamics_weights": f"WITH {LQ._WORDS}, {LQ._SUBS} SELECT token, {_NUMBER.format(v='n::DOUBLE')} AS weight, {_NUMBER.format(v='exp(logp)')} AS grad FROM vocab",
     "weights_file": f"WITH {LQ._WORDS}, {LQ._SUBS} SELECT token, logp FROM vocab WHERE NOT regexp_matches(token, '[\\t\\n\\r]')",
