@@ -193,3 +193,5 @@ SQL = {
         SELECT word_a, word_b FROM pair JOIN cnt x ON x.w = word_a JOIN cnt y ON y.w = word_b, total
         WHERE pair.n * total.n >= 4 * x.n * y.n""",
 }
+
+SQL["p3_lift"] = SQL["p3_found"].replace("SELECT word_a, word_b FROM pair JOIN", "SELECT word_a, word_b, pair.n AS n_ab, x.n AS n_a, y.n AS n_b, total.n AS records, pair.n::DOUBLE * total.n / x.n / y.n AS lift FROM pair JOIN")
