@@ -33,9 +33,23 @@ def node_view(edges: DataFrame, key: str) -> DataFrame:
     return node.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("s", "out"))), lambda n: n["out"])).alias("nodes"))
 
 
+def attention_by_source(pairs: DataFrame, vocab_masked: str = "overlap", weight: str = "attention") -> DataFrame:
+    """(over_count, over_mass, leakage, h) of each source edge: its attention above the conditional marginals, to overlapping edges, and its entropy."""
+    over, w = F.greatest(F.col(weight) - F.col("cond"), F.lit(0.0)), F.col(weight)
+    return pairs.groupBy("ex_id", "src").agg(
+        F.count(F.when(over > 0, 1)).alias("over_count"),
+        F.sum(over).alias("over_mass"),
+        F.sum(F.when(F.col(vocab_masked), w).otherwise(0.0)).alias("leakage"),
+        (-F.sum(F.when(w > 0, w * F.ln(w)))).alias("h"),
+    )
+
+
+def summed_sources(sources: DataFrame) -> DataFrame:
+    """One row of `attention_statistics` from the sums of the source edges."""
+    n, mass = F.coalesce(F.sum("over_count"), F.lit(0)), F.sum("over_mass")
+    return sources.agg(n.alias("over_count"), F.when(n > 0, mass / n).alias("over_mean"), mass.alias("over_mass"), F.sum("leakage").alias("leakage"), F.avg("h").alias("entropy_mean"), F.stddev_pop("h").alias("entropy_std"))
+
+
 def attention_statistics(pairs: DataFrame, vocab_masked: str = "overlap", weight: str = "attention") -> DataFrame:
     """One row: count, mean and mass of attention above the conditional marginal, leakage to overlapping edges, entropy mean and deviation."""
-    over = F.greatest(F.col(weight) - F.col("cond"), F.lit(0.0))
-    h = pairs.where(F.col(weight) > 0).groupBy("ex_id", "src").agg((-F.sum(F.col(weight) * F.ln(weight))).alias("h"))
-    a = pairs.agg(F.count(F.when(over > 0, 1)).alias("over_count"), F.avg(F.when(over > 0, over)).alias("over_mean"), F.sum(over).alias("over_mass"), F.sum(F.when(F.col(vocab_masked), F.col(weight)).otherwise(0.0)).alias("leakage"))
-    return a.select("*", h.agg(F.avg("h")).scalar().alias("entropy_mean"), h.agg(F.stddev_pop("h")).scalar().alias("entropy_std"))
+    return summed_sources(attention_by_source(pairs, vocab_masked, weight))
