@@ -1,3 +1,4 @@
+import math
 from datetime import datetime
 
 import regex
@@ -107,3 +108,14 @@ def test_empty_table_and_book(spark):
     assert code_book(df, ["label"]) == {}
     assert unpack(df, "id", ["label"], "added_at").count() == 0
     assert parse_packed(df, ["label"]).columns[-2:] == ["label", "label_dialect"]
+
+
+def test_description_length_decides_between_all_dialects():
+    mixed = {n: (v, bits) for n, v, bits in candidates("a-b,c")}
+    assert mixed.keys() == {"plain mixed", "plain -", "plain ,"} and mixed["plain -"][0] == ["a", "b,c"]
+    assert math.isfinite(mixed["plain mixed"][1]) and mixed["plain -"][1] == mixed["plain ,"][1] == math.inf
+    assert best_parse("a-b,c", {"b,c": 0.001, "a": 0.001}) == ("plain mixed", ["a", "b", "c"])
+    quoted = {n: bits for n, _, bits in candidates('"a-b"-"c"')}
+    assert quoted["plain -"] == math.inf and math.isfinite(quoted["quoted -"])
+    stray = {n: bits for n, _, bits in candidates('5"-a-6"')}
+    assert sum(map(math.isfinite, stray.values())) == 2  # here the code book decides
